@@ -110,7 +110,7 @@ def char_class_entropy(col) -> Column:
 
 def unique_char_ratio(col) -> Column:
     s = _c(col)
-    return F.size(F.array_distinct(_chars(s))).cast("double") / F.greatest(F.length(s), F.lit(1))
+    return _unique_chars(s).cast("double") / F.greatest(F.length(s), F.lit(1))
 
 
 def _unique_chars(s: Column) -> Column:
@@ -194,13 +194,15 @@ def feature_map(col, extractors=("lexical", "entropy")) -> Column:
 # --- SCA-9 .. SCA-15 ------------------------------------------------------------
 
 def ratio_extractors(col) -> Column:
-    """digit / vowel / consonant ratios of the first label."""
+    """digit / vowel / consonant ratios of the first label (letters that are
+    not a, e, i, o, u in either case count as consonants)."""
     s = first_label(col)
     n = F.greatest(F.length(s), F.lit(1)).cast("double")
+    vowels = _class_count(s, r"[^aeiouAEIOU]")
     return F.struct(
         (_class_count(s, r"[^\p{Nd}]") / n).alias("digit_ratio"),
-        (_class_count(s, f"[^{VOWELS}]") / n).alias("vowel_ratio"),
-        (_class_count(s, f"[^{CONSONANTS}]") / n).alias("consonant_ratio"),
+        (vowels / n).alias("vowel_ratio"),
+        ((_class_count(s, r"[^\p{L}]") - vowels) / n).alias("consonant_ratio"),
     )
 
 

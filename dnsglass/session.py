@@ -27,6 +27,7 @@ _DEFAULTS = {
     # library are only placed on sides whose size is bounded by construction.
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
