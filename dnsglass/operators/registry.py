@@ -66,7 +66,9 @@ def promote_version(versions: DataFrame, model_id: str, action: str, to_version:
         dep = F.when(cur, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("deployed_at"))
     else:
         raise ValueError(action)
-    return versions.withColumn("status", status).withColumn("deployed_at", dep)
+    # both new values are computed from the old row in one projection
+    others = [c for c in versions.columns if c not in ("status", "deployed_at")]
+    return versions.select(*others, status.alias("status"), dep.alias("deployed_at")).select(*versions.columns)
 
 
 def set_ab_weights(versions: DataFrame, model_id: str | None = None, weights: dict | None = None,

@@ -106,7 +106,7 @@ SELECT * FROM (VALUES ('dga-realtime-v1', 'DGA realtime', 'running', 'realtime')
 """
 
 VIEWS["model_versions_v"] = """
-SELECT id, model_id, version, status, ab_weight, metrics,
+SELECT id, model_id, version, status, CAST(ab_weight AS DOUBLE) AS ab_weight, metrics,
        CAST(created_at AS TIMESTAMP) AS created_at, CAST(deployed_at AS TIMESTAMP) AS deployed_at
 FROM (VALUES
   (1, 'binary', 'v1.0', 'archived', 0.8, '{"accuracy": 0.967, "f1": 0.952, "precision": 0.961, "recall": 0.943}', '2024-01-01 00:00:00', '2024-01-02 00:00:00'),
