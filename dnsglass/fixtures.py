@@ -21,6 +21,12 @@ def host_of(url) -> "F.Column":
     return F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1)
 
 
+def round4(x):
+    """Half-up rounding to 4 decimals as plain IEEE arithmetic, so that both
+    engines produce bit-identical fixture values."""
+    return F.floor(x * 10000 + 0.5) / 10000
+
+
 def _pick(idx, values):
     """values[idx] for a small fixed list (idx is an integer Column)."""
     expr = None
@@ -36,7 +42,7 @@ def _dns_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     j = e.join(p, p.page_id == e.k % 50)
     u = F.col("user_id")
-    score = F.round(F.col("value") / (F.col("value") + 10), 4)
+    score = round4(F.col("value") / (F.col("value") + 10))
     k4 = F.col("k") % 4
     return j.select(
         F.col("event_id").cast("string").alias("event_id"),
@@ -69,7 +75,7 @@ def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "trace_id", "ts", "domain", "src_ip", "ip_long", "query_type", "score",
         is_dga.alias("is_dga"),
         F.when(is_dga, F.col("event_type")).alias("family"),
-        F.when(is_dga, F.round(F.col("score") * 0.9, 4)).alias("family_confidence"),
+        F.when(is_dga, round4(F.col("score") * 0.9)).alias("family_confidence"),
         "model_version", "pipeline_id", "tenant_id",
         severity_scale("A", F.col("score"), 0.7).alias("severity"),
         "acknowledged",

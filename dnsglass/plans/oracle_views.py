@@ -18,7 +18,7 @@ SELECT CAST(e.event_id AS VARCHAR) AS event_id,
              || '.' || CAST(e.user_id % 256 AS VARCHAR) AS src_ip,
        167772160 + e.user_id AS ip_long,
        CASE e.k % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'AAAA' WHEN 2 THEN 'MX' WHEN 3 THEN 'TXT' END AS query_type,
-       round(e.value / (e.value + 10), 4) AS score,
+       floor(e.value / (e.value + 10) * 10000 + 0.5) / 10000 AS score,
        e.event_type, e.value, e.user_id, e.k, p.page_id,
        'v1.' || CAST(e.event_id % 2 AS VARCHAR) AS model_version,
        CASE e.k % 4 WHEN 0 THEN 'gateway' WHEN 1 THEN 'dga-realtime-v1' WHEN 2 THEN 'dns-tunnel-v1' END AS pipeline_id,
@@ -32,7 +32,7 @@ VIEWS["dns_events"] = """
 SELECT event_id, trace_id, ts, domain, src_ip, ip_long, query_type, score,
        score >= 0.7 AS is_dga,
        CASE WHEN score >= 0.7 THEN event_type END AS family,
-       CASE WHEN score >= 0.7 THEN round(score * 0.9, 4) END AS family_confidence,
+       CASE WHEN score >= 0.7 THEN floor(score * 0.9 * 10000 + 0.5) / 10000 END AS family_confidence,
        model_version, pipeline_id, tenant_id,
        CASE WHEN score >= 0.95 THEN 'CRITICAL' WHEN score >= 0.85 THEN 'HIGH'
             WHEN score >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
