@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events fact table.  The test files hold one row group each, so a
+    scan is one task; the fact table is spread over the cores the way a
+    multi-file table on a cluster would be (no-op when already wide)."""
+    from .operators.common import ensure_parallelism
+    return ensure_parallelism(table(spark, sf_dir, "events"))
+
+
 def host_of(url) -> "F.Column":
     return F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1)
 

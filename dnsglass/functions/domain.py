@@ -52,15 +52,21 @@ def labels(col) -> Column:
     return F.split(_c(col), r"\.", -1)
 
 
-def split_domain(col) -> Column:
-    """struct(subdomain, sld, tld): tld = last label, sld = second last, rest joined.
-
-    One label -> sld = label, tld = ''.  Subdomain only with >= 3 labels."""
-    parts = labels(col)
+def _split_parts(d: Column) -> tuple[Column, Column, Column]:
+    """(subdomain, sld, tld) as three plain expressions (no shared struct)."""
+    parts = F.split(d, r"\.", -1)
     n = F.size(parts)
     tld = F.when(n >= 2, F.element_at(parts, -1)).otherwise(F.lit(""))
     sld = F.when(n >= 2, F.element_at(parts, -2)).otherwise(F.element_at(parts, 1))
     sub = F.when(n >= 3, F.array_join(F.slice(parts, 1, n - 2), ".")).otherwise(F.lit(""))
+    return sub, sld, tld
+
+
+def split_domain(col) -> Column:
+    """struct(subdomain, sld, tld): tld = last label, sld = second last, rest joined.
+
+    One label -> sld = label, tld = ''.  Subdomain only with >= 3 labels."""
+    sub, sld, tld = _split_parts(_c(col))
     return F.struct(sub.alias("subdomain"), sld.alias("sld"), tld.alias("tld"))
 
 
@@ -80,16 +86,19 @@ def _chars(s: Column) -> Column:
 
 
 def shannon_entropy(col, base: float = 2.0) -> Column:
-    """-sum p*log_b(p) over the characters of the string; '' -> 0."""
+    """-sum p*log_b(p) over the characters of the string; '' -> 0.
+    Per distinct character the count is len(s) - len(s without it), a native
+    string operation, so the work per row is linear in the distinct characters."""
     s = _c(col)
     n = F.length(s).cast("double")
-    chars = _chars(s)
     ln_b = math.log(base)
-    terms = F.transform(
-        F.array_distinct(chars),
-        lambda ch: F.size(F.filter(chars, lambda x: x == ch)).cast("double") / n)
-    h = F.aggregate(terms, F.lit(0.0), lambda acc, p: acc - p * F.log(p) / F.lit(ln_b))
-    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(h)
+    h = F.aggregate(F.array_distinct(_chars(s)), F.lit(0.0),
+                    lambda acc, ch: acc - _plogp((n - F.length(F.replace(s, ch, F.lit("")))) / n) / F.lit(ln_b))
+    return F.when(F.coalesce(F.length(s), F.lit(0)) == 0, F.lit(0.0)).otherwise(h)
+
+
+def _plogp(p: Column) -> Column:
+    return p * F.log(p)
 
 
 def _class_count(s: Column, pattern: str) -> Column:
@@ -100,12 +109,15 @@ def char_class_entropy(col) -> Column:
     """Entropy over the three classes letter / digit / other."""
     s = _c(col)
     n = F.length(s).cast("double")
-    counts = F.array(_class_count(s, r"[^\p{L}]"),
-                     _class_count(s, r"[^\p{Nd}]"),
-                     n - _class_count(s, r"[^\p{L}\p{Nd}]"))
-    h = F.aggregate(counts, F.lit(0.0),
-                    lambda acc, c: acc - F.when(c > 0, (c / n) * F.log2(c / n)).otherwise(0.0))
-    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(h)
+    h = F.lit(0.0)
+    for c in (_class_count(s, r"[^\p{L}]"), _class_count(s, r"[^\p{Nd}]"),
+              n - _class_count(s, r"[^\p{L}\p{Nd}]")):
+        h = h - F.when(c > 0, (c / n) * F.log2(c / n)).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(F.length(s), F.lit(0)) == 0, F.lit(0.0)).otherwise(h)
+
+
+def _unique_chars(s: Column) -> Column:
+    return F.when(F.length(s) == 0, 0).otherwise(F.size(F.array_distinct(_chars(s))))
 
 
 def unique_char_ratio(col) -> Column:
@@ -113,39 +125,37 @@ def unique_char_ratio(col) -> Column:
     return _unique_chars(s).cast("double") / F.greatest(F.length(s), F.lit(1))
 
 
-def _unique_chars(s: Column) -> Column:
-    return F.when(F.length(s) == 0, 0).otherwise(F.size(F.array_distinct(_chars(s))))
+def entropy_feature_list(col) -> list[tuple[str, Column]]:
+    d = _c(col)
+    _, sld, _ = _split_parts(d)
+    return [("entropy_full", shannon_entropy(d)), ("entropy_sld", shannon_entropy(sld)),
+            ("char_class_entropy", char_class_entropy(sld)), ("unique_char_ratio", unique_char_ratio(sld))]
 
 
 def entropy_features(col) -> Column:
-    d = _c(col)
-    sld = split_domain(d)["sld"]
-    return F.struct(
-        shannon_entropy(d).alias("entropy_full"),
-        shannon_entropy(sld).alias("entropy_sld"),
-        char_class_entropy(sld).alias("char_class_entropy"),
-        (_unique_chars(sld).cast("double") / F.greatest(F.length(sld), F.lit(1))).alias("unique_char_ratio"),
-    )
+    return F.struct(*[c.alias(k) for k, c in entropy_feature_list(col)])
 
 
 # --- SCA-5 .. SCA-7 -----------------------------------------------------------
 
-def char_ratios(col, suffix: str = "") -> Column:
-    """struct(L, Rc, Rv, Rn, Rl, Rs) of one string; '' -> all zeros."""
+def char_ratio_list(col, suffix: str = "") -> list[tuple[str, Column]]:
+    """(L, Rc, Rv, Rn, Rl, Rs) of one string; '' -> all zeros."""
     s = _c(col)
     n = F.length(s).cast("double")
 
     def ratio(cnt: Column) -> Column:
         return F.when(n == 0, F.lit(0.0)).otherwise(cnt / n)
 
-    return F.struct(
-        n.alias(f"L{suffix}"),
-        ratio(_class_count(s, f"[^{CONSONANTS}]")).alias(f"Rc{suffix}"),
-        ratio(_class_count(s, f"[^{VOWELS}]")).alias(f"Rv{suffix}"),
-        ratio(_class_count(s, r"[^\p{Nd}]")).alias(f"Rn{suffix}"),
-        ratio(_class_count(s, r"[^\p{L}]")).alias(f"Rl{suffix}"),
-        ratio(n - _class_count(s, r"[^\p{L}\p{N}]")).alias(f"Rs{suffix}"),
-    )
+    return [(f"L{suffix}", n),
+            (f"Rc{suffix}", ratio(_class_count(s, f"[^{CONSONANTS}]"))),
+            (f"Rv{suffix}", ratio(_class_count(s, f"[^{VOWELS}]"))),
+            (f"Rn{suffix}", ratio(_class_count(s, r"[^\p{Nd}]"))),
+            (f"Rl{suffix}", ratio(_class_count(s, r"[^\p{L}]"))),
+            (f"Rs{suffix}", ratio(n - _class_count(s, r"[^\p{L}\p{N}]")))]
+
+
+def char_ratios(col, suffix: str = "") -> Column:
+    return F.struct(*[c.alias(k) for k, c in char_ratio_list(col, suffix)])
 
 
 def longest_run(col, pattern: str) -> Column:
@@ -153,23 +163,25 @@ def longest_run(col, pattern: str) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).cast("double")
 
 
+def lexical_feature_list(col) -> list[tuple[str, Column]]:
+    """The 22 named lexical features as (name, Column) pairs."""
+    d = _c(col)
+    sub, sld, tld = _split_parts(d)
+    has_sub = sub != ""
+    out = [("N", F.when(has_sub, 3.0).otherwise(2.0))]
+    out += [(k, longest_run(d, RUN_PATTERNS[k])) for k in ("LCc", "LCv", "LCn")]
+    out += char_ratio_list(tld, "_tld") + char_ratio_list(sld, "_sld")
+    out += [(k, F.when(has_sub, c).otherwise(F.lit(0.0))) for k, c in char_ratio_list(sub, "_sub")]
+    return out
+
+
 def lexical_features(col) -> Column:
     """The 22 named lexical features as a struct of doubles."""
-    d = _c(col)
-    parts = split_domain(d)
-    has_sub = parts["subdomain"] != ""
-    tld = char_ratios(parts["tld"], "_tld")
-    sld = char_ratios(parts["sld"], "_sld")
-    sub = char_ratios(parts["subdomain"], "_sub")
-    fields = [F.when(has_sub, 3.0).otherwise(2.0).alias("N")]
-    fields += [longest_run(d, RUN_PATTERNS[k]).alias(k) for k in ("LCc", "LCv", "LCn")]
-    for grp, st in (("tld", tld), ("sld", sld), ("sub", sub)):
-        for k in ("L", "Rc", "Rv", "Rn", "Rl", "Rs"):
-            v = st[f"{k}_{grp}"]
-            if grp == "sub":
-                v = F.when(has_sub, v).otherwise(F.lit(0.0))
-            fields.append(v.alias(f"{k}_{grp}"))
-    return F.struct(*fields)
+    return F.struct(*[c.alias(k) for k, c in lexical_feature_list(col)])
+
+
+def pairs_to_map(pairs: list[tuple[str, Column]]) -> Column:
+    return F.create_map(*[x for k, c in pairs for x in (F.lit(k), c.cast("double"))])
 
 
 def struct_to_map(st: Column, keys: list[str]) -> Column:
@@ -177,18 +189,19 @@ def struct_to_map(st: Column, keys: list[str]) -> Column:
 
 
 EXTRACTORS = {
-    "lexical": (lexical_features, LEXICAL_KEYS),
-    "entropy": (entropy_features, ENTROPY_KEYS),
+    "lexical": lexical_feature_list,
+    "entropy": entropy_feature_list,
 }
 
 
 def feature_map(col, extractors=("lexical", "entropy")) -> Column:
-    """SCA-8: selected extractor groups merged into one map; empty domain -> {}."""
+    """SCA-8: selected extractor groups merged into one map; empty domain -> {}.
+    Built from flat (name, Column) pairs so every feature expression appears
+    once in the plan."""
     d = _c(col)
-    maps = [struct_to_map(EXTRACTORS[e][0](d), EXTRACTORS[e][1]) for e in extractors]
-    m = maps[0] if len(maps) == 1 else F.map_concat(*maps)
+    pairs = [p for e in extractors for p in EXTRACTORS[e](d)]
     empty = F.create_map().cast("map<string,double>")
-    return F.when(F.coalesce(F.length(d), F.lit(0)) == 0, empty).otherwise(m)
+    return F.when(F.coalesce(F.length(d), F.lit(0)) == 0, empty).otherwise(pairs_to_map(pairs))
 
 
 # --- SCA-9 .. SCA-15 ------------------------------------------------------------

@@ -43,6 +43,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(df)
 
 
+def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread heavy per-row work over the cluster.
+
+    A scan of few large files (or one Parquet row group) yields fewer
+    partitions than executor cores; CPU-heavy per-row operators (text
+    tokenisation, hashing, feature extraction) would then run in a handful of
+    tasks.  Only in that case the rows are redistributed round-robin; inputs
+    that already have enough partitions are returned unchanged (no shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par * factor)
+    return df
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into `spark.checkpoint.dir` (shared storage on a
     cluster), so a lost executor does not replay a long lineage."""

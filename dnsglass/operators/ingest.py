@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.domain import cache_key, feature_map, is_valid_domain, normalize_domain
 from ..schema import SEVERITIES
-from .common import top_k
+from .common import ensure_parallelism, top_k
 
 DEFAULT_FIELDS = ["query_name", "query_type", "src_ip", "timestamp"]
 CACHE_TTL_SECONDS = 300
@@ -80,8 +80,9 @@ def validate_event_contract(df: DataFrame, raw_col: str = "value") -> tuple[Data
 
 
 def extract_features(df: DataFrame, extractors=("lexical", "entropy"), col: str = "domain") -> DataFrame:
-    """SCA-8: selected extractor groups merged into one `features` map."""
-    return df.withColumn("features", feature_map(F.col(col), tuple(extractors)))
+    """SCA-8: selected extractor groups merged into one `features` map
+    (CPU-heavy per row: spread over the cluster when the input is narrow)."""
+    return ensure_parallelism(df).withColumn("features", feature_map(F.col(col), tuple(extractors)))
 
 
 def default_missing(features: str, key: str, default: float = 0.0) -> Column:
