@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.domain import LEXICAL_KEYS, ENTROPY_KEYS, entropy_features, lexical_features
 from ..schema import BENIGN_FAMILY
+from .common import running_totals
 
 FEATURE_COLS = LEXICAL_KEYS + ENTROPY_KEYS
 
@@ -179,23 +180,6 @@ def confusion_matrix(pred: DataFrame, truth: str = "truth", predicted: str = "pr
     return pred.groupBy(F.col(truth).alias("truth")).pivot(predicted).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def running_totals(df: DataFrame, order_col: str, cols: list[str], descending: bool = True) -> DataFrame:
-    """Exact global running sums of `cols` in `order_col` order without a
-    single-task window: rows are range-partitioned, per-partition totals (one
-    row per partition) give each partition's offset, and the running sum
-    inside a partition is a window partitioned by partition id."""
-    from .common import cut_lineage
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    r = df.repartitionByRange(o).withColumn("_pid", F.spark_partition_id())
-    r = cut_lineage(r)  # freeze the partition assignment before it is used twice
-    tot = r.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w_p = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    off = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w_p), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    w = Window.partitionBy("_pid").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = r.join(F.broadcast(off), "_pid")
-    return out.select(*df.columns, *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in cols])
-
-
 def roc_curve(pred: DataFrame, score: str = "prob", truth: str = "truth") -> DataFrame:
     """One ROC point per distinct score (ties grouped), highest score first:
     threshold, tp, fp, tpr, fpr, and `auc_part` whose sum is the AUC."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BENIGN_FAMILY
-from .common import top_k
+from .common import exact_percentile, top_k
 
 
 def _dga(df: DataFrame) -> DataFrame:
@@ -85,10 +85,14 @@ def char_distribution(df: DataFrame, by: str = "dga", family: str | None = None)
 def latency_quantile(df: DataFrame, value: str, label: str, bucket: str = "1 day", q: float = 0.95,
                      exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """P-q per (window, label).  Default `percentile_approx` (bounded sketch per
-    group); `exact=True` uses the exact interpolated percentile."""
-    agg = F.percentile(value, q) if exact else F.percentile_approx(value, q, accuracy)
-    g = df.groupBy(F.window("ts", bucket).alias("w"), F.col(label).alias("label")).agg(agg.alias("p"))
-    return g.select(F.col("w.start").alias("window_start"), "label", "p")
+    group); `exact=True` gives the exact interpolated percentile through
+    grouped running totals, so a hot (window, label) group is never held in
+    one task."""
+    d = df.select(F.window("ts", bucket).start.alias("window_start"), F.col(label).alias("label"), F.col(value))
+    if exact:
+        out = exact_percentile(d, ["window_start", "label"], value, q)
+        return out.withColumnRenamed("percentile", "p")
+    return d.groupBy("window_start", "label").agg(F.percentile_approx(value, q, accuracy).alias("p"))
 
 
 def windowed_rate(df: DataFrame, window: str = "5 minutes", slide: str | None = None, by: str = "event_type",

@@ -201,3 +201,27 @@ def score_udf(spark, sf):
         return model
     udf = ML.score_udf(load, "double")
     return fx.dns_events(spark, sf).select("event_id", "domain", udf(F.col("domain")).alias("udf_score"))
+
+
+# --- JOI-16: audit trail of one model (audit rows derived from the version table) ---------------
+
+def _audit(spark):
+    mv = fx.model_versions_v(spark)
+    reg = mv.select(F.lit("model_register").alias("action"), F.col("model_id").alias("resource_id"),
+                    F.col("version").alias("detail"), F.col("created_at"))
+    dep = mv.where(F.col("deployed_at").isNotNull()).select(
+        F.lit("model_deploy").alias("action"), F.col("model_id").alias("resource_id"),
+        F.col("version").alias("detail"), F.col("deployed_at").alias("created_at"))
+    other = mv.select(F.lit("pipeline_update").alias("action"), F.col("model_id").alias("resource_id"),
+                      F.col("version").alias("detail"), F.col("created_at"))
+    return reg.unionByName(dep).unionByName(other)
+
+
+@register("model_history", """
+WITH a AS (SELECT 'model_register' AS action, model_id AS resource_id, version AS detail, created_at FROM model_versions_v
+  UNION ALL SELECT 'model_deploy', model_id, version, deployed_at FROM model_versions_v WHERE deployed_at IS NOT NULL
+  UNION ALL SELECT 'pipeline_update', model_id, version, created_at FROM model_versions_v)
+SELECT * FROM a WHERE action LIKE 'model_%' AND resource_id = 'family'""")
+def model_history(spark, sf):
+    from ..operators.ops import model_history as op
+    return op(_audit(spark), "family")

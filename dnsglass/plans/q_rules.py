@@ -121,9 +121,8 @@ def shannon_entropy_base(spark, sf):
 SELECT event_id, len(string_split(domain, '')) AS n_chars_check, round({_entropy_sql('domain')}, 6) AS entropy_full
 FROM dns_events""")
 def extract_features(spark, sf):
-    ev = _ev(spark, sf).select("event_id", "domain")
-    m = D.feature_map(F.col("domain"))
-    out = ev.select("event_id", "domain", m.alias("features"))
+    from ..operators.ingest import extract_features as op
+    out = op(_ev(spark, sf).select("event_id", "domain"), ("lexical", "entropy"))
     return out.select("event_id", F.length("domain").cast("bigint").alias("n_chars_check"),
                       r6(F.element_at("features", F.lit("entropy_full"))).alias("entropy_full"))
 

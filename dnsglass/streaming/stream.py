@@ -135,10 +135,15 @@ def windowed_counts(df: DataFrame, kind: str = "tumbling", size: str = "1 minute
 # --- STR-6 / STR-7 --------------------------------------------------------------------------------------
 
 def drift_monitor_batch(window_size: int = 1000, baseline: DataFrame | None = None,
-                        features=("score", "domain_len"), ops_path: str | None = None) -> Callable[[DataFrame, int], None]:
+                        features=("score", "domain_len"), ops_path: str | None = None,
+                        as_of: str | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: the newest `window_size` samples -> PSI against the
-    baseline (needs >= 100) -> ALERT rows appended to the operations table."""
+    baseline (needs >= 100) -> ALERT rows appended to the operations table
+    (6 h cooldown per feature, relative to the batch time)."""
+    import datetime as _dt
+
     def body(batch: DataFrame, epoch: int) -> None:
+        now = as_of or _dt.datetime.utcnow().strftime("%Y-%m-%d %H:%M:%S")
         cur = last_n(batch, window_size)
         scores = DR.psi(baseline, cur, list(features))
         ops = None
@@ -147,7 +152,7 @@ def drift_monitor_batch(window_size: int = 1000, baseline: DataFrame | None = No
                 ops = batch.sparkSession.read.parquet(ops_path)
             except Exception:  # noqa: BLE001 - first run
                 ops = None
-        alerts = DR.drift_alerts(scores, ops).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
+        alerts = DR.drift_alerts(scores, ops, now).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
         if ops_path:
             alerts.write.mode("append").parquet(ops_path)
     return body
