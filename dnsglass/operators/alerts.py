@@ -88,11 +88,18 @@ def alert_listing(df: DataFrame) -> DataFrame:
 def alerts_by_domain(df: DataFrame, size: int = 200, top_ips: int = 10) -> DataFrame:
     """Alerts grouped by domain.
 
-    Plan: one partial+final hash aggregate on (domain, src_ip, family) shrinks
-    the events to one row per triple; the per-domain scalars, the exact top
-    source IPs (row_number <= 10, map-side WindowGroupLimit) and the most
-    frequent family (min over struct(-count, family)) are derived from it, so a
-    domain holding a third of all events is reduced map-side like any other.
+    Plan (one scan of the events, two shuffles):
+    1. partial + final aggregate on (domain, src_ip, family): a domain holding
+       a third of all events is reduced map-side to one row per (ip, family);
+    2. those rows are hash-partitioned by domain once; per-IP and per-family
+       counts are windows partitioned by (domain, ip) / (domain, family), which
+       the domain partitioning already satisfies (no further exchange);
+    3. the per-domain aggregate runs on the same partitioning: totals, rank
+       maximum, score maximum, first / last seen, unacknowledged count, exact
+       distinct IPs, the 10 busiest IPs (count desc, ip asc) and the most
+       frequent family (count desc, name asc);
+    4. top `size` domains by count (TakeOrderedAndProject), final order
+       (count, severity rank) desc, domain asc.
     """
     base = df.where(F.col("domain").isNotNull()).select(
         "domain", "src_ip", "family", severity_rank("severity").alias("sev_rank"),
@@ -102,28 +109,31 @@ def alerts_by_domain(df: DataFrame, size: int = 200, top_ips: int = 10) -> DataF
         F.max("score").alias("max_score"), F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         F.count_if(F.col("acknowledged") == F.lit(False)).alias("unack"))
-    dom = l1.groupBy("domain").agg(
+    from pyspark.sql import Window
+    d = l1.repartition("domain")
+    w_ip = Window.partitionBy("domain", "src_ip")
+    w_fam = Window.partitionBy("domain", "family")
+    d = (d.withColumn("ip_n", F.sum("n").over(w_ip))
+         .withColumn("ip_first", F.row_number().over(w_ip.orderBy(F.col("family").asc_nulls_first())) == 1)
+         .withColumn("fam_n", F.sum("n").over(w_fam)))
+    ip_ok = F.col("src_ip").isNotNull() & F.col("ip_first")
+    ip_rank = F.dense_rank().over(Window.partitionBy("domain").orderBy(
+        F.when(ip_ok, F.lit(0)).otherwise(F.lit(1)), F.desc("ip_n"), F.asc("src_ip")))
+    d = d.withColumn("ip_rank", F.when(ip_ok, ip_rank))
+    agg = d.groupBy("domain").agg(
         F.sum("n").alias("alert_count"), F.max("sev_rank").alias("sev_rank"),
         F.max("max_score").alias("max_score"), F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"), F.sum("unack").alias("unack"))
-    ips = (l1.where(F.col("src_ip").isNotNull()).groupBy("domain", "src_ip")
-           .agg(F.sum("n").alias("n")))
-    ip_count = ips.groupBy("domain").agg(F.count(F.lit(1)).alias("unique_src_ip_count"))
-    top = top_k_per_group(ips, ["domain"], [F.desc("n"), F.asc("src_ip")], top_ips)
-    top_list = top.groupBy("domain").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "src_ip"))),
-                    lambda s: s["src_ip"]).alias("unique_src_ips"))
-    fam = (l1.where(F.col("family").isNotNull()).groupBy("domain", "family")
-           .agg(F.sum("n").alias("n"))
-           .groupBy("domain").agg(F.min(F.struct((-F.col("n")).alias("neg"), "family"))
-                                  .getField("family").alias("family")))
-    top_dom = top_k(dom, [F.desc("alert_count"), F.asc("domain")], size)
-    out = (top_dom.join(ip_count, "domain", "left").join(top_list, "domain", "left")
-           .join(fam, "domain", "left"))
-    return out.select(
+        F.max("last_seen").alias("last_seen"), F.sum("unack").alias("unack"),
+        F.count_if(ip_ok).alias("unique_src_ip_count"),
+        F.array_sort(F.collect_list(F.when(F.col("ip_rank") <= top_ips, F.struct("ip_rank", "src_ip"))))
+        .alias("_ips"),
+        F.min(F.when(F.col("family").isNotNull(), F.struct((-F.col("fam_n")).alias("neg"), "family")))
+        .getField("family").alias("family"))
+    top_dom = top_k(agg, [F.desc("alert_count"), F.asc("domain")], size)
+    return top_dom.select(
         "domain", F.col("alert_count").cast("long").alias("alert_count"),
-        F.coalesce("unique_src_ips", F.array().cast("array<string>")).alias("unique_src_ips"),
-        F.coalesce("unique_src_ip_count", F.lit(0)).cast("long").alias("unique_src_ip_count"),
+        F.transform("_ips", lambda x: x["src_ip"]).alias("unique_src_ips"),
+        F.col("unique_src_ip_count").cast("long").alias("unique_src_ip_count"),
         F.coalesce(rank_to_severity(F.col("sev_rank")), F.lit("LOW")).alias("max_severity"),
         "max_score", "family", "first_seen", "last_seen",
         (F.col("unack") == 0).alias("all_acknowledged"),

@@ -12,7 +12,6 @@ from an equi-join on row positions bounded by n per anchor.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,28 +114,37 @@ def rate_limit(df: DataFrame, key: str = "key", limit: int = 600, window_sec: in
 def rate_limit_strict(df: DataFrame, key: str = "key", limit: int = 600, window_sec: int = 60,
                       id_col: str = "request_id") -> DataFrame:
     """In-process limiter: only accepted requests count, so each decision
-    depends on the previous ones (sequential per key).  Runs as an ordered
-    scan per key in `applyInPandas`; output (key, id, ts, allowed)."""
-    w = pd.Timedelta(seconds=window_sec)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", id_col], kind="mergesort")
-        accepted: list = []
-        out = []
-        head = 0
-        for t in pdf["ts"]:
-            while head < len(accepted) and accepted[head] <= t - w:
-                head += 1
-            ok = (len(accepted) - head) < limit
-            if ok:
-                accepted.append(t)
-            out.append(ok)
-        pdf = pdf.assign(allowed=out)
-        return pdf[[key, id_col, "ts", "allowed"]]
+    depends on the previous ones of the same key (inherently sequential).
+
+    Rows are hash-partitioned by key and sorted by (key, ts, id) inside each
+    partition; `mapInPandas` then scans the Arrow batches in that order and
+    carries, per key, only the accepted timestamps of the last window (at most
+    `limit`).  A hot key is streamed through one task, never held whole in
+    memory.  Output (key, id, ts, allowed)."""
+    from collections import deque
+
+    w_us = window_sec * 1_000_000
+    d = df.select(key, id_col, "ts", ts_micros("ts").alias("_t"))
+    d = d.repartition(key).sortWithinPartitions(key, "_t", id_col)
+
+    def scan(it):
+        cur_key, acc = object(), deque()
+        for pdf in it:
+            allowed = []
+            for k, t in zip(pdf[key], pdf["_t"]):
+                if k != cur_key:
+                    cur_key, acc = k, deque()
+                while acc and acc[0] <= t - w_us:
+                    acc.popleft()
+                ok = len(acc) < limit
+                if ok:
+                    acc.append(t)
+                allowed.append(ok)
+            yield pdf.assign(allowed=allowed)[[key, id_col, "ts", "allowed"]]
 
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {id_col} {df.schema[id_col].dataType.simpleString()}, " \
-             f"ts timestamp_ntz, allowed boolean"
-    return df.select(key, id_col, "ts").groupBy(key).applyInPandas(scan, schema)
+             f"ts {df.schema['ts'].dataType.simpleString()}, allowed boolean"
+    return d.mapInPandas(scan, schema)
 
 
 # --- WIN-8 ------------------------------------------------------------------------------------
