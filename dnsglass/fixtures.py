@@ -45,7 +45,7 @@ def _pick(idx, values):
 
 
 def _dns_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn(
+    e = events_table(spark, sf_dir).withColumn(
         "k", F.get_json_object("props", "$.k").cast("long"))
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     j = e.join(p, p.page_id == e.k % 50)

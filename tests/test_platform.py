@@ -110,4 +110,4 @@ def test_entry_contract(spark):
     df = ent.entry(spark)
     assert df.count() > 0
     q, o = ent.queries(), ent.oracle_sql()
-    assert set(o) <= set(q) and len(q) > 150
+    assert set(o) <= set(q) and len(q) >= 170 and len(o) >= 160
