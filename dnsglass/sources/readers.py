@@ -128,8 +128,8 @@ def read_labelled_domains(spark: SparkSession, path: str) -> DataFrame:
 def read_knowledge_docs(spark: SparkSession, path: str) -> DataFrame:
     """SRC-10: recursive *.md files, whole text; source = path, category =
     parent directory, title = file stem."""
-    df = (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md")
-          .option("recursiveFileLookup", "true").text(path))
+    df = (spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true")
+          .text(path, wholetext=True))
     p = F.col("_metadata.file_path")
     parts = F.split(p, "/")
     return df.select(F.col("value").alias("content"), p.alias("source"),

@@ -191,8 +191,8 @@ def triage_stream(alerts: DataFrame, events: DataFrame, window_sec: int = 300, d
     j = a.join(e, (F.col("a_ip") == F.col("e_ip"))
                & F.col("e_ts").between(F.col("a_ts") - F.expr(f"INTERVAL {window_sec} SECONDS"),
                                        F.col("a_ts") + F.expr(f"INTERVAL {window_sec} SECONDS")), "leftOuter")
-    g = (j.withWatermark("a_ts", delay).groupBy("alert_id", "a_ip", "a_ts", "a_score")
-         .agg(F.count("e_ts").alias("correlated_count")))
+    # a_ts keeps the alert side's event-time watermark through the join
+    g = j.groupBy("alert_id", "a_ip", "a_ts", "a_score").agg(F.count("e_ts").alias("correlated_count"))
     return g.withColumn("triage_severity", severity_scale("C", F.col("a_score"), correlated=F.col("correlated_count")))
 
 
