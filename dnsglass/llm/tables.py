@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written to the shared folder named by
-    `spark.checkpoint.dir` and read again (a reliable checkpoint: a lost executor
-    costs nothing).  Only where that setting is absent, as in tests, a local
-    folder is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        d = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="corpus-ckpt-"))
-    return df.checkpoint(eager=True)
+    """The rows of `df`, written as a Parquet table in the shared folder named by
+    `spark.checkpoint.dir` and read again: lineage ends there, and a lost executor
+    costs nothing.  Only where that setting is absent, as in tests, a local folder
+    is taken."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="corpus-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
