@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, suffix_dedup
+from . import bpe, decontaminate, minhash, quality, suffix_dedup
 from .tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_minhash")
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(parquet(spark, sf_dir, "documents"))
+
+
+@register("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+
+
+@register("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))

@@ -36,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import CHUNK_BYTES, U64, ByteHash, batches, chunks, mix, runs, spread, string_bytes, table_of
 from .lyndon import suffix_arrays
-from .tables import cut, texts
+from .tables import cut
 
 LENGTH = 100
 GRAM = 16
@@ -219,14 +220,19 @@ def settle(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _ddl(FOUND))
 
 
+def _text(rows: pa.StructArray) -> pa.Array:
+    """The text of a column of structs (text, ...)."""
+    return pc.struct_field(rows, [0])
+
+
 def segments(open_pieces: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The bytes of every PIECE, and a row for every string of a SPLIT (no bytes)."""
     listed = open_pieces.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "pos", "len")).alias("pieces"))
-    rows = docs.join(listed, "doc").select("doc", "text", "pieces")
+    rows = docs.join(listed, "doc").select("doc", "row", "pieces")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            data, off = string_bytes(batch.column(1))
+            data, off = string_bytes(_text(batch.column(1)))
             ids, lists = np.asarray(batch.column(0)), batch.column(2)
             at = np.asarray(lists.offsets)
             kind, key, pos, size = (np.asarray(x) for x in lists.values.flatten())
@@ -357,20 +363,22 @@ def merge_spans(pos: np.ndarray, size: np.ndarray, n_bytes: int, length: int = L
     return lo[first], reach[np.r_[first[1:], len(lo)] - 1]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, text, spans array<struct<pos, len>>) of every row: the starts of its
-    repeated strings, null if there are none.  doc is NO_ID where doc_id is null."""
-    docs = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    found = cut(settle(pieces(docs, length)))
+def repeated_spans(docs: DataFrame, length: int = LENGTH, also: list[str] | None = None) -> DataFrame:
+    """(doc, row struct<text, ...>, spans array<struct<pos, len>>) of every row: the
+    starts of its repeated strings, null if there are none.  doc is NO_ID where
+    doc_id is null; the struct holds the other columns asked for."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+                       F.struct(F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in also or [])).alias("row"))
+    found = cut(settle(pieces(docs.select("doc", F.col("row.text").alias("text")), length)))
     rest = found.filter(F.col("kind") != REPEAT)
     spans = found.filter(F.col("kind") == REPEAT).select("doc", "pos", "len").union(
         sort_segments(segments(rest, docs, length), length))
     listed = spans.groupBy("doc").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
-    return docs.join(listed, "doc", "left").select("doc", "text", "spans")
+    return docs.join(listed, "doc", "left").select("doc", "row", "spans")
 
 
 def _removed(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
-    data, off = string_bytes(batch.column(1))
+    data, off = string_bytes(_text(batch.column(1)))
     lists = batch.column(2)
     at = np.asarray(lists.offsets)
     pos, size = (np.asarray(x).astype(np.int64) for x in lists.values.flatten())
@@ -399,12 +407,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return repeated_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) with the repeats taken out; a character that is only partly
-    covered stays whole."""
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of `docs`, all columns, with the repeats taken out of text (a character
+    that is only partly covered stays whole) and n_chars, if there is one, counted anew."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    schema = docs.schema
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
+            out, rows = [], batch.column(1)
             for _, raw, lo, hi in _removed(batch, length):
                 if len(lo):
                     lead = (np.frombuffer(raw + b"\0", np.uint8) & 0xC0) != 0x80  # where characters start
@@ -414,7 +425,13 @@ def kept_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     keep = hi > lo
                     lo, hi = lo[keep], hi[keep]
                 out.append(_kept(raw, lo, hi).decode())
-            ids = [None if x == NO_ID else x for x in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    return repeated_spans(docs, length).mapInArrow(run, "doc_id long, text string")
+            text = pa.array(out, pa.string())
+            made = {"doc_id": pc.if_else(pc.equal(batch.column(0), NO_ID), None, batch.column(0)),
+                    "text": pc.if_else(pc.is_null(_text(rows)), None, text)}
+            for i, c in enumerate(others, 1):
+                made[c] = pc.struct_field(rows, [i])
+            if "n_chars" in made:
+                made["n_chars"] = pc.if_else(pc.is_null(made["n_chars"]), None, pc.utf8_length(text)).cast(made["n_chars"].type)
+            yield pa.record_batch([made[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
+
+    return repeated_spans(docs, length, others).mapInArrow(run, schema)
