@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, quality, suffix_dedup
+from . import bpe, decontaminate, langid, minhash, quality, suffix_dedup, token_counts
 from .tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
+@register("op2_langid")
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(parquet(spark, sf_dir, "documents"))
+
+
+@register("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(parquet(spark, sf_dir, "documents"))
