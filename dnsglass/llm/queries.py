@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, spotsigs, suffix_dedup, token_counts, url_filter
+from . import bpe, decontaminate, html_text, langid, minhash, quality, spotsigs, suffix_dedup, token_counts, url_filter
 from .tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ FROM cap c LEFT JOIN best b ON b.page_id = c.page_id AND b.r = 1
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = _captures(spark, sf_dir)
     return url_filter.evaluate(captures, _entries(captures)).select("page_id", "url", "fetched", "filter.*")
+
+
+@register("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(parquet(spark, sf_dir, "pages"))
