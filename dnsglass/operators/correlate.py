@@ -6,8 +6,11 @@ Rows within `halo` of a chunk edge are copied into the neighbouring chunk as
 context rows that are counted but never emitted, so each emitted row sees its
 complete ±window inside its own partition.  A source IP holding a third of
 all events is therefore spread over as many tasks as it has chunks, and no
-pair list is ever materialised: counts come from RANGE frames, neighbour lists
-from an equi-join on row positions bounded by n per anchor.
+pair list is ever materialised.  Counts, sums and means of a window are differences
+of two frames that only grow, so a chunk costs its sort and one pass however many
+rows a window holds; distinct counts are a running sum of domains that enter and
+leave the window; neighbour lists come from an equi-join on row positions bounded
+by n per anchor.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from ..functions.domain import shannon_entropy
 from ..schema import severity_scale
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-DEFAULT_CHUNK_SEC = 3600
+DEFAULT_CHUNK_SEC = 3600   # neighbour lists
+CHUNK_HALOS = 4            # aggregates: a chunk is so many halos long, at most half of its rows are copies
 
 
 def ts_micros(col: str = "ts") -> Column:
@@ -42,16 +46,58 @@ def with_halo(df: DataFrame, ts_us: str, halo_us: int, chunk_us: int) -> DataFra
 
 
 def range_aggregate(df: DataFrame, key: str, ts_us: str, before_us: int, after_us: int,
-                    aggs: dict, chunk_us: int | None = None) -> DataFrame:
+                    aggs: dict[str, tuple[str, str | None]], chunk_us: int | None = None) -> DataFrame:
     """For every row: aggregates over rows of the same key whose time lies in
-    [t - before_us, t + after_us] (inclusive), skew-safe via chunk + halo."""
+    [t - before_us, t + after_us] (inclusive), skew-safe via chunk + halo.
+
+    `aggs` maps an output name to ("count", None), ("sum", column), ("avg", column)
+    or ("distinct", column); the last needs a trailing window (after_us = 0).
+    Means of no value and sums of no value are null.  Fractional columns are summed
+    as decimals with 12 places, so a difference of prefix sums is exact."""
     halo = max(before_us, after_us)
-    chunk_us = chunk_us or max(DEFAULT_CHUNK_SEC * 1_000_000, 2 * halo)
+    chunk_us = chunk_us or max(CHUNK_HALOS * halo, 1_000_000)
     h = with_halo(df, ts_us, halo, chunk_us)
-    w = Window.partitionBy(key, "_chunk").orderBy(ts_us).rangeBetween(-before_us, after_us)
-    cols = [(a(w) if callable(a) else a.over(w)).alias(n) for n, a in aggs.items()]
-    out = h.select("*", *cols)
-    return out.where("_own").drop("_chunk", "_own")
+    part = Window.partitionBy(key, "_chunk").orderBy(ts_us)
+    upto = part.rangeBetween(Window.unboundedPreceding, after_us)
+    below = part.rangeBetween(Window.unboundedPreceding, -before_us - 1)
+
+    def between(value: Column) -> Column:
+        return F.coalesce(F.sum(value).over(upto), F.lit(0)) - F.coalesce(F.sum(value).over(below), F.lit(0))
+
+    kinds = dict(df.dtypes)
+    cols = []
+    for name, (kind, col) in aggs.items():
+        if kind == "count":
+            cols.append(between(F.lit(1).cast("long")).alias(name))
+        elif kind in ("sum", "avg"):
+            fraction = kinds[col] in ("double", "float")
+            value = F.col(col).cast("decimal(26,12)") if fraction else F.col(col).cast("long")
+            n = between(F.col(col).isNotNull().cast("long"))
+            total = between(value)
+            total = total.cast("double") if fraction or kind == "avg" else total
+            cols.append(F.when(n > 0, total / n if kind == "avg" else total).alias(name))
+    own = h.select("*", *cols)
+    for name, (kind, col) in aggs.items():
+        if kind == "distinct":
+            if after_us:
+                raise ValueError("distinct counts need a trailing window")
+            own = _distinct_in_window(own, key, ts_us, before_us, col, name)
+    return own.where("_own").drop("_chunk", "_own")
+
+
+def _distinct_in_window(h: DataFrame, key: str, ts_us: str, before_us: int, col: str, name: str) -> DataFrame:
+    """Distinct non-null values of `col` in [t - before_us, t] per (key, chunk).  A value
+    enters at a row and leaves at its next occurrence or just after the window,
+    whichever is first; the count is the running sum of entries and exits."""
+    again = F.lead(ts_us).over(Window.partitionBy(key, "_chunk", col).orderBy(ts_us))
+    present = F.col(col).isNotNull()
+    h = h.withColumn("_leave", F.least(again, F.col(ts_us) + before_us + 1))
+    rows = [c for c in h.columns if c != "_leave"]
+    steps = h.select(*rows, F.inline(F.array(
+        F.struct(F.col(ts_us).alias("_at"), present.cast("int").alias("_step"), F.lit(True).alias("_row")),
+        F.struct(F.col("_leave").alias("_at"), (-present.cast("int")).alias("_step"), F.lit(False).alias("_row")))))
+    running = Window.partitionBy(key, "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn(name, F.sum("_step").over(running)).where("_row").select(*rows, name)
 
 
 # --- JOI-5 / JOI-6 -----------------------------------------------------------------------
@@ -61,7 +107,7 @@ def correlate(df: DataFrame, window_sec: int = 300, key: str = "src_ip") -> Data
     (the event itself included)."""
     w = window_sec * 1_000_000
     d = df.where(F.col(key).isNotNull()).withColumn("_t", ts_micros("ts"))
-    out = range_aggregate(d, key, "_t", w, w, {"correlated_count": F.count(F.lit(1))})
+    out = range_aggregate(d, key, "_t", w, w, {"correlated_count": ("count", None)})
     return out.drop("_t")
 
 
@@ -107,7 +153,7 @@ def rate_limit(df: DataFrame, key: str = "key", limit: int = 600, window_sec: in
     (rejected ones count too); allowed when count <= limit."""
     w = window_sec * 1_000_000
     d = df.withColumn("_t", ts_micros("ts"))
-    out = range_aggregate(d, key, "_t", w - 1, 0, {"window_count": F.count(F.lit(1))})
+    out = range_aggregate(d, key, "_t", w - 1, 0, {"window_count": ("count", None)})
     return out.withColumn("allowed", F.col("window_count") <= limit).drop("_t")
 
 
@@ -156,10 +202,10 @@ def sliding_domain_features(df: DataFrame, window_sec: int = 120, key: str = "sr
     d = (df.where(F.col(key).isNotNull()).withColumn("_t", ts_micros("ts"))
          .withColumn("_h", shannon_entropy(F.col("domain"))))
     out = range_aggregate(d, key, "_t", w, 0, {
-        "win_queries": F.count(F.lit(1)),
-        "win_domains": lambda w: F.size(F.collect_set("domain").over(w)),
-        "win_mean_entropy": F.avg("_h"),
-        "win_response_bytes": F.sum("response_size"),
+        "win_queries": ("count", None),
+        "win_domains": ("distinct", "domain"),
+        "win_mean_entropy": ("avg", "_h"),
+        "win_response_bytes": ("sum", "response_size"),
     })
     return out.drop("_t", "_h")
 

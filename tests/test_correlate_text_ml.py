@@ -2,7 +2,6 @@
 evaluation metrics against brute force on small fixtures."""
 
 import datetime as dt
-import hashlib
 import math
 import random
 
@@ -35,6 +34,33 @@ def test_correlate_counts_brute_force(spark):
         assert got[eid] == want, eid
 
 
+def test_correlate_one_source_in_one_hour(spark):
+    """200,000 events of one source within an hour: the cost must not follow the window's size."""
+    n = 200_000
+    df = spark.range(n).select(
+        F.lit("10.0.0.1").alias("src_ip"), F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 3600.0 / {n})").alias("ts"),
+        F.concat(F.lit("d"), (F.col("id") % 977).cast("string"), F.lit(".com")).alias("domain"), F.lit(10).alias("response_size"))
+    counts = C.correlate(df, 300).agg(F.min("correlated_count"), F.max("correlated_count")).first()
+    assert tuple(counts) == (16667, 33333)
+    top = C.sliding_domain_features(df, 120).agg(F.max("win_queries"), F.max("win_domains"), F.max("win_response_bytes")).first()
+    assert tuple(top) == (6667, 977, 66670)
+
+
+def test_sliding_features_brute_force(spark):
+    rows, df = _events(spark, 400, 9)
+    rnd = random.Random(4)
+    doms = {e: rnd.choice(["a.com", "bb.com", "xyz.net", None]) for e, *_ in rows}
+    size = {e: rnd.choice([None, 5, 70]) for e, *_ in rows}
+    extra = spark.createDataFrame([(e, doms[e], size[e]) for e in doms], "event_id string, domain string, response_size int")
+    got = {r["event_id"]: r for r in C.sliding_domain_features(df.join(extra, "event_id"), 120).collect()}
+    for eid, ip, t, _ in rows:
+        near = [e for e, ip2, t2, _ in rows if ip2 == ip and 0 <= (t - t2).total_seconds() <= 120]
+        sizes = [size[e] for e in near if size[e] is not None]
+        r = got[eid]
+        assert (r["win_queries"], r["win_domains"]) == (len(near), len({doms[e] for e in near if doms[e]}))
+        assert r["win_response_bytes"] == (sum(sizes) if sizes else None)
+
+
 def test_correlated_events_brute_force(spark):
     rows, df = _events(spark, 300, 5)
     anchors = df.where(F.col("score") > 0.8).select("event_id")
@@ -86,33 +112,33 @@ def test_chunking_literal(spark):
     assert [(r["chunk_id"], len(r["content"])) for r in out] == [(0, 100), (1, 100), (2, 90), (3, 10)]
 
 
-def _py_embed(text, dim=768):
-    t = (text or "").lower().strip() or "x"
-    toks = t.split() + [t[i:i + 3] for i in range(max(1, len(t) - 2))] + [t]
-    v = np.zeros(dim)
-    for tok in toks:
-        if not tok:
-            continue
-        h = int.from_bytes(hashlib.md5(tok.encode()).digest()[:8], "big")
-        v[h % dim] += -1.0 if (h >> 63) & 1 else 1.0
-    n = np.linalg.norm(v)
-    return v / n if n else np.eye(dim)[0]
+# md5 prefixes worked out by hand for the text "ab" (its word, its only 3-gram and the whole are all "ab"):
+# md5("ab") = 187ef4436122d1cc..., so bucket 0x187ef4436122d1cc % 768 with sign + (top bit 0)
+AB_BUCKET = 0x187EF4436122D1CC % 768
 
 
-def test_hash_embed_and_knn_brute_force(spark):
-    texts = ["DGA domains use random labels", "Conficker generates 50000 domains", "  ", "abc",
-             "beaconing to command and control", "fast flux networks rotate IPs"]
+def test_hash_embed_literal_and_properties(spark):
+    texts = ["ab", "  AB ", "DGA domains use random labels", "labels random use domains DGA", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     emb = {r["doc_id"]: np.array(r["embedding"], dtype=float) for r in SE.hash_embed(df, "doc_id", "text").collect()}
-    for i, t in enumerate(texts):
-        assert np.allclose(emb[i], _py_embed(t), atol=1e-6)
-    q = spark.createDataFrame([(100, "random domain labels")], "query_id int, text string")
-    qv = SE.hash_embed(q, "query_id", "text")
-    cv = SE.hash_embed(df, "doc_id", "text")
-    got = [r["doc_id"] for r in SE.knn_cosine(qv, cv, 3).orderBy("rank").collect()]
-    qe = _py_embed("random domain labels")
-    sims = sorted(((-(1 + float(qe @ emb[i]) / (np.linalg.norm(qe) * np.linalg.norm(emb[i]))) / 2, i) for i in emb))
-    assert got == [i for _, i in sims[:3]]
+    assert emb[0][AB_BUCKET] == 1.0 and np.count_nonzero(emb[0]) == 1
+    assert np.array_equal(emb[0], emb[1])                       # case and outer space do not matter
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-6 for v in emb.values())
+    assert 0.3 < float(emb[2] @ emb[3]) < 1.0                   # same words in another order: near, not equal
+    assert np.array_equal(emb[4], emb[5])                       # empty like missing
+
+
+def test_knn_matches_exact_cosines(spark):
+    rnd = np.random.default_rng(3)
+    vecs, qs = rnd.normal(size=(40, 768)), rnd.normal(size=(3, 768))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "doc_id int, embedding array<double>")
+    query = spark.createDataFrame([(100 + i, v.tolist()) for i, v in enumerate(qs)], "query_id int, embedding array<double>")
+    got = {}
+    for r in SE.knn_cosine(query, corpus, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    for i, q in enumerate(qs):
+        cos = vecs @ q / np.linalg.norm(vecs, axis=1)
+        assert got[100 + i] == np.argsort(-cos)[:3].tolist()
 
 
 def test_bm25_brute_force(spark):
