@@ -51,14 +51,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by `spark.checkpoint.dir`.
 
     On a cluster that setting names a shared (HDFS / object store) folder and is
-    used as is.  Only when it is unset (local tests) a scratch folder is made.
+    used as is; without it there is no folder that all executors see, so that is
+    an error.  Only a local master gets a scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="dnsglass-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether `path` holds anything, asked of Spark's file system for it; a failed
+    look-up is an error, never "no"."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(not f.getPath().getName().startswith((".", "_")) for f in fs.listStatus(p))

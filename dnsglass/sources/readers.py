@@ -117,12 +117,12 @@ def event_source(df: DataFrame, predicate=None, fields: list[str] | None = None)
 
 def read_labelled_domains(spark: SparkSession, path: str) -> DataFrame:
     """SRC-9: `Domain, Target, Botnet_Family` CSV -> (domain, target, family)."""
-    df = spark.read.option("header", "true").schema(LABELLED_SCHEMA).csv(path)
+    df = spark.read.option("header", "true").csv(path)  # columns by their names in the header
     missing = [c for c in ("Domain", "Target", "Botnet_Family") if c not in df.columns]
     if missing:
         raise ValueError(f"labelled CSV lacks columns {missing}")
-    return df.select(F.col("Domain").alias("domain"), F.col("Target").alias("target"),
-                     F.col("Botnet_Family").alias("family"))
+    kinds = {f.name: f.dataType for f in LABELLED_SCHEMA.fields}
+    return df.select(*[F.col(c).cast(kinds[c]).alias(n) for c, n in (("Domain", "domain"), ("Target", "target"), ("Botnet_Family", "family"))])
 
 
 def read_knowledge_docs(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.common import cut_lineage
 from ..operators.rules import sink_condition
+from ..session import path_exists
 
 log = logging.getLogger(__name__)
 
@@ -44,28 +45,48 @@ def date_suffix(ts, pattern: str = "daily") -> Column:
     return F.lit("")
 
 
-def write_event_store(df: DataFrame, path: str, condition: str | None = "always") -> None:
-    """SNK-1: upsert by event_id into the day partitions the batch touches.
+# Index column of the event store for each date pattern.
+_INDEX = {"daily": "event_date", "monthly": "event_month", "none": "event_all"}
 
-    New rows win over stored rows with the same id; only touched partitions
-    are rewritten (spark.sql.sources.partitionOverwriteMode=dynamic).  The
-    merged data is check-pointed first, so the overwrite never reads the
-    files it replaces."""
+
+def with_index(df: DataFrame, date_pattern: str = "daily") -> DataFrame:
+    """Adds the store's index column: the day, the month (yyyy.MM), or one constant."""
+    if date_pattern not in _INDEX:
+        raise ValueError(f"date pattern {date_pattern!r}: one of {sorted(_INDEX)}")
+    if date_pattern == "daily":
+        return with_event_date(df)
+    return df.withColumn(_INDEX[date_pattern], date_suffix("ts", "monthly") if date_pattern == "monthly" else F.lit("all"))
+
+
+def write_event_store(df: DataFrame, path: str, condition: str | None = "always", date_pattern: str = "daily",
+                      files: int = 8) -> None:
+    """SNK-1: upsert by event_id into the index partitions that the batch touches.
+
+    A new row wins over a stored one with its id; of two new ones the later (ts)
+    wins, then the larger by its columns.  Only touched partitions are rewritten
+    (dynamic overwrite), each by up to `files` tasks, from a copy in the shared
+    folder, so the overwrite never reads what it replaces.  Whether a store exists is
+    asked of the file system; a store that cannot be read, or whose columns have
+    other types, is an error and stays as it is."""
     spark = df.sparkSession
-    new = with_event_date(_cond(df, condition)).withColumn("_prio", F.lit(1))
-    try:
+    index = _INDEX[date_pattern]
+    new = with_index(_cond(df, condition), date_pattern).withColumn("_prio", F.lit(1))
+    merged = new
+    if path_exists(spark, path):
         old = spark.read.parquet(path)
-        days = new.select("event_date").distinct()
-        old = old.join(F.broadcast(days), "event_date", "left_semi").withColumn("_prio", F.lit(0))
+        kinds = dict(old.dtypes)
+        wrong = [f"{c}: {kinds[c]} stored, {t} new" for c, t in new.dtypes if c in kinds and kinds[c] != t and c != index]
+        if wrong:
+            raise ValueError("column types differ from the store's: " + "; ".join(wrong))
+        old = old.withColumn(index, F.col(index).cast(dict(new.dtypes)[index]))
+        old = old.join(new.select(index).distinct(), index, "left_semi").withColumn("_prio", F.lit(0))
         merged = new.unionByName(old, allowMissingColumns=True)
-    except Exception:  # noqa: BLE001 - no store yet
-        merged = new
-    best = merged.groupBy("event_id").agg(F.max_by(F.struct(*[c for c in merged.columns if c != "event_id"]),
-                                                   F.col("_prio")).alias("r"))
-    out = best.select("event_id", "r.*").drop("_prio")
-    out = cut_lineage(out)
-    (out.repartition("event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("event_date").parquet(path))
+    rest = [c for c in merged.columns if c not in ("event_id", "_prio")]
+    order = F.struct("_prio", "ts", F.xxhash64(*[c for c in rest if not dict(merged.dtypes)[c].startswith("map")]))
+    best = merged.groupBy("event_id").agg(F.max_by(F.struct(*rest), order).alias("r"))
+    out = cut_lineage(best.select("event_id", "r.*"))
+    (out.repartition(index, F.pmod(F.xxhash64("event_id"), F.lit(files))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(index).parquet(path))
 
 
 def alert_messages(df: DataFrame, key: str = "domain", condition: str | None = "is_dga") -> DataFrame:
@@ -114,7 +135,7 @@ def fan_out(df: DataFrame, targets: list[tuple[str, str | None, object]], on_err
                 writer(part)
                 report.append((name, True, None, rows))
             except Exception as e:  # noqa: BLE001
-                report.append((name, False, str(e)[:500], 0))
+                report.append((name, False, str(e), 0))
                 if on_error == "abort":
                     raise
     finally:
@@ -152,9 +173,9 @@ def batch_run_stats(df: DataFrame) -> DataFrame:
                   F.count_if(errs).cast("long").alias("errors"), files.cast("long").alias("files"))
 
 
-def append_feedback(df: DataFrame, path: str | None = None) -> DataFrame:
-    """SNK-13: analyst labels with defaults; rows whose true_label is not
-    dga / benign are rejected (returned separately when no path is given)."""
+def split_feedback(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Analyst labels with defaults as (accepted, rejected); a label other than dga /
+    benign, or a missing domain, is rejected with a `reason`."""
     out = df.select(
         F.coalesce("event_id", F.lit("")).alias("event_id"), F.col("domain"),
         F.lower(F.col("true_label")).alias("true_label"),
@@ -162,7 +183,18 @@ def append_feedback(df: DataFrame, path: str | None = None) -> DataFrame:
         F.coalesce("score", F.lit(0.0)).alias("score"), F.col("family"),
         F.coalesce("annotator", F.lit("analyst")).alias("annotator"),
         F.coalesce("created_at", F.current_timestamp().cast("timestamp_ntz")).alias("created_at"))
-    valid = out.where(F.col("true_label").isin("dga", "benign") & F.col("domain").isNotNull())
+    reason = F.when(F.col("domain").isNull(), "no domain").when(
+        ~F.coalesce(F.col("true_label").isin("dga", "benign"), F.lit(False)), "unknown label")
+    out = out.withColumn("reason", reason)
+    return out.where("reason is null").drop("reason"), out.where("reason is not null")
+
+
+def append_feedback(df: DataFrame, path: str | None = None, rejects_path: str | None = None) -> DataFrame:
+    """SNK-13: appends the accepted labels to `path` and the rejected ones, with the
+    reason, to `rejects_path`; returns the accepted ones."""
+    accepted, rejected = split_feedback(df)
     if path:
-        valid.write.mode("append").parquet(path)
-    return valid
+        accepted.write.mode("append").parquet(path)
+    if rejects_path:
+        rejected.write.mode("append").parquet(rejects_path)
+    return accepted

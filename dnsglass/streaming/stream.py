@@ -8,6 +8,7 @@ Event time is a TIMESTAMP column (watermarks reject TIMESTAMP_NTZ).
 
 from __future__ import annotations
 
+import datetime as _dt
 import logging
 from collections.abc import Callable
 
@@ -20,6 +21,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators import drift as DR
 from ..operators import feedback as FB
 from ..operators.ops import last_n
+from ..session import path_exists
 
 log = logging.getLogger(__name__)
 
@@ -136,45 +138,67 @@ def windowed_counts(df: DataFrame, kind: str = "tumbling", size: str = "1 minute
 
 def drift_monitor_batch(window_size: int = 1000, baseline: DataFrame | None = None,
                         features=("score", "domain_len"), ops_path: str | None = None,
-                        as_of: str | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: the newest `window_size` samples -> PSI against the
-    baseline (needs >= 100) -> ALERT rows appended to the operations table
-    (6 h cooldown per feature, relative to the batch time)."""
-    import datetime as _dt
-
+                        as_of: str | None = None, window_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: the newest `window_size` samples of the stream -> PSI against
+    the baseline (needs >= 100) -> ALERT rows in the operations table (6 h cooldown
+    per feature, relative to the batch time).
+
+    With `window_path` the window lasts across batches: each epoch writes the newest
+    samples of its predecessor's window and its own batch as window_path/epoch=n.  A
+    retried epoch writes its own folders again, so nothing counts twice."""
     def body(batch: DataFrame, epoch: int) -> None:
-        now = as_of or _dt.datetime.utcnow().strftime("%Y-%m-%d %H:%M:%S")
-        cur = last_n(batch, window_size)
+        spark = batch.sparkSession
+        now = as_of or _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        cur = batch
+        if window_path:
+            before = f"{window_path}/epoch={epoch - 1}"
+            if path_exists(spark, before):
+                cur = batch.unionByName(spark.read.parquet(before), allowMissingColumns=True)
+        cur = last_n(cur, window_size)
+        if window_path:
+            cur.write.mode("overwrite").parquet(f"{window_path}/epoch={epoch}")
+            cur = spark.read.parquet(f"{window_path}/epoch={epoch}")
         scores = DR.psi(baseline, cur, list(features))
         ops = None
-        if ops_path:
-            try:
-                ops = batch.sparkSession.read.parquet(ops_path)
-            except Exception:  # noqa: BLE001 - first run
-                ops = None
+        if ops_path and path_exists(spark, ops_path):
+            ops = spark.read.parquet(ops_path)
+            if "epoch" in ops.columns:
+                ops = ops.where(F.coalesce(F.col("epoch"), F.lit(-1)) != epoch).drop("epoch")
         alerts = DR.drift_alerts(scores, ops, now).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
         if ops_path:
-            alerts.write.mode("append").parquet(ops_path)
+            alerts = spark.createDataFrame(alerts.collect(), alerts.schema)  # one row a feature; read before it is written
+            alerts.write.mode("overwrite").parquet(f"{ops_path}/epoch={epoch}")
     return body
 
 
+def current_lists(spark, lists_path: str) -> DataFrame | None:
+    """The lists of the version that the pointer names; None before the first one."""
+    pointer = f"{lists_path}/current"
+    if not path_exists(spark, pointer):
+        return None
+    version = spark.read.json(pointer).agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{lists_path}/v{version}")
+
+
 def feedback_refresh_batch(lists_path: str, feedback_path: str, audit_path: str | None = None,
                            as_of=None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: re-aggregate the look-back window of all feedback,
-    replace the auto lists atomically (new version directory, then pointer
-    file) and append audit rows for the differences."""
+    """foreachBatch body: re-aggregate the look-back window of all feedback into a
+    new version directory, append its differences as audit rows, then move the
+    pointer.  Readers (`current_lists`) see the old lists or the new ones, never a
+    mixture.  A retried epoch rewrites its own version and audit folder."""
     def body(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fb = spark.read.parquet(feedback_path)
-        new = FB.promote_lists(fb, as_of)
-        try:
-            old = spark.read.parquet(f"{lists_path}/current")
-        except Exception:  # noqa: BLE001
-            old = new.limit(0)
+        now = as_of or _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        FB.promote_lists(spark.read.parquet(feedback_path), now).write.mode("overwrite").parquet(f"{lists_path}/v{epoch}")
+        new = spark.read.parquet(f"{lists_path}/v{epoch}")
         if audit_path:
-            FB.list_diff(new, old).write.mode("append").parquet(audit_path)
-        new.write.mode("overwrite").parquet(f"{lists_path}/v{epoch}")
-        new.write.mode("overwrite").parquet(f"{lists_path}/current")
+            old = new.limit(0)
+            if path_exists(spark, f"{lists_path}/current"):
+                last = spark.read.json(f"{lists_path}/current").where(F.col("version") != epoch).agg(F.max("version")).first()[0]
+                if last is not None:
+                    old = spark.read.parquet(f"{lists_path}/v{last}")
+            FB.list_diff(new, old).write.mode("overwrite").parquet(f"{audit_path}/epoch={epoch}")
+        spark.createDataFrame([(epoch,)], "version long").coalesce(1).write.mode("append").json(f"{lists_path}/current")
     return body
 
 

@@ -66,7 +66,8 @@ def test_fan_out_and_export(spark, tmpdir_path):
                                 ("f", "b.com", "maybe", None, None, None, None, None)],
                                "event_id string, domain string, true_label string, predicted_label string, "
                                "score double, family string, annotator string, created_at timestamp_ntz")
-    assert [r["true_label"] for r in SK.append_feedback(fb).collect()] == ["benign"]
+    assert [r["true_label"] for r in SK.append_feedback(fb, f"{tmpdir_path}/fb", f"{tmpdir_path}/no").collect()] == ["benign"]
+    assert [(r["event_id"], r["reason"]) for r in spark.read.parquet(f"{tmpdir_path}/no").collect()] == [("f", "unknown label")]
 
 
 def _stream_dir(spark, path, rows, schema):
@@ -163,13 +164,23 @@ def test_drift_and_feedback_batches(spark, tmpdir_path):
     ST.drift_monitor_batch(1000, base, ops_path=ops)(batch, 0)
     assert {r["feature"] for r in spark.read.parquet(ops).collect()} == {"score", "domain_len"}
     ST.drift_monitor_batch(1000, base, ops_path=ops)(batch, 1)   # cooldown: nothing new
+    ST.drift_monitor_batch(1000, base, ops_path=ops)(batch, 0)   # a retried epoch writes its rows once
     assert spark.read.parquet(ops).count() == 2
+    # batches under the least sample count add up over the window, which keeps the newest rows only
+    ops2, win = f"{tmpdir_path}/ops2", f"{tmpdir_path}/win"
+    body = ST.drift_monitor_batch(250, base, ops_path=ops2, window_path=win)
+    rows = batch.orderBy("ts").collect()
+    for epoch in range(5):
+        body(spark.createDataFrame(rows[60 * epoch:60 * epoch + 60], batch.schema), epoch)
+        assert spark.read.parquet(f"{win}/epoch={epoch}").count() == min(250, 60 * epoch + 60)
+        assert spark.read.parquet(ops2).count() == (0 if epoch == 0 else 2)
     fb = f"{tmpdir_path}/fb"
     spark.createDataFrame([("safe.com", "benign", "f", dt.datetime(2024, 1, 30))] * 6,
                           "domain string, true_label string, family string, created_at timestamp_ntz").write.parquet(fb)
     lists, audit = f"{tmpdir_path}/lists", f"{tmpdir_path}/audit"
     ST.feedback_refresh_batch(lists, fb, audit, "2024-01-31 00:00:00")(batch, 7)
-    cur = spark.read.parquet(f"{lists}/current").collect()
+    ST.feedback_refresh_batch(lists, fb, audit, "2024-01-31 00:00:00")(batch, 7)   # retried
+    cur = ST.current_lists(spark, lists).collect()
     assert [(r["list_name"], r["entry"]) for r in cur] == [("whitelist:auto", "safe.com")]
     assert [r["action"] for r in spark.read.parquet(audit).collect()] == ["auto_whitelist_promote"]
     assert ST.capped_log(spark.createDataFrame([(f"r{i}", dt.datetime(2024, 1, 1, 0, i)) for i in range(5)],
