@@ -12,13 +12,19 @@ from dnsglass.plans import sqlapi
 from dnsglass.plans.spec import pipeline_spec, row_step
 
 
-def test_sql_guard():
+def test_sql_guard(spark):
     assert sqlapi.validate_sql("SELECT * FROM dga_events") is None
     for bad in ["DROP TABLE dga_events", "DELETE FROM dga_events",
                 "INSERT INTO dga_events VALUES ('a')", "SELECT * FROM secret_table",
                 "SELECT 1 FROM dga_events; SELECT 2 FROM dga_events"]:
         assert isinstance(sqlapi.validate_sql(bad), str)
     assert sqlapi.validate_sql("/* hi */ SELECT count(*) FROM dga_events -- x") is None
+    assert sqlapi.validate_sql("WITH a AS (SELECT * FROM dga_events) SELECT * FROM a JOIN feedback USING (event_id);") is None
+    assert sqlapi.validate_sql("SELECT * FROM dga_events WHERE event_id IN (SELECT event_id FROM feedback)") is None
+    for bad in ["SELECT 'dga_events' AS feedback FROM parquet.`/etc`", "SELECT * FROM dga_events, other",
+                "SELECT * FROM dga_events WHERE event_id IN (SELECT event_id FROM parquet.`/x`)",
+                "WITH a AS (SELECT * FROM hidden) SELECT * FROM a, dga_events", "SHOW TABLES", "SELECT 1", "SELECT FROM WHERE", ""]:
+        assert isinstance(sqlapi.validate_sql(bad), str), bad
     assert set(sqlapi.FORBIDDEN_KEYWORDS) == {"DROP", "DELETE", "UPDATE", "INSERT", "ALTER", "CREATE", "TRUNCATE",
                                               "GRANT", "REVOKE", "EXEC", "EXECUTE", "INTO OUTFILE", "LOAD DATA"}
 
@@ -80,6 +86,8 @@ def test_event_store_upsert_is_idempotent(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "store")
     write_event_store(df, path)
     write_event_store(df.where("event_id = '1'").withColumn("score", F.lit(0.9)), path)
+    with pytest.raises(ValueError):  # a bad batch is refused and what is stored stays
+        write_event_store(df.withColumn("score", F.lit("high")), path)
     got = {r["event_id"]: r["score"] for r in spark.read.parquet(path).collect()}
     assert got == {"1": 0.9, "2": 0.2}
 
