@@ -16,7 +16,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +36,19 @@ def domain_feature_columns(df: DataFrame, col: str = "domain") -> DataFrame:
 
 # --- MLP-1 / MLP-3 / MLP-4 -----------------------------------------------------------------
 
-def stratified_split(df: DataFrame, label: str = "target", train_frac: float = 0.7, seed: int = 42):
-    fracs = {0: train_frac, 1: train_frac}
-    train = df.sampleBy(label, fracs, seed)
-    test = df.join(train.select("_rid"), "_rid", "left_anti")
-    return train, test
+def hash_split(df: DataFrame, col: str = "domain", train_frac: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by a hash of the domain: the same rows whenever and wherever the
+    plan runs again, and no domain on both sides."""
+    share = F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(10_000)) < int(train_frac * 10_000)
+    return df.where(share), df.where(~share)
 
 
 def train_binary(df: DataFrame, label: str = "target", max_iter: int = 150, max_depth: int = 10,
                  step_size: float = 0.3, seed: int = 42, col: str = "domain") -> tuple[PipelineModel, DataFrame]:
-    """Stratified 70/30 split, standardise, gradient-boosted trees.
+    """70/30 split by domain hash, standardise, gradient-boosted trees.
     Returns the fitted pipeline and the scored test split."""
-    data = domain_feature_columns(df, col).withColumn("_rid", F.monotonically_increasing_id())
-    data = data.withColumn("label", F.col(label).cast("double"))
-    train, test = stratified_split(data, "label", 0.7, seed)
+    data = domain_feature_columns(df, col).withColumn("label", F.col(label).cast("double"))
+    train, test = hash_split(data, col, 0.7, seed)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
@@ -76,15 +74,15 @@ def cross_validate(df: DataFrame, label: str = "target", folds: int = 5, max_ite
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features"),
                             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
                             gbt])
-    rows = []
     spark = df.sparkSession
-    for metric in ("accuracy", "f1"):
-        ev = MulticlassClassificationEvaluator(labelCol="label", metricName=metric)
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, seed=seed)
-        m = cv.fit(data)
-        rows.append((metric, float(m.avgMetrics[0])))
-    return spark.createDataFrame(rows, "metric string, value double")
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(folds))
+    totals = {"accuracy": 0.0, "f1": 0.0}
+    for k in range(folds):  # each fold is trained once and scored by all metrics
+        scored = pipe.fit(data.where(fold != k)).transform(data.where(fold == k)).select("label", "prediction").persist()
+        for metric in totals:
+            totals[metric] += MulticlassClassificationEvaluator(labelCol="label", metricName=metric).evaluate(scored)
+        scored.unpersist()
+    return spark.createDataFrame([(m, v / folds) for m, v in totals.items()], "metric string, value double")
 
 
 # --- MLP-2 / MLP-5 / MLP-6 ------------------------------------------------------------------
@@ -94,7 +92,7 @@ def train_family(df: DataFrame, family: str = "family", col: str = "domain", max
     """Label-encode the family of DGA rows, lexical + entropy features,
     multinomial logistic regression; returns model and scored test split."""
     data = domain_feature_columns(df.where(F.col(family) != BENIGN_FAMILY), col)
-    train, test = data.randomSplit([0.7, 0.3], seed)
+    train, test = hash_split(data, col, 0.7, seed)
     pipe = Pipeline(stages=[
         StringIndexer(inputCol=family, outputCol="label", handleInvalid="keep", stringOrderType="frequencyDesc"),
         VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features"),
@@ -116,7 +114,8 @@ def classify_family(df: DataFrame, model: PipelineModel, top_k: int = 3, min_con
     label is 0 get an empty list (column `label_pred` when present)."""
     labels = F.array(*[F.lit(x) for x in family_labels(model)])
     out = model.transform(domain_feature_columns(df, col))
-    probs = vector_to_array("probability")
+    # the indexer's slot for unseen labels, the vector's last, is no family
+    probs = F.slice(vector_to_array("probability"), 1, len(family_labels(model)))
     pairs = F.transform(F.arrays_zip(labels.alias("family"), probs.alias("confidence")),
                         lambda z: F.struct((-z["confidence"]).alias("neg"), z["family"].alias("family"),
                                            z["confidence"].alias("confidence")))
