@@ -32,40 +32,6 @@ def top_k(df: DataFrame, order_cols: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order_cols).limit(k)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint for sides whose size is bounded by construction.
-
-    Callers use it only on inputs with a known bound (lists, tenant tables,
-    per-request query batches, a handful of versions); everything else is left
-    to the optimizer, whose statistics-based choice is capped by
-    `spark.sql.autoBroadcastJoinThreshold`, with sort-merge join beyond it.
-    """
-    return F.broadcast(df)
-
-
-def ensure_parallelism(df: DataFrame, factor: int = 2, small_bytes_per_core: int = 64 << 20) -> DataFrame:
-    """Spread heavy per-row work over the cluster.
-
-    A scan of few large files (or one Parquet row group) yields fewer
-    partitions than executor cores; CPU-heavy per-row operators (text
-    tokenisation, hashing, feature extraction) would then run in a handful of
-    tasks.  Only in that case the rows are redistributed round-robin; inputs
-    that already have enough partitions are returned unchanged (no shuffle).
-
-    File splits can hide a narrow input: a small file with one row group is
-    cut into several byte ranges of which only one holds rows.  So an input
-    whose estimated size is below `small_bytes_per_core` per core is spread
-    too (cheap: it is small); large inputs keep their native partitioning."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - statistics unavailable
-        size = None
-    if df.rdd.getNumPartitions() < par or (size is not None and size < par * small_bytes_per_core):
-        return df.repartition(par * factor)
-    return df
-
-
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into `spark.checkpoint.dir` (shared storage on a
     cluster), so a lost executor does not replay a long lineage."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import as_of_lit
 from ..functions.domain import ab_ratio
 
 METRICS_SCHEMA = T.StructType([T.StructField(k, T.DoubleType())
@@ -50,11 +51,11 @@ def route_model_version(df: DataFrame, versions: DataFrame, model_id: str,
 
 
 def promote_version(versions: DataFrame, model_id: str, action: str, to_version: str | None = None,
-                    now: str = "2024-01-31 00:00:00") -> DataFrame:
+                    now: str | None = None) -> DataFrame:
     """Next snapshot after deploy / rollback / offline of one model."""
     cur = (F.col("model_id") == model_id) & (F.col("status") == "production")
     tgt = (F.col("model_id") == model_id) & (F.col("version") == F.lit(to_version))
-    ts = F.lit(now).cast("timestamp_ntz")
+    ts = as_of_lit(now)
     if action == "deploy":
         status = F.when(tgt, "production").when(cur, "staging").otherwise(F.col("status"))
         dep = F.when(tgt, ts).otherwise(F.col("deployed_at"))

@@ -63,7 +63,7 @@ def row_step(fn: Callable[[str], str], input_col: str, output_col: str, node: st
             except Exception as e:  # noqa: BLE001
                 vals.append(None)
                 errs.append(type(e).__name__)
-                msgs.append(str(e)[:200])
+                msgs.append(str(e))
         return pd.DataFrame({"v": vals, "err": errs, "msg": msgs})
 
     def run(df: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ MAX_DOMAIN_LEN = 253
 DOMAIN_PATTERN = r"^[a-zA-Z0-9]([a-zA-Z0-9._-]*[a-zA-Z0-9])?$"
 BENIGN_FAMILY = "alexa"
 
-# Fixed clock of the test tables (events cover 2024-01-01 .. 2024-01-30).
+# Clock of the test tables (events cover 2024-01-01 .. 2024-01-30); only the
+# registered queries use it, operators default to the time of the batch.
 AS_OF = "2024-01-31 00:00:00"
 
 EVENT_SCHEMA = T.StructType([
@@ -59,7 +60,8 @@ DNS_MESSAGE_SCHEMA = T.StructType([
 
 
 def as_of_lit(as_of: str | None = None) -> Column:
-    return F.lit(as_of or AS_OF).cast("timestamp_ntz")
+    """The given time, or the current one."""
+    return (F.lit(as_of) if as_of else F.current_timestamp()).cast("timestamp_ntz")
 
 
 def severity_rank(col: Column | str) -> Column:
