@@ -151,8 +151,10 @@ def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             doc, pos, size, key, whole = (np.concatenate(x) for x in zip(*parts))
             both = mix(key + whole * U64(0xC2B2AE3D27D4EB4F))
             order = np.argsort(both, kind="stable")
-            again = np.zeros(len(both), bool)
-            again[order[1:]] = both[order[1:]] == both[order[:-1]]
+            lead = np.empty(len(both), np.int64)  # the first of the equal pieces
+            edge = runs(both[order])
+            lead[order] = np.repeat(order[edge[:-1]], np.diff(edge))
+            again = (doc != doc[lead]) | (pos != pos[lead])
             route = np.where(again, mix(both + np.arange(len(both), dtype=U64)) | U64(1), key & ~U64(1))
             key = key & ~U64(1)
             yield from batches(pa.table([pa.array(x.view(np.int64)) for x in (route, key, whole)] + [pa.array(doc), pa.array(pos), pa.array(size)], schema=PIECES), PIECES)
@@ -172,6 +174,7 @@ def settle(found: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # of the last key: its firsts that are not yet told (rows of key, doc, pos, len)
         key_now, same_now, many = None, None, False
+        first_now = np.zeros(2, np.int64)  # doc and pos of the first of the equal pieces at hand
 
         def told(kind: int, x: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch([pa.array(np.full(x.shape[1], kind, np.int32)), pa.array(x[0]), pa.array(x[1]), pa.array(x[2]), pa.array(x[3].astype(np.int32))], schema=FOUND)
@@ -196,7 +199,10 @@ def settle(found: DataFrame) -> DataFrame:
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
             fresh[0] = key[0] != key_now or same[0] != same_now
-            yield told(REPEAT, rows[:, ~fresh])
+            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+            first = np.where(lead >= 0, rows[1:3, lead], first_now[:, None])
+            yield told(REPEAT, rows[:, (rows[1:3] != first).any(axis=0)])  # a repeated row is no repeat of itself
+            first_now = first[:, -1].copy()
             same_now, last = same[-1], key[-1]
             firsts = rows[:, fresh]
             edge = runs(firsts[0])
@@ -299,8 +305,9 @@ def repeats_in(blocks: list[list[tuple[int, int, int, bytes]]], length: int = LE
         doc = np.array([x[0] for x in segs], np.int64)[s]
         pos = np.array([x[1] for x in segs], np.int64)[s] + ranked - first[s]
         by = _order(group, doc, pos)
-        later = np.zeros(len(by), bool)
-        later[1:] = group[by[1:]] == group[by[:-1]]
+        edge = runs(group[by])
+        lead = np.repeat(by[edge[:-1]], np.diff(edge))
+        later = (doc[by] != doc[lead]) | (pos[by] != pos[lead])
         docs.append(doc[by[later]])
         where.append(pos[by[later]])
         a = b
@@ -324,6 +331,7 @@ def sort_segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[list[tuple[int, int, int, bytes]]] = []
         chars, key_now, before = 0, None, None
+        first_now = np.zeros(2, np.int64)
         for batch in it:
             key, same, doc, pos, size = _columns(batch, 5)
             text = batch.column(5)
@@ -332,7 +340,11 @@ def sort_segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
                 new[0] = (key[0], same[0]) != before
-                again = single & ~new
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+                at = np.stack([doc, pos])
+                first = np.where(lead >= 0, at[:, lead], first_now[:, None])
+                first_now = first[:, -1].copy()
+                again = single & (at != first).any(axis=0)
                 if again.any():
                     yield spans(doc[again], pos[again])
             before = (key[-1], same[-1])
