@@ -11,12 +11,12 @@ minhashes instead of 2 * SIDE * SIDE * WIDTH.  A pair of similarity s meets with
 probability (1 - (1 - s**WIDTH)**SIDE)**2: 0.9995 at 0.75, 0.99993 at 0.8, for one
 pair by itself.
 
-Verification.  In each bucket every class is compared on its full set with the
-bucket's first class; the verified links give components.  Buckets that still
-hold several components have their remaining pairs across components compared
-too, so no candidate pair that could join two components is left out, and no
-pairs are made inside a group that is already one.  A class with many
-comparisons is dealt out in blocks of `BLOCK` to different tasks.
+Verification.  The classes of all buckets that begin with one class (the lead) form a
+group.  Inside the tasks the full sets of a group's members are compared with each
+other, so no candidate pair is left out, and what leaves a task is one edge per
+member, to the least member that it is connected with by verified links: no pairs of
+a group are made.  A group of over `BLOCK` members is cut into blocks, and each pair
+of blocks is a part of its own.  The edges of all groups give the components.
 
 Cases: null or empty text or white space only -> empty set, linked with nothing,
 its own component.  Rows without doc_id keep a null component unless their text
@@ -42,7 +42,7 @@ SHINGLE = 5
 #: Least likeness in hundredths.
 PERCENT = 75
 SIDE, WIDTH = 10, 2
-BLOCK = 256
+BLOCK = 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -113,8 +113,8 @@ def table_keys(bands: np.ndarray, side: int = SIDE) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, side: int = SIDE, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, set_id, bands) of every row: the set's size, a digest of the
-    whole set (null if empty) and its band hashes."""
+    """(doc_id, n, set_id, bands) of every row: the set's size, a digest of the whole
+    set (null if empty) and its band hashes."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("bands", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,68 +143,83 @@ def _keys(classes: DataFrame, side: int) -> DataFrame:
     return classes.select("doc", "bands").mapInArrow(run, "key long, doc long")
 
 
+def connected(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """For each set the first one that it is connected with by links of that likeness."""
+    count = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if both and 100 * both >= percent * (count.sum() - both) else 1])
+    values, slot, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), count)
+    shared = holders[slot] > 1  # only these matter to an intersection
+    row, slot = row[shared], (np.cumsum(holders > 1) - 1)[slot[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(slot, kind="stable")
+    row, slot = row[order], slot[order]
+    edge = np.searchsorted(slot, np.arange(0, (slot[-1] if len(slot) else 0) + 2049, 2048))
+    for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+        m = np.zeros((len(sets), 2048), np.float32)
+        m[row[a:b], slot[a:b] - 2048 * k] = 1
+        both += m @ m.T
+    linked = (both > 0) & (100 * both >= percent * (count[:, None] + count - both))
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(linked, label, len(sets)).min(axis=1)
+        new = np.minimum(label, new)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Those of the pairs (doc, lead) whose full sets reach the likeness.  The
-    comparisons of a lead are dealt out in blocks, each with the lead's text."""
-    dealt = (pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-             .join(pairs, "lead")
-             .select("lead", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks"))
-    wanted = dealt.select("doc", "lead", "block", F.lit(1).alias("kind")).union(
-        dealt.select("lead", "blocks").distinct()
-        .select(F.col("lead").alias("doc"), "lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind")))
-    rows = (wanted.join(texts(docs).filter("text is not null and doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc")
-            .select("lead", "block", "kind", "doc", "text")
-            .repartition("lead", "block").sortWithinPartitions("lead", "block", "kind"))
+    """Edges (u, v) that connect the members of each lead's group, the documents of its
+    pairs (doc, lead) and itself, as far as links of full sets do."""
+    grouped = (pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(pairs, "lead")
+               .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+               .select("doc", "lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    leads = grouped.select("lead", "i", "j").distinct().select(F.col("lead").alias("doc"), "lead", "i", "j")
+    rows = (grouped.union(leads).join(texts(docs).filter("text is not null and doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc")
+            .select("lead", "i", "j", "doc", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "doc"))
+
+    def edges(held: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        first = connected([x for _, x in held], percent)
+        return [(held[i][0], held[f][0]) for i, f in enumerate(first.tolist()) if f != i]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own = None, np.zeros(0, U64)
+        now, held = None, []
         for batch in it:
-            leads, kinds, ids = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            found = []
+            parts = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            ids = batch.column(3).to_pylist()
+            found: list[tuple[int, int]] = []
             for a, sets in text_sets(batch, 4):
-                for i, s in enumerate(sets, a):
-                    if not kinds[i]:
-                        lead, own = leads[i], s
-                    elif leads[i] == lead:
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        if both and 100 * both >= percent * (len(own) + len(s) - both):
-                            found.append((ids[i], lead))
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
+                for k, s in enumerate(sets, a):
+                    if parts[k] != now:
+                        found += edges(held)
+                        now, held = parts[k], []
+                    held.append((ids[k], s))
+            yield _edges(found)
+        yield _edges(edges(held))
+
+    return rows.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`."""
     all_sets = cut(sketches(docs, side, width))
-    classes = all_sets.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("n").alias("n"))
-    classes = cut(classes)
-    size = classes.groupBy("doc").agg(F.max("n").alias("n"))
+    classes = cut(all_sets.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc"), F.first("bands").alias("bands")))
     keys = _keys(classes, side)
     shared = keys.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select("key", "lead")
-    members = cut(keys.join(shared, "key"))
-
-    def of_like_size(pairs: DataFrame) -> DataFrame:
-        least = F.least("n", "lead_n") * 100
-        return (pairs.join(size, "doc").join(size.select(F.col("doc").alias("lead"), F.col("n").alias("lead_n")), "lead")
-                .filter(least >= F.greatest("n", "lead_n") * percent).select("doc", "lead"))
-
-    tried = cut(of_like_size(members.filter("doc > lead").select("doc", "lead").distinct()))
-    links = cut(verified(tried, docs, percent))
-    found = components(links)
-
-    placed = members.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(split, "key")
-    other = rest.select("key", F.col("doc").alias("lead"), F.col("c").alias("lead_c"))
-    across = rest.join(other, "key").filter("doc > lead and c <> lead_c").select("doc", "lead").distinct()
-    left = cut(of_like_size(across.join(tried, ["doc", "lead"], "left_anti")))
-    more = cut(verified(left, docs, percent))
-    if more.take(1):
-        found = components(links.union(more))
-
+    pairs = cut(keys.join(shared, "key").filter("doc > lead").select("doc", "lead").distinct())
+    found = components(verified(pairs, docs, percent))
     label = classes.select("set_id", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
         "set_id", F.coalesce("component", "doc").alias("component"))
     out = all_sets.select("doc_id", "n", "set_id").join(label, "set_id", "left")
