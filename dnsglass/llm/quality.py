@@ -10,8 +10,8 @@
     "reject".  (Bad documents are of one kind each, so one class for all of them would
     make labellers of different kinds contradict each other.)
 3.  The posteriors of at most SAMPLE documents (those with the least hash of their
-    id) train a linear scorer over hashed features: the words, the word stems and the
-    binned style measures.  Buckets whose odds do not differ clearly stay at zero.
+    id) train a linear scorer over hashed features: the words, the word stems, the
+    binned style measures and the rejecting votes.  Buckets whose odds do not differ clearly stay at zero.
 4.  The scorer alone decides: a document whose score reaches 0.5 is rejected.
 
 Cases: null or empty text and texts under five words get no votes on style; their
@@ -79,14 +79,16 @@ LABELLERS = ("neighbours", "variety", "symbols", "capitals", "cells", "insults",
 
 
 #: Buckets of the style features: short, then eleven bins of each share.
+VOTE = [crc32(b"!%d" % j) for j in range(len(LABELLERS))]
 STYLE = [[crc32(b"#short")]] + [[crc32(b"#%d:%d" % (i, b)) for b in range(11)] for i in range(5)]
 
 
-def features(n: int, shares: list[float], words: set[str], stems: set[str]) -> np.ndarray:
+def features(n: int, shares: list[float], words: set[str], stems: set[str], toxic: frozenset[str]) -> np.ndarray:
     """Hashed features that a document has."""
     keys = [crc32(w.encode()) for w in words]
     keys += [crc32(b"^" + s.encode()) for s in stems]
     keys += STYLE[0] if n < 5 else [STYLE[1 + i][min(10, int(20 * v))] for i, v in enumerate(shares)]
+    keys += [VOTE[j] for j, v in enumerate(votes(n, shares, words, stems, toxic)) if v == REJECT]
     return np.unique(np.array(keys, np.int64) % BUCKETS)
 
 
@@ -163,9 +165,12 @@ def accuracies(counts: list[tuple[list[int], int]], rounds: int = 100) -> tuple[
 
 
 def classes_of(patterns: np.ndarray, table: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """P(class | votes), one row for each pattern."""
+    """P(class | votes), one row for each pattern.  A document is of a bad kind only if
+    one of the kind's labellers rejects it."""
     logs = np.log(np.maximum(table, 1e-12))
     total = np.log(np.maximum(prior, 1e-12)) + sum(logs[j, :, patterns[:, j]] for j in range(patterns.shape[1]))
+    for k, own in enumerate(KINDS, 1):
+        total[~(patterns[:, own] == REJECT).any(axis=1), k] = -np.inf
     total = np.exp(total - total.max(axis=1, keepdims=True))
     return total / total.sum(axis=1, keepdims=True)
 
@@ -175,7 +180,7 @@ def posterior(patterns: np.ndarray, table: np.ndarray, prior: np.ndarray) -> np.
     return 1 - classes_of(patterns, table, prior)[:, 0]
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Weights of the buckets and the bias: logistic regression on soft labels over the
     buckets whose odds differ clearly."""
     weights = np.zeros(BUCKETS)
@@ -190,7 +195,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> tupl
     z = (bad - n * base) / np.sqrt(n * base * (1 - base) + 1e-9)
     chosen = np.flatnonzero((n >= 3) & (np.abs(z) > 5))
     chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:FEATURES]]
-    chosen = np.union1d(chosen, np.concatenate(STYLE) % BUCKETS)
+    chosen = np.union1d(chosen, np.concatenate([*STYLE, VOTE]) % BUCKETS)
     slot = np.full(BUCKETS, -1)
     slot[chosen] = np.arange(len(chosen))
     keep = slot[flat] >= 0
@@ -199,7 +204,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> tupl
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):  # Adam
         p = 1 / (1 + np.exp(-(np.bincount(row, w[col], len(rows)) + b)))
-        g = np.append(np.bincount(col, (p - target)[row], len(chosen)) / len(rows) + 0.2 / len(rows) * w, (p - target).mean())
+        g = np.append(np.bincount(col, (p - target)[row], len(chosen)) / len(rows) + 0.02 / len(rows) * w, (p - target).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -213,7 +218,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         words = _words(text or "")
-        total = self.bias + self.weights[features(*style(text or ""), words, stems_of(words))].sum()
+        total = self.bias + self.weights[features(*style(text or ""), words, stems_of(words), self.stems)].sum()
         return float(1 / (1 + np.exp(-total)))
 
 
@@ -227,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 words, shape = _words(t or ""), style(t or "")
                 stems = stems_of(words)
                 yield pa.record_batch([pa.array([i], pa.int64()), pa.array([votes(*shape, words, stems, toxic)], pa.list_(pa.int32())),
-                                       pa.array([features(*shape, words, stems)], pa.list_(pa.int32()))], names=["doc_id", "votes", "features"])
+                                       pa.array([features(*shape, words, stems, toxic)], pa.list_(pa.int32()))], names=["doc_id", "votes", "features"])
 
     sample = (texts(docs).join(F.broadcast(_least_hashed(docs.select(F.col("doc_id").cast("long")), SAMPLE)), "doc_id").select("doc_id", "text")
               .mapInArrow(run, "doc_id long, votes array<int>, features array<int>").toLocalIterator())  # SAMPLE ids at most
