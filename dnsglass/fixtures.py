@@ -46,7 +46,9 @@ def _dns_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events_table(spark, sf_dir).withColumn(
         "k", F.get_json_object("props", "$.k").cast("long"))
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    j = e.join(p, p.page_id == e.k % 50)
+    # all pages are in use; a fifth of the events goes to two hot ones
+    e = e.withColumn("page", F.when(F.col("k") % 5 == 0, F.col("k") % 10).otherwise(F.col("event_id") % p.count()))
+    j = e.join(p, p.page_id == e.page)
     u = F.col("user_id")
     score = round4(F.col("value") / (F.col("value") + 10))
     k4 = F.col("k") % 4
@@ -93,7 +95,7 @@ def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _dns_base(spark, sf_dir)
-    m = (F.col("k") % 50) % 3
+    m = F.col("page_id") % 3
     true_label = (F.when(m == 0, "benign").when(m == 1, "dga")
                   .when(F.col("event_type") == "error", "benign").otherwise("dga"))
     return b.select(

@@ -25,7 +25,7 @@ SELECT CAST(e.event_id AS VARCHAR) AS event_id,
        CASE WHEN e.k % 4 = 0 THEN e.event_id % 5 = 0 END AS acknowledged,
        CASE e.user_id % 3 WHEN 0 THEN 'finance' WHEN 1 THEN 'dev' ELSE 'default' END AS tenant_id
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
-JOIN pages p ON p.page_id = e.k % 50
+JOIN pages p ON p.page_id = CASE WHEN e.k % 5 = 0 THEN e.k % 10 ELSE e.event_id % (SELECT count(*) FROM pages) END
 """
 
 VIEWS["dns_events"] = """
@@ -45,7 +45,7 @@ FROM dns_base
 
 VIEWS["feedback_v"] = """
 SELECT event_id, domain,
-       CASE WHEN (k % 50) % 3 = 0 THEN 'benign' WHEN (k % 50) % 3 = 1 THEN 'dga'
+       CASE WHEN page_id % 3 = 0 THEN 'benign' WHEN page_id % 3 = 1 THEN 'dga'
             WHEN event_type = 'error' THEN 'benign' ELSE 'dga' END AS true_label,
        CASE WHEN score >= 0.7 THEN 'dga' ELSE 'benign' END AS predicted_label,
        score, event_type AS family,

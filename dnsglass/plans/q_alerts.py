@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..schema import AS_OF
+from ..schema import AS_OF as CLOCK
 from .. import fixtures as fx
 from ..operators import alerts as A
 from .catalog import register
@@ -118,7 +118,7 @@ UNION ALL SELECT 'total_yesterday', CAST(count(*) FILTER (WHERE ts >= TIMESTAMP
 UNION ALL SELECT * FROM (SELECT 'severity:' || severity, CAST(count(*) AS BIGINT) AS c FROM dns_events
                  WHERE severity IS NOT NULL GROUP BY severity ORDER BY c DESC, severity LIMIT 10)""")
 def alert_stats(spark, sf):
-    return A.alert_stats(_ev(spark, sf), AS_OF)
+    return A.alert_stats(_ev(spark, sf), CLOCK)
 
 
 # --- SRT-1, FLT-13, FLT-14, SRT-2, SRT-3 -----------------------------------------------------

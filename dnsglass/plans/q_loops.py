@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..schema import AS_OF
+from ..schema import AS_OF as CLOCK
 from .. import fixtures as fx
 from ..operators import correlate as C
 from ..operators import drift as DR
@@ -31,12 +31,12 @@ promo AS (SELECT CASE WHEN fp_count >= 5 AND tp_count = 0 THEN 'whitelist:auto'
 
 @register("feedback_by_domain", f"WITH {_FB_COUNTS} SELECT * FROM fbc")
 def feedback_by_domain(spark, sf):
-    return FB.feedback_by_domain(fx.feedback_v(spark, sf), AS_OF)
+    return FB.feedback_by_domain(fx.feedback_v(spark, sf), CLOCK)
 
 
 @register("promote_lists", f"WITH {_PROMOTE} SELECT list_name, entry FROM promo WHERE list_name IS NOT NULL")
 def promote_lists(spark, sf):
-    return FB.promote_lists(fx.feedback_v(spark, sf), AS_OF)
+    return FB.promote_lists(fx.feedback_v(spark, sf), CLOCK)
 
 
 @register("list_diff", f"""WITH {_PROMOTE},
@@ -52,7 +52,7 @@ SELECT 'feedback-aggregator' AS user_id,
                                   ELSE '≥3 TP & 0 FP in 30d' END)::VARCHAR AS detail
 FROM ch""")
 def list_diff(spark, sf):
-    new = FB.promote_lists(fx.feedback_v(spark, sf), AS_OF)
+    new = FB.promote_lists(fx.feedback_v(spark, sf), CLOCK)
     old = fx.list_entries(spark, sf).where(F.col("list_name").isin("whitelist:auto", "blacklist:auto"))
     return FB.list_diff(new, old)
 
@@ -61,7 +61,7 @@ def list_diff(spark, sf):
 SELECT entry FROM promo WHERE list_name = 'blacklist:auto'
 EXCEPT SELECT entry FROM list_entries WHERE list_name = 'blacklist:auto'""")
 def except_lists(spark, sf):
-    new = FB.promote_lists(fx.feedback_v(spark, sf), AS_OF).where(F.col("list_name") == "blacklist:auto").select("entry")
+    new = FB.promote_lists(fx.feedback_v(spark, sf), CLOCK).where(F.col("list_name") == "blacklist:auto").select("entry")
     old = fx.list_entries(spark, sf).where(F.col("list_name") == "blacklist:auto").select("entry")
     return FB.except_lists(new, old)[0]
 
@@ -79,7 +79,7 @@ SELECT 'default' AS pipeline_id, 'threshold_recommendation' AS operation, 'feedb
        CAST(fp_count AS BIGINT) AS fp_count, CAST(tp_count AS BIGINT) AS tp_count
 FROM g WHERE fp_count / n_samples > 0.2 AND family NOT IN (SELECT k FROM c WHERE k IS NOT NULL)""")
 def family_fp_rate(spark, sf):
-    out = FB.family_fp_rate(fx.feedback_v(spark, sf), fx.operations_v(spark, sf), AS_OF)
+    out = FB.family_fp_rate(fx.feedback_v(spark, sf), fx.operations_v(spark, sf), CLOCK)
     return out.drop("detail")
 
 

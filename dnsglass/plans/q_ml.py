@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..schema import AS_OF
+from ..schema import AS_OF as CLOCK
 from .. import fixtures as fx
 from ..operators import ml as ML
 from ..operators import registry as RG
@@ -75,7 +75,7 @@ SELECT id, model_id, version,
   ab_weight, CASE WHEN model_id = 'binary' AND version = 'v1.0' THEN TIMESTAMP '2024-01-31 00:00:00' ELSE deployed_at END AS deployed_at
 FROM model_versions_v""")
 def promote_version_deploy(spark, sf):
-    return RG.promote_version(fx.model_versions_v(spark), "binary", "deploy", "v1.0", now=AS_OF).select(*_MV.split(", "))
+    return RG.promote_version(fx.model_versions_v(spark), "binary", "deploy", "v1.0", now=CLOCK).select(*_MV.split(", "))
 
 
 @register("promote_version_rollback", """
@@ -85,7 +85,7 @@ SELECT id, model_id, version,
   ab_weight, CASE WHEN model_id = 'family' AND version = 'v1.0' THEN TIMESTAMP '2024-01-31 00:00:00' ELSE deployed_at END AS deployed_at
 FROM model_versions_v""")
 def promote_version_rollback(spark, sf):
-    return RG.promote_version(fx.model_versions_v(spark), "family", "rollback", "v1.0", now=AS_OF).select(*_MV.split(", "))
+    return RG.promote_version(fx.model_versions_v(spark), "family", "rollback", "v1.0", now=CLOCK).select(*_MV.split(", "))
 
 
 @register("promote_version_offline", """
@@ -93,7 +93,7 @@ SELECT id, model_id, version, CASE WHEN model_id = 'family' AND status = 'produc
   ab_weight, CASE WHEN model_id = 'family' AND status = 'production' THEN NULL ELSE deployed_at END AS deployed_at
 FROM model_versions_v""")
 def promote_version_offline(spark, sf):
-    return RG.promote_version(fx.model_versions_v(spark), "family", "offline", now=AS_OF).select(*_MV.split(", "))
+    return RG.promote_version(fx.model_versions_v(spark), "family", "offline", now=CLOCK).select(*_MV.split(", "))
 
 
 @register("set_ab_weights_by_model", """

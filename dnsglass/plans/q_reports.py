@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..schema import AS_OF
+from ..schema import AS_OF as CLOCK
 from .. import fixtures as fx
 from ..operators import reports as R
 from ..operators.common import top_k, top_k_per_group
@@ -37,7 +37,7 @@ SELECT "window", CAST(total AS BIGINT) AS total, CAST(dga_hits AS BIGINT) AS dga
          AS p95_latency
 FROM c""")
 def dashboard_counts(spark, sf):
-    return R.dashboard_counts(_ev(spark, sf), AS_OF)
+    return R.dashboard_counts(_ev(spark, sf), CLOCK)
 
 
 @register("dashboard_families", f"""WITH {_DASH_CHOICE},
@@ -50,7 +50,7 @@ v AS (SELECT family, CASE c."window" WHEN 'today' THEN f_today WHEN '24h' THEN f
 SELECT family AS name, CAST(value AS BIGINT) AS value FROM v WHERE value > 0
 ORDER BY value DESC, family LIMIT 10""")
 def dashboard_families(spark, sf):
-    return R.dashboard_families(_ev(spark, sf), AS_OF)
+    return R.dashboard_families(_ev(spark, sf), CLOCK)
 
 
 @register("family_distribution", """
@@ -75,7 +75,7 @@ SELECT CAST(level AS INTEGER) AS level, bucket,
        CAST(qps AS BIGINT) AS qps, CAST(hits AS BIGINT) AS hits
 FROM r WHERE rn <= CASE level WHEN 1 THEN 60 WHEN 2 THEN 24 WHEN 3 THEN 168 ELSE 30 END""")
 def qps_history(spark, sf):
-    return R.qps_history(_ev(spark, sf), AS_OF)
+    return R.qps_history(_ev(spark, sf), CLOCK)
 
 
 @register("daily_trend", f"""
@@ -86,7 +86,7 @@ SELECT s.day, strftime(s.day, '%-m/%-d') AS date, CAST(coalesce(total, 0) AS BIG
        CAST(coalesce(dga, 0) AS BIGINT) AS dga
 FROM s LEFT JOIN d USING (day)""")
 def daily_trend(spark, sf):
-    return R.daily_trend(_ev(spark, sf), days=7, as_of=AS_OF)
+    return R.daily_trend(_ev(spark, sf), days=7, as_of=CLOCK)
 
 
 @register("daily_trend_range", """
