@@ -180,7 +180,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, block: i
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("doc", "lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     leads = grouped.select("lead", "i", "j").distinct().select(F.col("lead").alias("doc"), "lead", "i", "j")
-    rows = (grouped.union(leads).join(texts(docs).filter("text is not null and doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc")
+    # sort-merge at every size: the number of pairs has no bound that would allow a broadcast
+    rows = (grouped.union(leads).hint("merge").join(texts(docs).filter("text is not null and doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc")
             .select("lead", "i", "j", "doc", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "doc"))
 
     def edges(held: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
