@@ -17,10 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """A test table dealt over the cores: its file holds one row group, so the scan is
+    a single task.  A table of many files needs none of this."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events fact table, dealt over the cores: the test files hold one row group
-    each, so their scan is a single task."""
-    return table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+    """The events fact table."""
+    return wide(table(spark, sf_dir, "events"))
 
 
 def host_of(url) -> "F.Column":
@@ -213,7 +218,7 @@ def drift_samples(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 def labelled_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = wide(table(spark, sf_dir, "part"))
     tld = _pick(F.col("p_partkey") % 3, [".com", ".net", ".example.org"])
     dom = F.concat(F.lower(F.regexp_replace("p_name", " ", "-")), F.lit("-"),
                    F.expr("substr(md5(cast(p_partkey as string)), 1, p_size % 12)"), tld)
