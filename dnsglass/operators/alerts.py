@@ -235,17 +235,17 @@ def acknowledge(df: DataFrame, domains: DataFrame | None = None,
     """Next snapshot of the events with acknowledged set, plus `updated` flag.
 
     By domain: only rows whose domain is listed AND acknowledged = false change
-    (a second run updates 0).  By event id: unconditional.  The request lists
-    are small per call and are broadcast; the events are not shuffled.
+    (a second run updates 0).  By event id: unconditional.  Request lists have no
+    bound, so the planner picks the join by their size.
     """
     cond = F.lit(False)
     out = df
     if domains is not None:
-        d = F.broadcast(domains.select(F.col("domain").alias("_ack_d")).distinct())
+        d = domains.select(F.col("domain").alias("_ack_d")).distinct()
         out = out.join(d, out.domain == d._ack_d, "left")
         cond = cond | (F.col("_ack_d").isNotNull() & (F.col("acknowledged") == F.lit(False)))
     if event_ids is not None:
-        e = F.broadcast(event_ids.select(F.col("event_id").alias("_ack_e")).distinct())
+        e = event_ids.select(F.col("event_id").alias("_ack_e")).distinct()
         out = out.join(e, out.event_id == e._ack_e, "left")
         cond = cond | F.col("_ack_e").isNotNull()
     out = out.withColumn("updated", F.coalesce(cond, F.lit(False)))

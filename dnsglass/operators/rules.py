@@ -200,16 +200,21 @@ def known_feed(df: DataFrame, benign: DataFrame, dga_feed: DataFrame) -> DataFra
 
 def geo_enrich(df: DataFrame, ranges: DataFrame, ip_col: str = "ip_long",
                high_risk=("IRAN", "RUSSIA", "CHINA"), bucket_bits: int = 16) -> DataFrame:
-    """Range join ip -> (country, city, asn): ranges are exploded over the
-    /16 buckets they cover, events equi-join on their bucket, then `between`.
+    """Range join ip -> (country, city, asn).  Each distinct address is looked up once:
+    ranges are exploded over the /16 buckets they cover, addresses equi-join on their
+    bucket, then `between`; of overlapping ranges the narrowest counts, then the one
+    that starts first.  The events join the result on their address, one row each.
     High-risk countries (config list) set `geo_high_risk`."""
     sh = 2 ** bucket_bits
     r = ranges.select(F.explode(F.sequence((F.col("start_ip") / sh).cast("long"),
                                            (F.col("end_ip") / sh).cast("long"))).alias("_bk"),
-                      "start_ip", "end_ip", "country", "city", "asn")
-    ev = df.withColumn("_bk", (F.col(ip_col) / sh).cast("long"))
-    j = ev.join(r, (ev._bk == r._bk) & F.col(ip_col).between(r.start_ip, r.end_ip), "left")
-    j = j.drop(r._bk).drop(ev._bk).drop("start_ip", "end_ip")
+                      "start_ip", "end_ip", F.struct((F.col("end_ip") - F.col("start_ip")).alias("width"), "start_ip",
+                                                     "country", "city", "asn").alias("_geo"))
+    ips = df.select(F.col(ip_col).alias("_ip")).where("_ip is not null").distinct().withColumn("_bk", (F.col("_ip") / sh).cast("long"))
+    best = (ips.join(r, "_bk").where(F.col("_ip").between(F.col("start_ip"), F.col("end_ip")))
+            .groupBy("_ip").agg(F.min("_geo").alias("_geo")))
+    j = df.join(best, F.col(ip_col) == F.col("_ip"), "left")
+    j = j.select(*df.columns, F.col("_geo.country"), F.col("_geo.city"), F.col("_geo.asn"))
     return j.withColumn("geo_high_risk", F.coalesce(F.col("country").isin(list(high_risk)), F.lit(False)))
 
 
@@ -217,7 +222,10 @@ def geo_enrich(df: DataFrame, ranges: DataFrame, ip_col: str = "ip_long",
 
 def intel_enrich(df: DataFrame, intel: DataFrame, fields=("reputation", "malware_family"),
                  fail_open: bool = True) -> DataFrame:
-    t = intel.select(F.col("domain").alias("_id"), *fields).dropDuplicates(["_id"])
+    """Adds a domain's intel fields; of several rows for a domain the least by its fields
+    counts.  Domains without intel keep nulls (fail open) or go (fail closed)."""
+    t = intel.groupBy(F.col("domain").alias("_id")).agg(F.min(F.struct(*fields)).alias("_f")).select(
+        "_id", *[F.col("_f")[f].alias(f) for f in fields])
     out = df.join(t, F.col("domain") == F.col("_id"), "left" if fail_open else "inner")
     return out.drop("_id")
 
@@ -345,18 +353,19 @@ def response_actions(df: DataFrame) -> DataFrame:
             .withColumn("level", F.coalesce(F.element_at(levels, F.col("action")), F.lit("medium"))))
 
 
-def classify_intent(col) -> Column:
-    """struct(intent, confidence): first category (in the fixed order) any of
-    whose keywords occurs, confidence .6; else `query` with .3."""
-    intent, conf = intent_of(col)
+def classify_intent(col, keyword_map=None) -> Column:
+    """struct(intent, confidence): first category (in the map's order) any of whose
+    keywords occurs, confidence .6; else `query` with .3.  `keyword_map` is a list of
+    (intent, keywords), by default the fixed one."""
+    intent, conf = intent_of(col, keyword_map)
     return F.struct(intent.alias("intent"), conf.alias("confidence"))
 
 
-def intent_of(col) -> tuple[Column, Column]:
+def intent_of(col, keyword_map=None) -> tuple[Column, Column]:
     c = F.col(col) if isinstance(col, str) else col
     hit_any = None
     intent = None
-    for name, kws in INTENT_KEYWORDS:
+    for name, kws in keyword_map or INTENT_KEYWORDS:
         cond = None
         for kw in kws:
             cond = c.contains(kw) if cond is None else cond | c.contains(kw)

@@ -88,3 +88,17 @@ def test_response_actions_and_intent(spark):
     got = [r["c"].asDict() for r in t.select(RU.classify_intent(F.col("q")).alias("c")).collect()]
     assert got == [{"intent": "query", "confidence": 0.6}, {"intent": "query", "confidence": 0.3},
                    {"intent": "operate", "confidence": 0.6}]
+
+
+def test_geo_overlaps_and_intel_ties(spark):
+    from dnsglass.operators import rules as RU
+    ev = spark.createDataFrame([("a", 5, "x.com"), ("b", 70_000, "y.com"), ("c", 99_999_999, "z.com"), ("d", None, None), ("e", 5, "x.com")],
+                               "event_id string, ip_long long, domain string")
+    ranges = spark.createDataFrame([(0, 200_000, "WIDE", "w", 1), (1, 9, "NARROW", "n", 2), (0, 8, "NARROW0", "n0", 3), (69_999, 70_001, "IRAN", "i", 4)],
+                                   "start_ip long, end_ip long, country string, city string, asn long")
+    got = {r["event_id"]: (r["country"], r["asn"], r["geo_high_risk"]) for r in RU.geo_enrich(ev, ranges).collect()}
+    assert got == {"a": ("NARROW0", 3, False), "e": ("NARROW0", 3, False), "b": ("IRAN", 4, True), "c": (None, None, False), "d": (None, None, False)}
+    intel = spark.createDataFrame([("x.com", 0.9, "f2"), ("x.com", 0.1, "f9"), ("y.com", 0.5, "f1")], "domain string, reputation double, malware_family string")
+    got = {r["event_id"]: (r["reputation"], r["malware_family"]) for r in RU.intel_enrich(ev, intel).collect()}
+    assert got["a"] == got["e"] == (0.1, "f9") and got["b"] == (0.5, "f1") and got["c"] == (None, None)
+    assert RU.intel_enrich(ev, intel, fail_open=False).count() == 3
