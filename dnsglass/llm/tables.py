@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """The rows of `df`, written as a Parquet table in the shared folder named by
     `spark.checkpoint.dir` and read again: lineage ends there, and a lost executor
-    costs nothing.  Only where that setting is absent, as in tests, a local folder
-    is taken."""
+    costs nothing.  Only where that setting is absent and the master is local, as in
+    tests, a local folder is taken; a cluster without it is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpus-ckpt-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
