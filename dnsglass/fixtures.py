@@ -177,25 +177,26 @@ def pipelines_v(spark: SparkSession) -> DataFrame:
         "id string, name string, status string, mode string")
 
 
-def model_versions_v(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(1, "binary", "v1.0", "archived", 0.8,
-          '{"accuracy": 0.967, "f1": 0.952, "precision": 0.961, "recall": 0.943}',
-          "2024-01-01 00:00:00", "2024-01-02 00:00:00"),
-         (2, "binary", "v1.1", "production", 0.2,
-          '{"accuracy": 0.972, "f1": 0.96, "precision": 0.968, "recall": 0.953}',
-          "2024-01-10 00:00:00", "2024-01-11 00:00:00"),
-         (3, "family", "v1.0", "production", 0.8,
-          '{"accuracy": 0.934, "f1": 0.921, "precision": 0.928, "recall": 0.914}',
-          "2024-01-01 00:00:00", "2024-01-02 00:00:00"),
-         (4, "family", "v1.1", "production", 0.2,
-          '{"accuracy": 0.941, "f1": 0.93, "precision": 0.935, "recall": 0.925}',
-          "2024-01-10 00:00:00", None)],
-        "id int, model_id string, version string, status string, ab_weight double, "
-        "metrics string, created_at string, deployed_at string",
-    ).select("id", "model_id", "version", "status", "ab_weight", "metrics",
-             F.col("created_at").cast("timestamp_ntz").alias("created_at"),
-             F.col("deployed_at").cast("timestamp_ntz").alias("deployed_at"))
+def model_versions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of 50 models from `part`; the three first of each are in production."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("int").alias("id"), (F.col("p_partkey") % 50).alias("m"),
+        F.expr("p_partkey div 50").alias("v"), F.col("p_size").cast("int").alias("s"))
+    created = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(v % 28 as int))")
+
+    def metric(name, base):
+        return F.concat(F.lit(f'"{name}": 0.'), (F.col("s") + base).cast("string"))
+
+    return p.select(
+        "id", F.when(F.col("m") == 0, "binary").when(F.col("m") == 1, "family")
+        .otherwise(F.concat(F.lit("m"), F.col("m").cast("string"))).alias("model_id"),
+        F.concat(F.lit("v1."), F.col("v").cast("string")).alias("version"),
+        F.when(F.col("v") < 3, "production").when(F.col("s") % 2 == 0, "archived").otherwise("staging").alias("status"),
+        ((F.col("s") % 10 + 1).cast("double") / 10).alias("ab_weight"),
+        F.concat(F.lit("{"), F.concat_ws(", ", metric("accuracy", 900), metric("f1", 850), metric("precision", 860),
+                                         metric("recall", 840)), F.lit("}")).alias("metrics"),
+        created.alias("created_at"),
+        F.when(F.col("s") % 3 != 0, created + F.expr("interval 1 day")).alias("deployed_at"))
 
 
 def agent_runs_v(spark: SparkSession, sf_dir: str) -> DataFrame:

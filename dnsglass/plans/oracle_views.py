@@ -106,14 +106,16 @@ SELECT * FROM (VALUES ('dga-realtime-v1', 'DGA realtime', 'running', 'realtime')
 """
 
 VIEWS["model_versions_v"] = """
-SELECT id, model_id, version, status, CAST(ab_weight AS DOUBLE) AS ab_weight, metrics,
-       CAST(created_at AS TIMESTAMP) AS created_at, CAST(deployed_at AS TIMESTAMP) AS deployed_at
-FROM (VALUES
-  (1, 'binary', 'v1.0', 'archived', 0.8, '{"accuracy": 0.967, "f1": 0.952, "precision": 0.961, "recall": 0.943}', '2024-01-01 00:00:00', '2024-01-02 00:00:00'),
-  (2, 'binary', 'v1.1', 'production', 0.2, '{"accuracy": 0.972, "f1": 0.96, "precision": 0.968, "recall": 0.953}', '2024-01-10 00:00:00', '2024-01-11 00:00:00'),
-  (3, 'family', 'v1.0', 'production', 0.8, '{"accuracy": 0.934, "f1": 0.921, "precision": 0.928, "recall": 0.914}', '2024-01-01 00:00:00', '2024-01-02 00:00:00'),
-  (4, 'family', 'v1.1', 'production', 0.2, '{"accuracy": 0.941, "f1": 0.93, "precision": 0.935, "recall": 0.925}', '2024-01-10 00:00:00', NULL))
-  AS t(id, model_id, version, status, ab_weight, metrics, created_at, deployed_at)
+SELECT CAST(p_partkey AS INTEGER) AS id,
+       CASE p_partkey % 50 WHEN 0 THEN 'binary' WHEN 1 THEN 'family' ELSE 'm' || CAST(p_partkey % 50 AS VARCHAR) END AS model_id,
+       'v1.' || CAST(p_partkey // 50 AS VARCHAR) AS version,
+       CASE WHEN p_partkey // 50 < 3 THEN 'production' WHEN p_size % 2 = 0 THEN 'archived' ELSE 'staging' END AS status,
+       CAST(p_size % 10 + 1 AS DOUBLE) / 10 AS ab_weight,
+       '{"accuracy": 0.' || (p_size + 900) || ', "f1": 0.' || (p_size + 850) || ', "precision": 0.' || (p_size + 860)
+         || ', "recall": 0.' || (p_size + 840) || '}' AS metrics,
+       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST((p_partkey // 50) % 28 AS INTEGER)) AS created_at,
+       CASE WHEN p_size % 3 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST((p_partkey // 50) % 28 AS INTEGER)) + INTERVAL 1 DAY END AS deployed_at
+FROM part
 """
 
 VIEWS["agent_runs_v"] = f"""

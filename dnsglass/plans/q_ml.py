@@ -75,7 +75,7 @@ SELECT id, model_id, version,
   ab_weight, CASE WHEN model_id = 'binary' AND version = 'v1.0' THEN TIMESTAMP '2024-01-31 00:00:00' ELSE deployed_at END AS deployed_at
 FROM model_versions_v""")
 def promote_version_deploy(spark, sf):
-    return RG.promote_version(fx.model_versions_v(spark), "binary", "deploy", "v1.0", now=CLOCK).select(*_MV.split(", "))
+    return RG.promote_version(fx.model_versions_v(spark, sf), "binary", "deploy", "v1.0", now=CLOCK).select(*_MV.split(", "))
 
 
 @register("promote_version_rollback", """
@@ -85,7 +85,7 @@ SELECT id, model_id, version,
   ab_weight, CASE WHEN model_id = 'family' AND version = 'v1.0' THEN TIMESTAMP '2024-01-31 00:00:00' ELSE deployed_at END AS deployed_at
 FROM model_versions_v""")
 def promote_version_rollback(spark, sf):
-    return RG.promote_version(fx.model_versions_v(spark), "family", "rollback", "v1.0", now=CLOCK).select(*_MV.split(", "))
+    return RG.promote_version(fx.model_versions_v(spark, sf), "family", "rollback", "v1.0", now=CLOCK).select(*_MV.split(", "))
 
 
 @register("promote_version_offline", """
@@ -93,14 +93,14 @@ SELECT id, model_id, version, CASE WHEN model_id = 'family' AND status = 'produc
   ab_weight, CASE WHEN model_id = 'family' AND status = 'production' THEN NULL ELSE deployed_at END AS deployed_at
 FROM model_versions_v""")
 def promote_version_offline(spark, sf):
-    return RG.promote_version(fx.model_versions_v(spark), "family", "offline", now=CLOCK).select(*_MV.split(", "))
+    return RG.promote_version(fx.model_versions_v(spark, sf), "family", "offline", now=CLOCK).select(*_MV.split(", "))
 
 
 @register("set_ab_weights_by_model", """
 SELECT id, model_id, version, CASE WHEN model_id = 'family' AND version = 'v1.0' THEN 0.5
   WHEN model_id = 'family' AND version = 'v1.1' THEN 0.5 ELSE ab_weight END AS ab_weight FROM model_versions_v""")
 def set_ab_weights_by_model(spark, sf):
-    out = RG.set_ab_weights(fx.model_versions_v(spark), "family", {"v1.0": 0.5, "v1.1": 0.5})
+    out = RG.set_ab_weights(fx.model_versions_v(spark, sf), "family", {"v1.0": 0.5, "v1.1": 0.5})
     return out.select("id", "model_id", "version", "ab_weight")
 
 
@@ -108,7 +108,7 @@ def set_ab_weights_by_model(spark, sf):
 SELECT id, model_id, version, CASE WHEN version = 'v1.1' THEN 0.3 WHEN version = 'v1.0' THEN 0.7 ELSE ab_weight END AS ab_weight
 FROM model_versions_v""")
 def set_ab_weights_by_version(spark, sf):
-    out = RG.set_ab_weights(fx.model_versions_v(spark), version_a="v1.0", version_b="v1.1", weight_a=0.7)
+    out = RG.set_ab_weights(fx.model_versions_v(spark, sf), version_a="v1.0", version_b="v1.1", weight_a=0.7)
     return out.select("id", "model_id", "version", r6(F.col("ab_weight")).alias("ab_weight"))
 
 
@@ -119,7 +119,7 @@ SELECT model_id, version, status, CAST(json_extract_string(metrics, '$.accuracy'
        created_at
 FROM model_versions_v ORDER BY created_at DESC, version DESC, model_id LIMIT 20""")
 def model_performance(spark, sf):
-    return RG.model_performance(fx.model_versions_v(spark), 20)
+    return RG.model_performance(fx.model_versions_v(spark, sf), 20)
 
 
 @register("route_model_version", """
@@ -131,7 +131,7 @@ SELECT e.trace_id, round(e.r, 6) AS ab_ratio,
                 (SELECT version FROM c ORDER BY id DESC LIMIT 1)) AS routed_version
 FROM e""")
 def route_model_version(spark, sf):
-    out = RG.route_model_version(fx.dns_events(spark, sf), fx.model_versions_v(spark), "family")
+    out = RG.route_model_version(fx.dns_events(spark, sf), fx.model_versions_v(spark, sf), "family")
     return out.select("trace_id", r6(F.col("ab_ratio")).alias("ab_ratio"), "routed_version")
 
 
@@ -206,8 +206,8 @@ def score_udf(spark, sf):
 
 # --- JOI-16: audit trail of one model (audit rows derived from the version table) ---------------
 
-def _audit(spark):
-    mv = fx.model_versions_v(spark)
+def _audit(spark, sf):
+    mv = fx.model_versions_v(spark, sf)
     reg = mv.select(F.lit("model_register").alias("action"), F.col("model_id").alias("resource_id"),
                     F.col("version").alias("detail"), F.col("created_at"))
     dep = mv.where(F.col("deployed_at").isNotNull()).select(
@@ -225,4 +225,4 @@ WITH a AS (SELECT 'model_register' AS action, model_id AS resource_id, version A
 SELECT * FROM a WHERE action LIKE 'model_%' AND resource_id = 'family'""")
 def model_history(spark, sf):
     from ..operators.ops import model_history as op
-    return op(_audit(spark), "family")
+    return op(_audit(spark, sf), "family")

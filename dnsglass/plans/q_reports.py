@@ -230,5 +230,5 @@ SELECT model_id, version, id, ab_weight,
 FROM model_versions_v WHERE status = 'production'""")
 def cumulative_weight(spark, sf):
     from ..operators.registry import cumulative_weight as op
-    return op(fx.model_versions_v(spark).where(F.col("status") == "production")).select(
+    return op(fx.model_versions_v(spark, sf).where(F.col("status") == "production")).select(
         "model_id", "version", "id", "ab_weight", r6(F.col("cum_share")).alias("cum_share"))

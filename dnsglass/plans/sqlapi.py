@@ -82,6 +82,6 @@ def register_event_views(spark: SparkSession, sf_dir: str) -> None:
     metadata views over the driver tables."""
     from .. import fixtures as fx
     fx.dns_events(spark, sf_dir).withColumnRenamed("ts", "event_time").createOrReplaceTempView("dga_events")
-    fx.model_versions_v(spark).createOrReplaceTempView("model_versions")
+    fx.model_versions_v(spark, sf_dir).createOrReplaceTempView("model_versions")
     fx.operations_v(spark, sf_dir).createOrReplaceTempView("pipeline_operations")
     fx.feedback_v(spark, sf_dir).createOrReplaceTempView("feedback")
