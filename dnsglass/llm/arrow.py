@@ -3,6 +3,7 @@ byte hashes and streaming over sorted rows."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,25 @@ def batches(rows: pa.Table | pa.RecordBatch, schema: pa.Schema, size: int = 20_0
     yield from rows.cast(schema).to_batches(max_chunksize=size)
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def task(f):
+    """f for mapInArrow, with memory given back when a task ends."""
+    def run(it):
+        try:
+            yield from f(it)
+        finally:
+            release()
+    return run
+
+
 def runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal neighbours, with the length at the end."""
     if not len(keys):

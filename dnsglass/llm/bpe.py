@@ -26,6 +26,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from .arrow import task
 from .tables import texts
 
 #: Distinct pre-tokens kept before the table of resolved ones is emptied.
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFr
                 yield pa.record_batch([part.column(0), pa.array(ids, schema.field(1).type),
                                        pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return texts(docs).mapInArrow(task(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def encode_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -200,4 +201,4 @@ def encode_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -
                                    pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())],
                                   names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return texts(docs).mapInArrow(task(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import U64, ByteHash, chunks, mix, string_bytes
+from .arrow import U64, chunks, mix, string_bytes, task, ByteHash
 from .components import components
 from .tables import cut, texts
 
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, side: int = SIDE, width: int = WIDTH) -> DataFrame
                     pa.array([hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets], pa.binary()),
                     pa.array([band_hashes(s, side, width).tobytes() if len(s) else None for s in sets], pa.binary())], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, set_id binary, bands binary")
+    return texts(docs).mapInArrow(task(run), "doc_id long, n long, set_id binary, bands binary")
 
 
 def _keys(classes: DataFrame, side: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _keys(classes: DataFrame, side: int) -> DataFrame:
                 yield pa.record_batch([pa.array(keys.ravel().view(np.int64)),
                                        pa.array(np.repeat(np.asarray(part.column(0)), side * side))], names=["key", "doc"])
 
-    return classes.select("doc", "bands").mapInArrow(run, "key long, doc long")
+    return classes.select("doc", "bands").mapInArrow(task(run), "key long, doc long")
 
 
 def connected(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, block: i
             yield _edges(found)
         yield _edges(edges(held))
 
-    return rows.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+    return rows.mapInArrow(task(run), "u long, v long").filter("u <> v").distinct()
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:

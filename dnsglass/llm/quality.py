@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import task
 from .tables import texts
 
 LABELLED = 20_000
@@ -113,7 +114,7 @@ def toxic_stems(docs: DataFrame, labels: DataFrame) -> frozenset[str]:
                 yield pa.record_batch([pa.array([*stems, None], pa.string()), pa.array([toxic] * (len(stems) + 1), pa.int32())], names=["stem", "toxic"])
 
     rows = (texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # LABELLED rows at most
-            .mapInArrow(run, "stem string, toxic int")
+            .mapInArrow(task(run), "stem string, toxic int")
             .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")))
     total = rows.filter("stem is null").first()
     if total is None or not total["toxic"]:
@@ -136,7 +137,7 @@ def vote_counts(docs: DataFrame, toxic: frozenset[str]) -> list[tuple[list[int],
                 out.append("".join(map(str, votes(*style(text), words, stems_of(words), toxic))))
             yield pa.record_batch([pa.array(out, pa.string())], names=["pattern"])
 
-    rows = texts(docs).mapInArrow(run, "pattern string").groupBy("pattern").count().orderBy("pattern").collect()
+    rows = texts(docs).mapInArrow(task(run), "pattern string").groupBy("pattern").count().orderBy("pattern").collect()
     return [([int(c) for c in r["pattern"]], r["count"]) for r in rows]
 
 
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                                        pa.array([features(*shape, words, stems, toxic)], pa.list_(pa.int32()))], names=["doc_id", "votes", "features"])
 
     sample = (texts(docs).join(F.broadcast(_least_hashed(docs.select(F.col("doc_id").cast("long")), SAMPLE)), "doc_id").select("doc_id", "text")
-              .mapInArrow(run, "doc_id long, votes array<int>, features array<int>").toLocalIterator())  # SAMPLE ids at most
+              .mapInArrow(task(run), "doc_id long, votes array<int>, features array<int>").toLocalIterator())  # SAMPLE ids at most
     seen: dict[int, tuple[list[int], np.ndarray]] = {}
     for r in sample:
         seen.setdefault(r["doc_id"], (list(r["votes"]), np.array(r["features"], np.int64)))
@@ -254,7 +255,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = np.array([model.score(t.as_py()) for t in batch.column(1)], float)
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array(s < 0.5)], names=["doc_id", "score", "kept"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, kept boolean")
+    return texts(docs).mapInArrow(task(run), "doc_id long, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -266,4 +267,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in it:
             yield batch.filter(pa.array([model.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)

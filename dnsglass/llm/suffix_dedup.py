@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import CHUNK_BYTES, U64, ByteHash, batches, chunks, mix, runs, spread, string_bytes, table_of
+from .arrow import CHUNK_BYTES, U64, batches, chunks, mix, runs, spread, string_bytes, table_of, task, ByteHash
 from .lyndon import suffix_arrays
 from .tables import cut
 
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             key = key & ~U64(1)
             yield from batches(pa.table([pa.array(x.view(np.int64)) for x in (route, key, whole)] + [pa.array(doc), pa.array(pos), pa.array(size)], schema=PIECES), PIECES)
 
-    return docs.mapInArrow(run, _ddl(PIECES))
+    return docs.mapInArrow(task(run), _ddl(PIECES))
 
 
 def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -223,7 +223,7 @@ def settle(found: DataFrame) -> DataFrame:
             key_now = last
         yield from closed()
 
-    return rows.mapInArrow(run, _ddl(FOUND))
+    return rows.mapInArrow(task(run), _ddl(FOUND))
 
 
 def _text(rows: pa.StructArray) -> pa.Array:
@@ -262,7 +262,7 @@ def segments(open_pieces: DataFrame, docs: DataFrame, length: int = LENGTH) -> D
                     yield from batches(pa.table([pa.array((k | U64(1)).view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(start), ids[i])), pa.array(start),
                                                  pa.array(np.ones(len(start), np.int32)), pa.nulls(len(start), pa.binary())], schema=SEGMENTS), SEGMENTS)
 
-    return rows.mapInArrow(run, _ddl(SEGMENTS))
+    return rows.mapInArrow(task(run), _ddl(SEGMENTS))
 
 
 def repeats_in(blocks: list[list[tuple[int, int, int, bytes]]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +361,7 @@ def sort_segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         if blocks:
             yield spans(*repeats_in(blocks, length))
 
-    return rows.mapInArrow(run, "doc long, pos long, len int")
+    return rows.mapInArrow(task(run), "doc long, pos long, len int")
 
 
 def merge_spans(pos: np.ndarray, size: np.ndarray, n_bytes: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -416,7 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
                                   names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeated_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(docs, length).mapInArrow(task(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -446,4 +446,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 made["n_chars"] = pc.if_else(pc.is_null(made["n_chars"]), None, pc.utf8_length(text)).cast(made["n_chars"].type)
             yield pa.record_batch([made[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
 
-    return repeated_spans(docs, length, others).mapInArrow(run, schema)
+    return repeated_spans(docs, length, others).mapInArrow(task(run), schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import task
 from .bpe import load, public_vocabulary
 
 OUT = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64())])
@@ -84,7 +85,7 @@ def token_counts(docs: DataFrame, sections: Column | None = None, vocabulary: tu
             if out:
                 yield _rows(out, ids)
 
-    return rows.mapInArrow(run, "doc_id long, section int, start long, end long, n_tokens long, n_crossing long")
+    return rows.mapInArrow(task(run), "doc_id long, section int, start long, end long, n_tokens long, n_crossing long")
 
 
 def _rows(out: list[tuple[np.ndarray, ...]], ids: list[int | None]) -> pa.RecordBatch:

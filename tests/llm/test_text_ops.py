@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-import regex
 from pyspark.sql import functions as F
 
 from dnsglass.llm import bpe, html_text, langid, lyndon, token_counts
@@ -36,12 +35,6 @@ def test_bpe_as_tiktoken(encoder):
         assert encoder.decode(ids) == text.encode()
 
 
-def test_words_split_as_the_pattern(encoder):
-    find = regex.compile(bpe.public_pattern()).findall
-    for text in ODD_TEXTS:
-        assert [p for w in encoder.words(text) for p in find(w)] == find(text)
-
-
 def test_perfect_hash_is_minimal():
     keys = [b"k%d" % i for i in range(997)]
     h = bpe.PerfectHash(keys)
@@ -49,13 +42,6 @@ def test_perfect_hash_is_minimal():
     assert bpe.PerfectHash([b"one"])(b"one") == 0
 
 
-def test_memo_keeps_its_bound():
-    seen = []
-    m = bpe.Memo(lambda w: seen.append(w) or w.upper(), 10)
-    assert [m[str(i % 30)] for i in range(90)] == [str(i % 30) for i in range(90)]
-    assert len(m) <= 10 and len(m.old) <= 10
-
-
 def test_bpe_query(spark, odd_docs, encoder):
     rows = bpe.encode_digests(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["exact"] for r in rows)
