@@ -3,7 +3,12 @@
 A page is a sequence of words and tags.  Every word has a score, positive in content,
 negative in boilerplate; every tag has a negative one.  A linear scan finds the
 contiguous region with the largest sum; the words in it that score above zero are
-the text, so a menu or an advert in the middle of an article is left out.
+the text, so a menu or an advert in the middle of an article is left out.  Such a
+block inside the content is neutral: it adds nothing and takes nothing away, so the
+text on both sides of it stays in one region however long it is.  A block is inside
+if the nearest telling element around it names content, or, where no name tells, if
+its parent has running text (paragraphs, lists, loose text) before and after it and
+no element that names content.  Outside, its words and tags count against a region.
 
 The weights come from labelled pages: at most LABELLED pages (those with the least hash
 of page_id) that mark their main content up themselves (article, main).  For every
@@ -49,9 +54,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 # Elements that say nothing about their content by themselves (fixed values).
 GENERIC = frozenset("html body div section span center table tbody thead tr td th ul ol li dl dt dd p pre blockquote figure figcaption fieldset address details summary hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CELLS = frozenset("td th tr thead tbody tfoot".split())
+# Elements whose text runs on in the element around them.
+FLOW = frozenset("section ul ol dl pre blockquote figure figcaption details".split())
 # Elements that are closed by a sibling or the parent, and inline ones: they do not enclose for long.
 LOOSE = INLINE | VOID | frozenset("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h6 html body".split())
 
+#: An open element: name, marks and its number on the page (from 1 on).
+Open = tuple[str, tuple[str, ...], int]
+
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
 |<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^<>"']|"[^"<]*"|'[^'<]*')*)(?:>|\Z)
 |</?[A-Za-z][^<>]*(?:>|\Z)|(?P<text>[^<]+|<)""", re.S | re.X)
@@ -87,18 +98,19 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
                 yield "close", name, ()
 
 
-def walk(page: str) -> Iterator[tuple[str, str, list[tuple[str, tuple[str, ...]]]]]:
-    """("text" | "tag", text or name, enclosing elements from outside in).  An end tag closes
-    the nearest open element of its name; those left open inside it go with it."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def walk(page: str) -> Iterator[tuple[str, str, list[Open]]]:
+    """("text" | "open" | "close", text or name, enclosing elements from outside in).  An end tag
+    closes the nearest open element of its name; those left open inside it go with it."""
+    stack: list[Open] = []
+    number = 0
     for kind, value, marks in tokens(page):
+        yield kind, value, stack
         if kind == "text":
-            yield "text", value, stack
             continue
-        yield "tag", value, stack
         if kind == "open":
             if value not in VOID and (value not in LOOSE or marks):
-                stack.append((value, marks))
+                number += 1
+                stack.append((value, marks, number))
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == value:
@@ -109,8 +121,8 @@ def walk(page: str) -> Iterator[tuple[str, str, list[tuple[str, tuple[str, ...]]
                     break
 
 
-def _skipped(stack: list[tuple[str, tuple[str, ...]]]) -> bool:
-    return any(name in SKIPPED for name, _ in stack)
+def _skipped(stack: list[Open]) -> bool:
+    return any(name in SKIPPED for name, _, _ in stack)
 
 
 def labelled_counts(page: str) -> tuple[Counter, Counter]:
@@ -120,11 +132,11 @@ def labelled_counts(page: str) -> tuple[Counter, Counter]:
     for kind, value, stack in walk(page):
         if _skipped(stack):
             continue
-        inside = any(name in ("article", "main") for name, _ in stack)
-        if kind == "tag":
+        inside = any(name in ("article", "main") for name, _, _ in stack)
+        if kind != "text":
             tags[value, inside] += 1
         elif n := len(value.split()):
-            for f in {f for name, marks in stack for f in (name, *marks)} - GENERIC:
+            for f in {f for name, marks, _ in stack for f in (name, *marks)} - GENERIC:
                 words[f, inside] += n
     return words, tags
 
@@ -144,16 +156,34 @@ class Weights:
             inside, outside = tags.get((f, True), 0), tags.get((f, False), 0)
             self.tag[f] = -TAG_COST * (outside + 1) / (inside + outside + 2)
 
-    def word(self, stack: list[tuple[str, tuple[str, ...]]]) -> float:
-        """The score of a word: the innermost telling element's log-odds."""
+    def tells(self, stack: list[Open], i: int) -> float:
+        """What an element of the stack says about its words: their log-odds, 0 for nothing."""
+        name, marks, _ = stack[i]
+        if name == "header" and any(n in ("article", "main") for n, _, _ in stack[:i]):
+            return 0.0  # an article's own heading
+        told = [self.odds[f] for f in (name, *marks) if abs(self.odds.get(f, 0)) >= 1]
+        return 0.0 if not told else min(told) if min(told) < 0 else max(told)
+
+    def place(self, stack: list[Open]) -> tuple[float, list[int], int | None]:
+        """The score of a word, by the innermost telling element; the numbers of the elements
+        around the one that names it content; and of a word that scores below zero the
+        element whose running text decides if it is inside the content: -1 if a name says
+        that it is, None if it cannot be."""
+        told = [self.tells(stack, i) for i in range(len(stack))]
+        score = -3.0 if _skipped(stack) else next((v for v in reversed(told) if v), 0.5)
+        if score > 0:
+            by = next((i for i in range(len(stack) - 1, -1, -1) if told[i] > 0 and stack[i][0] not in ("html", "body")), None)
+            return score, [] if by is None else [0, *(n for _, _, n in stack[:by])], None
+        block = len(stack)  # the outermost boilerplate element that no content lies around
         for i in range(len(stack) - 1, -1, -1):
-            name, marks = stack[i]
-            told = [self.odds[f] for f in (name, *marks) if abs(self.odds.get(f, 0)) >= 1]
-            if name == "header" and any(n in ("article", "main") for n, _ in stack[:i]):
-                continue  # an article's own heading
-            if told:
-                return min(told) if min(told) < 0 else max(told)
-        return 0.5
+            name = stack[i][0]
+            if name in SKIPPED or told[i] < 0:
+                block = i
+            elif told[i] > 0 and name not in ("html", "body"):
+                return score, [], -1
+        if stack[block][0] in CELLS or stack[block][0] in ("html", "body", "head"):
+            return score, [], None
+        return score, [], next((n for name, _, n in reversed(stack[:block]) if name not in LOOSE), 0)
 
 
 def extract(page: str | None, weights: Weights) -> str:
@@ -162,20 +192,42 @@ def extract(page: str | None, weights: Weights) -> str:
         return ""
     pieces: list[str] = []  # words of the best region so far are told from pieces[best[0]:best[1]]
     scores: list[float] = []
-    last: tuple | None = None
-    score = 0.0
+    blocks: list[tuple[int, int]] = []  # what may be boilerplate inside the content: (piece, element that decides)
+    first: dict[int, int] = {}  # the first and the last piece of an element's running text
+    last: dict[int, int] = {}
+    named: set[int] = set()  # elements with an element inside that names content
+    known: dict[tuple[int, int], tuple[float, list[int], int | None]] = {}
+    paragraph = False
     for kind, value, stack in walk(page):
-        if kind == "tag":
+        key = (stack[-1][2], len(stack)) if stack else (0, 0)
+        if key not in known:
+            known[key] = weights.place(stack)
+        score, around, decides = known[key]
+        if decides is not None:
+            blocks.append((len(pieces), decides))
+        if kind != "text":
+            if value not in INLINE and value != "br":
+                paragraph = kind == "open" and value == "p"
             pieces.append("" if value in INLINE and value != "wbr" else " ")
             scores.append(weights.tag.get(value, -TAG_COST / 2))
-            last = None
             continue
-        if last is None:
-            score = -3.0 if _skipped(stack) else weights.word(stack)
-            last = (len(stack),)
         n = len(value.split())
+        if n and score > 0:
+            named.update(around)
+            flows = True
+            for name, _, number in reversed(stack):
+                if (flows or paragraph) and name not in LOOSE:
+                    first.setdefault(number, len(pieces))
+                    last[number] = len(pieces)
+                flows = flows and (name in FLOW or name in LOOSE)
+            if flows or paragraph:
+                first.setdefault(0, len(pieces))
+                last[0] = len(pieces)
         pieces.append(value if score > 0 else " ")
         scores.append(score * n)
+    for i, element in blocks:
+        if element < 0 or element not in named and first.get(element, i) < i < last.get(element, i):
+            scores[i] = 0.0
     total, start, best, region = 0.0, 0, 0.0, (0, 0)
     for i, s in enumerate(scores):
         if total <= 0:

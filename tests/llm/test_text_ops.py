@@ -131,6 +131,37 @@ def test_main_text(spark):
     assert html_text.main_text(pages.limit(0)).collect() == []
 
 
+BLOCKS = ['<aside>{}</aside>', '<div class="advert"><p>{}</p></div>', '<div class="related-posts"><ul><li><a href="/x">{}</a></li></ul></div>', '<form><label>{}</label><input></form>',
+          '<section id="comments"><div><p>{}</p></div></section>', '<button>{}</button>', '<aside><div class="ad">{}</div></aside>']
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", '<div class="post">{}</div>', "<div>{}</div>", "{}", '<div class="c1"><section>{}</section></div>'])
+@pytest.mark.parametrize("block", BLOCKS)
+def test_main_text_on_both_sides_of_a_block(frame, block):
+    """Blocks longer than the text beside them, in mid-article, before the last and after the first paragraph."""
+    weights = html_text.Weights({}, {})
+
+    def text(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    for sizes in ((500, 50), (50, 500), (20, 20), (200, 30, 30)):
+        for long in (10, 60, 400):
+            parts = [text("abcdefgh"[j], n) for j, n in enumerate(sizes)]
+            inside = block.format(text("junk", long)).join(f"<p>{p}</p>" for p in parts)
+            page = ("<html><head><title>t</title></head><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav>" + frame.format(inside)
+                    + "<footer>all rights reserved by the owner</footer></body></html>")
+            assert html_text.extract(page, weights) == " ".join(parts)
+
+
+def test_main_text_keeps_blocks_outside_apart():
+    """Boilerplate beside the content still cuts off the loose words behind it."""
+    weights = html_text.Weights({}, {})
+    body = " ".join(f"w{i}" for i in range(100))
+    menu = "<nav><ul>" + "<li><a>menu entry</a></li>" * 8 + "</ul></nav>"
+    for content in (f"<article><p>{body}</p></article>", f"<div><p>{body}</p></div>"):
+        assert html_text.extract(f"<body><div>Welcome to us</div>{menu}{content}<aside>more of this and that</aside><div>Powered by it</div></body>", weights) == body
+
+
 def test_main_text_long(spark):
     long = "<article>" + "<p>some words &amp; more</p>" * 20000 + "</article>"
     assert html_text.extract(long, html_text.Weights({}, {})) == " ".join(["some words & more"] * 20000)
