@@ -3,7 +3,9 @@
 Texts are lower-cased and runs of white space become one space.  Every benchmark
 item is cut into overlapping probes of PROBE characters (a shorter item is one
 probe).  A document is contaminated by an item if some region of it can be turned
-into one of its probes with at most BUDGET of the probe's length in edits.
+into one of its probes with at most BUDGET of the probe's length in edits, or if it
+holds a verbatim excerpt of EXCERPT characters or more of the item, wherever in the
+item the excerpt starts.
 
 An alignment of a probe of n characters with at most k edits keeps at least
 n - Q + 1 - k * Q of its q-grams, all within k diagonals.  The shared q-grams of a
@@ -12,6 +14,10 @@ any such alignment lies in one band as a whole; bands that reach the bound are
 verified by an alignment confined to the band's diagonals.  The lemma loses no
 region within the budget.
 
+Every excerpt of EXCERPT characters lies in some probe, for probes overlap by STEP.
+So the index also has the hashes of all strings of EXCERPT characters of its probes;
+those of a document are looked up there and compared character by character.
+
 The probes are split by hash into blocks of a bounded number of characters.  Each
 block's index is bounded whatever the benchmark's size, and all documents pass by
 each block, so nothing depends on the benchmark being small.
@@ -34,6 +40,8 @@ from .arrow import U64, mix, runs, spread
 from .tables import texts
 
 PROBE, STEP, Q = 100, 50, 10
+#: Every verbatim excerpt of at least this many normalised characters is found (at most PROBE - STEP).
+EXCERPT = 50
 #: Edits allowed per character of a probe.
 BUDGET = 0.06
 #: Probe characters of one block of the index.
@@ -73,21 +81,12 @@ def bound(n: int, q: int = Q) -> int:
     return max(1, n - q + 1 - allowed(n) * q)
 
 
-class Index:
-    """The q-grams of a block of probes (item, number, text)."""
+class Lookup:
+    """The entries of each hash."""
 
-    def __init__(self, probes: list[tuple[int, int, str]]):
-        self.item = np.array([p[0] for p in probes], np.int64)
-        self.text = [p[2] for p in probes]
-        size = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.array([allowed(n) for n in size.tolist()], np.int64)
-        self.need = np.array([bound(n) for n in size.tolist()], np.int64)
-        hashes = [grams(codes(t)) for t in self.text]
-        count = np.array([len(h) for h in hashes], np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        probe, place = np.repeat(np.arange(len(probes)), count), spread(np.zeros(len(probes), np.int64), count)
-        by = np.argsort(h, kind="stable")
-        h, self.probe, self.place = h[by], probe[by], place[by]
+    def __init__(self, h: np.ndarray):
+        self.entry = np.argsort(h, kind="stable")
+        h = h[self.entry]
         edge = runs(h)
         self.hash, self.first, self.count = h[edge[:-1]], edge[:-1], np.diff(edge)
         bits = max(16, int(4 * len(self.hash)).bit_length() + 2)
@@ -95,16 +94,64 @@ class Index:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.hash >> self.shift).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, probe, place in the probe) of every shared q-gram."""
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, entry) of every hash that is known."""
         at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
         slot = np.searchsorted(self.hash, h[at])
         slot[slot == len(self.hash)] = 0
         same = self.hash[slot] == h[at]
         at, slot = at[same], slot[same]
         n = self.count[slot]
-        entry = spread(self.first[slot], n)
-        return np.repeat(at, n), self.probe[entry], self.place[entry]
+        return np.repeat(at, n), self.entry[spread(self.first[slot], n)]
+
+
+class Index:
+    """The q-grams and excerpts of a block of probes (item, number, text)."""
+
+    def __init__(self, probes: list[tuple[int, int, str]]):
+        self.item = np.array([p[0] for p in probes], np.int64)
+        self.text = [p[2] for p in probes]
+        size = np.array([len(t) for t in self.text], np.int64)
+        self.edits = np.array([allowed(n) for n in size.tolist()], np.int64)
+        self.need = np.array([bound(n) for n in size.tolist()], np.int64)
+        h, self.probe, self.place = self._places(Q)
+        self.grams = Lookup(h)
+        h, probe, place = self._places(EXCERPT)
+        _, self.own = np.unique(self.item, return_inverse=True)
+        by = np.lexsort((place, probe, self.own[probe], h)) if len(h) else np.zeros(0, np.int64)
+        h, probe, place = h[by], probe[by], place[by]
+        new = np.ones(len(h), bool)  # an excerpt counts once for its item
+        new[1:] = (h[1:] != h[:-1]) | (self.own[probe[1:]] != self.own[probe[:-1]])
+        self.excerpt_probe, self.excerpt_place = probe[new], place[new]
+        self.excerpts = Lookup(h[new])
+
+    def _places(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, probe, place in the probe) of every q-gram."""
+        hashes = [grams(codes(t), q) for t in self.text]
+        count = np.array([len(h) for h in hashes], np.int64)
+        return (np.concatenate(hashes) if hashes else np.zeros(0, U64), np.repeat(np.arange(len(self.text)), count),
+                spread(np.zeros(len(self.text), np.int64), count))
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, probe, place in the probe) of every shared q-gram."""
+        at, entry = self.grams(h)
+        return at, self.probe[entry], self.place[entry]
+
+    def copied(self, chars: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, place) of the first excerpt of each item in each of the texts that
+        begin at `start` in `chars`."""
+        at, entry = self.excerpts(grams(chars, EXCERPT))
+        probe, place = self.excerpt_probe[entry], self.excerpt_place[entry]
+        text = np.searchsorted(start, at, "right") - 1
+        pair = text * len(self.item) + self.own[probe]
+        by = np.argsort(pair, kind="stable")
+        edge = runs(pair[by])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            for j in by[a:b].tolist():
+                p, n = int(probe[j]), int(place[j])
+                if (chars[at[j]:at[j] + EXCERPT] == codes(self.text[p][n:n + EXCERPT])).all():
+                    yield int(text[j]), int(self.item[p]), int(at[j] - start[text[j]])
+                    break
 
     def bands(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probe, first diagonal) of the bands that reach the bound."""
@@ -181,7 +228,8 @@ def probes_of(benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, edits, region_end, n_probes: one row for each document and item
     that it holds a region of; the best probe's edits and where its region ends in
-    the normalised text."""
+    the normalised text.  Where only an excerpt is found, n_probes is 0, edits 0 and
+    region_end the end of its first EXCERPT characters."""
     probes = probes_of(benchmark)
     total = probes.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_chars))
@@ -192,7 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
         part = _against(docs, own)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(
-        F.min(F.struct("edits", "region_end")).alias("best"), F.sum("n_probes").alias("n_probes")).select(
+        F.min(F.struct(F.col("n_probes") == 0, "edits", "region_end")).alias("best"), F.sum("n_probes").alias("n_probes")).select(
         "doc_id", "item_id", "best.edits", "best.region_end", "n_probes")
 
 
@@ -238,4 +286,6 @@ def _search(index: Index, part: list[str], chars: list[np.ndarray], ids: list[in
                 b = best.setdefault((i, int(index.item[p])), [hit[0], hit[1], 0])
                 b[:2] = min(b[:2], [*hit])
                 b[2] += 1
+    for i, item, at in index.copied(flat, start):
+        best.setdefault((i, item), [0, at + EXCERPT, 0])
     out += [(ids[i], item, *b) for (i, item), b in best.items()]

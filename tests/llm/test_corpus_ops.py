@@ -230,6 +230,40 @@ def test_decontamination_by_brute_force(spark):
     assert decontaminate.contaminated(docs.limit(0), benchmark).collect() == []
 
 
+def test_decontamination_of_excerpts(spark):
+    """Verbatim excerpts from every offset of an item, against brute force over all its substrings."""
+    rng = random.Random(14)
+    items = [(i, " ".join(words(rng, n, 10 ** 6))) for i, n in enumerate((40, 13, 9, 60, 40))] + [(9, "ab" * 90)]
+    items.append((5, items[0][1]))  # the same text under another id
+    least = decontaminate.EXCERPT
+    assert 50 <= least <= 60
+    rows = []
+    for i, t in items[:4]:
+        for at in range(0, len(t) - 10):
+            for n in (least - 1, least, least + 9, 135):
+                rows.append((len(rows), (" ".join(words(rng, 5)) + "\n" + t[at:at + n].upper() + "  " + " ".join(words(rng, 5)))))
+    rows += [(len(rows), "x" + "ba" * 26), (len(rows) + 1, "x" + "ba" * 20 + "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    holders = defaultdict(set)
+    for i, t in items:
+        for s in range(len(t) - least + 1):
+            holders[t[s:s + least]].add(i)
+    expected = set()
+    for d, x in rows:
+        x = decontaminate.normal(x)
+        expected |= {(d, i) for s in range(len(x) - least + 1) for i in holders.get(x[s:s + least], ())}
+    for size in (4_000_000, 700):
+        got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), size).collect()
+        assert len({(r["doc_id"], r["item_id"]) for r in got}) == len(got)
+        assert expected <= {(r["doc_id"], r["item_id"]) for r in got}
+        assert {(r["doc_id"], r["item_id"]) for r in got if not r["n_probes"]} <= expected
+        for r in got:
+            if not r["n_probes"]:
+                x = decontaminate.normal(rows[r["doc_id"]][1])
+                assert r["edits"] == 0 and r["item_id"] in holders[x[r["region_end"] - least:r["region_end"]]]
+    assert len(expected) > 1000
+
+
 def test_banded_alignment():
     rng = random.Random(12)
     for _ in range(200):
