@@ -2,31 +2,33 @@
 
 A byte is removed if a string of LENGTH bytes that covers it also starts earlier:
 in a document with a smaller doc_id, or earlier in the same one.  Everything is
-judged on the input.
+judged on the input.  A document is a doc_id and a text: all numbers below carry
+doc (the doc_id) and copy (the text's 64-bit hash), and joins are on both.
 
 1.  Anchors.  A string of LENGTH bytes has one anchor, its least 16-byte gram by
     hash.  Equal strings have equal anchors at equal offsets, so the starts of a
     document fall into short pieces of neighbours with the same anchor (and the same
     half of the offsets), and two equal strings lie in pieces that share the bytes
     common to all of the piece's strings: the piece's key.  One shuffle by key
-    brings them together; a piece is five numbers, no text.  Copies inside an Arrow
+    brings them together; a piece is a few numbers, no text.  Copies inside an Arrow
     batch are settled before the shuffle and routed at random, so a passage that
     a third of the documents hold sends one row of a batch to its key.
 2.  Of the pieces of a key that are equal as a whole, the first is kept and the
     starts of the others are repeats.  A key that has several different pieces
     (the borders of a copied passage) goes on to 3.
-3.  The bytes of those pieces are fetched by a join on doc_id.  The pieces of a key
+3.  The bytes of those pieces are fetched by a join on doc and copy.  The pieces of a key
     form one small text, and its suffix array (`lyndon.suffix_arrays`) puts equal
     strings next to each other: all but the earliest of a run are repeats.  Keys
     with more than `MOST` different pieces are split further instead: each of
     their strings becomes a row keyed by its own hash, which needs no text.
-4.  The spans of a document meet its text in one more join on doc_id, for which
+4.  The spans of a document meet its text in one more join on doc and copy, for which
     Spark reuses the exchange of step 3.
 
 Cases: null or empty text -> 0 bytes, nothing removed.  A null doc_id counts as
 smaller than all others.  Rows that repeat doc_id and text are one document and
-give equal results; a doc_id with different texts is not supported (its spans
-are clipped to each text).  Extra columns are ignored.
+give equal results, also without a doc_id.  Different texts of one doc_id, or
+without one, are different documents, in the order of their copy.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import CHUNK_BYTES, U64, batches, chunks, mix, runs, spread, string_bytes, table_of, task, ByteHash
@@ -55,9 +57,9 @@ NO_ID = -(1 << 63)
 REPEAT, PIECE, SPLIT = 0, 1, 2
 _GRAMS = table_of(17)
 _SECOND = table_of(23)
-PIECES = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("same", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("len", pa.int32())])
-FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("len", pa.int32())])
-SEGMENTS = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("len", pa.int32()), ("bytes", pa.binary())])
+PIECES = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("same", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.int64()), ("len", pa.int32())])
+FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.int64()), ("len", pa.int32())])
+SEGMENTS = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.int64()), ("len", pa.int32()), ("bytes", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -132,34 +134,38 @@ def _order(*by: np.ndarray) -> np.ndarray:
     return np.lexsort(by[::-1])
 
 
+def _copy(text: Column) -> Column:
+    return F.xxhash64(text).alias("copy")
+
+
 def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """route, key, same, doc, pos, len of every piece; where route is not the key,
-    an equal piece of the batch comes earlier, and the row is a repeat."""
+    """route, key, same, doc, copy, pos, len of every piece of a table (doc, text); where
+    route is not the key, an equal piece of the batch comes earlier, and the row is a
+    repeat."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = np.asarray(batch.column(0))
-            if (np.diff(ids) < 0).any():
-                batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
-                ids = np.asarray(batch.column(0))
+            batch = batch.take(pa.array(_order(*_columns(batch, 2))))
+            ids, copies = _columns(batch, 2)
             parts = []
-            for a, data, off, ends, shift in _views(batch.column(1), length):
+            for a, data, off, ends, shift in _views(batch.column(2), length):
                 first, size, key, whole = find_pieces(data, ends, length)
                 row = np.searchsorted(off, first, "right") - 1
-                parts.append((ids[a + row], first - off[row] + shift[row], size.astype(np.int32), key, whole))
+                parts.append((ids[a + row], copies[a + row], first - off[row] + shift[row], size.astype(np.int32), key, whole))
             if not parts:
                 continue
-            doc, pos, size, key, whole = (np.concatenate(x) for x in zip(*parts))
+            doc, copy, pos, size, key, whole = (np.concatenate(x) for x in zip(*parts))
             both = mix(key + whole * U64(0xC2B2AE3D27D4EB4F))
             order = np.argsort(both, kind="stable")
             lead = np.empty(len(both), np.int64)  # the first of the equal pieces
             edge = runs(both[order])
             lead[order] = np.repeat(order[edge[:-1]], np.diff(edge))
-            again = (doc != doc[lead]) | (pos != pos[lead])
+            again = (doc != doc[lead]) | (copy != copy[lead]) | (pos != pos[lead])
             route = np.where(again, mix(both + np.arange(len(both), dtype=U64)) | U64(1), key & ~U64(1))
             key = key & ~U64(1)
-            yield from batches(pa.table([pa.array(x.view(np.int64)) for x in (route, key, whole)] + [pa.array(doc), pa.array(pos), pa.array(size)], schema=PIECES), PIECES)
+            yield from batches(pa.table([pa.array(x.view(np.int64)) for x in (route, key, whole)] + [pa.array(doc), pa.array(copy), pa.array(pos), pa.array(size)], schema=PIECES), PIECES)
 
-    return docs.mapInArrow(task(run), _ddl(PIECES))
+    doc, text = docs.columns
+    return docs.select(doc, _copy(F.col(text)), text).mapInArrow(task(run), _ddl(PIECES))
 
 
 def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -169,15 +175,15 @@ def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
 def settle(found: DataFrame) -> DataFrame:
     """REPEAT rows, and of every key with different pieces the first of each kind
     (PIECE, or SPLIT if there are more than MOST)."""
-    rows = found.repartition("route").sortWithinPartitions("key", "same", "doc", "pos")
+    rows = found.repartition("route").sortWithinPartitions("key", "same", "doc", "copy", "pos")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # of the last key: its firsts that are not yet told (rows of key, doc, pos, len)
+        held: list[np.ndarray] = []  # of the last key: its firsts that are not yet told (rows of key, doc, copy, pos, len)
         key_now, same_now, many = None, None, False
-        first_now = np.zeros(2, np.int64)  # doc and pos of the first of the equal pieces at hand
+        first_now = np.zeros(3, np.int64)  # doc, copy and pos of the first of the equal pieces at hand
 
         def told(kind: int, x: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(x.shape[1], kind, np.int32)), pa.array(x[0]), pa.array(x[1]), pa.array(x[2]), pa.array(x[3].astype(np.int32))], schema=FOUND)
+            return pa.record_batch([pa.array(np.full(x.shape[1], kind, np.int32)), *(pa.array(y) for y in x[:4]), pa.array(x[4].astype(np.int32))], schema=FOUND)
 
         def closed() -> Iterator[pa.RecordBatch]:
             if held:
@@ -187,9 +193,9 @@ def settle(found: DataFrame) -> DataFrame:
                 held.clear()
 
         for batch in it:
-            route, key, same, doc, pos, size = _columns(batch, 6)
+            route, key, same, doc, copy, pos, size = _columns(batch, 7)
             known = route != key
-            rows = np.stack([key, doc, pos, size.astype(np.int64)])
+            rows = np.stack([key, doc, copy, pos, size.astype(np.int64)])
             if known.any():
                 yield told(REPEAT, rows[:, known])
                 keep = ~known
@@ -200,8 +206,8 @@ def settle(found: DataFrame) -> DataFrame:
             fresh[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
             fresh[0] = key[0] != key_now or same[0] != same_now
             lead = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-            first = np.where(lead >= 0, rows[1:3, lead], first_now[:, None])
-            yield told(REPEAT, rows[:, (rows[1:3] != first).any(axis=0)])  # a repeated row is no repeat of itself
+            first = np.where(lead >= 0, rows[1:4, lead], first_now[:, None])
+            yield told(REPEAT, rows[:, (rows[1:4] != first).any(axis=0)])  # a repeated row is no repeat of itself
             first_now = first[:, -1].copy()
             same_now, last = same[-1], key[-1]
             firsts = rows[:, fresh]
@@ -233,13 +239,13 @@ def _text(rows: pa.StructArray) -> pa.Array:
 
 def segments(open_pieces: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The bytes of every PIECE, and a row for every string of a SPLIT (no bytes)."""
-    listed = open_pieces.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "pos", "len")).alias("pieces"))
-    rows = docs.join(listed, "doc").select("doc", "row", "pieces")
+    listed = open_pieces.groupBy("doc", "copy").agg(F.collect_list(F.struct("kind", "key", "pos", "len")).alias("pieces"))
+    rows = docs.join(listed, ["doc", "copy"]).select("doc", "copy", "row", "pieces")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            data, off = string_bytes(_text(batch.column(1)))
-            ids, lists = np.asarray(batch.column(0)), batch.column(2)
+            data, off = string_bytes(_text(batch.column(2)))
+            (ids, copies), lists = _columns(batch, 2), batch.column(3)
             at = np.asarray(lists.offsets)
             kind, key, pos, size = (np.asarray(x) for x in lists.values.flatten())
             for i in range(len(batch)):
@@ -251,7 +257,7 @@ def segments(open_pieces: DataFrame, docs: DataFrame, length: int = LENGTH) -> D
                     for c, v in zip(cols, (k, 0, p, n, raw[p:p + n - 1 + length])):
                         c.append(v)
                 if cols[0]:
-                    yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.full(len(cols[0]), ids[i])),
+                    yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.full(len(cols[0]), ids[i])), pa.array(np.full(len(cols[0]), copies[i])),
                                            pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], schema=SEGMENTS)
                 split = kind[a:b] == SPLIT
                 if split.any():
@@ -259,18 +265,18 @@ def segments(open_pieces: DataFrame, docs: DataFrame, length: int = LENGTH) -> D
                     lo, hi = int(start.min()), int(start.max()) + length
                     one, two = ByteHash(text[lo:hi]), ByteHash(text[lo:hi], _SECOND)
                     k, s = one(start - lo, start - lo + length), two(start - lo, start - lo + length)
-                    yield from batches(pa.table([pa.array((k | U64(1)).view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(start), ids[i])), pa.array(start),
+                    yield from batches(pa.table([pa.array((k | U64(1)).view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(start), ids[i])), pa.array(np.full(len(start), copies[i])), pa.array(start),
                                                  pa.array(np.ones(len(start), np.int32)), pa.nulls(len(start), pa.binary())], schema=SEGMENTS), SEGMENTS)
 
     return rows.mapInArrow(task(run), _ddl(SEGMENTS))
 
 
-def repeats_in(blocks: list[list[tuple[int, int, int, bytes]]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, pos) of the repeated strings of each block of segments (doc, pos, number of
-    starts, bytes): suffix arrays of all blocks, then runs of equal strings."""
-    docs, where = [], []
+def repeats_in(blocks: list[list[tuple[int, int, int, int, bytes]]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, copy, pos) of the repeated strings of each block of segments (doc, copy, pos,
+    number of starts, bytes): suffix arrays of all blocks, then runs of equal strings."""
+    found = []
     a = 0
-    sizes = np.array([sum(len(s[3]) + 1 for s in b) + 1 for b in blocks])
+    sizes = np.array([sum(len(s[4]) + 1 for s in b) + 1 for b in blocks])
     order = np.argsort(sizes, kind="stable")
     while a < len(order):
         b = max(a + 1, a + int(np.searchsorted(np.cumsum(sizes[order[a:]]), SORT_CHARS, "right")))
@@ -278,16 +284,16 @@ def repeats_in(blocks: list[list[tuple[int, int, int, bytes]]], length: int = LE
         size = sizes[order[a:b]]
         segs = [s for block in part for s in block]
         # a separator (1) after each segment, the least symbol (0) after each block
-        width = np.array([len(s[3]) for s in segs])
+        width = np.array([len(s[4]) for s in segs])
         tail = np.zeros(len(segs), np.int64)
         tail[np.cumsum([len(x) for x in part]) - 1] = 1
         first = np.cumsum(width + 1 + tail) - (width + 1 + tail)
         symbols = np.zeros(int(size.sum()), np.int64)
         symbols[first + width] = 1
-        flat = np.frombuffer(b"".join(s[3] for s in segs), np.uint8)
+        flat = np.frombuffer(b"".join(s[4] for s in segs), np.uint8)
         symbols[spread(first, width)] = flat.astype(np.int64) + 2
         suffixes = suffix_arrays(symbols, size)
-        starts = np.array([s[2] for s in segs])
+        starts = np.array([s[3] for s in segs])
         place = spread(first, starts)  # where a whole string of `length` starts
         seg = np.full(len(symbols), -1)
         seg[place] = np.repeat(np.arange(len(segs)), starts)
@@ -303,50 +309,50 @@ def repeats_in(blocks: list[list[tuple[int, int, int, bytes]]], length: int = LE
         group = np.cumsum(~same)
         s = seg[ranked]
         doc = np.array([x[0] for x in segs], np.int64)[s]
-        pos = np.array([x[1] for x in segs], np.int64)[s] + ranked - first[s]
-        by = _order(group, doc, pos)
+        copy = np.array([x[1] for x in segs], np.int64)[s]
+        pos = np.array([x[2] for x in segs], np.int64)[s] + ranked - first[s]
+        by = _order(group, doc, copy, pos)
         edge = runs(group[by])
         lead = np.repeat(by[edge[:-1]], np.diff(edge))
-        later = (doc[by] != doc[lead]) | (pos[by] != pos[lead])
-        docs.append(doc[by[later]])
-        where.append(pos[by[later]])
+        later = (doc[by] != doc[lead]) | (copy[by] != copy[lead]) | (pos[by] != pos[lead])
+        found.append((doc[by[later]], copy[by[later]], pos[by[later]]))
         a = b
-    return (np.concatenate(docs), np.concatenate(where)) if docs else (np.zeros(0, np.int64),) * 2
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def sort_segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, pos, len) of the repeats among segments: suffix arrays per key, and the
+    """(doc, copy, pos, len) of the repeats among segments: suffix arrays per key, and the
     later ones of equal split strings."""
-    rows = rows.repartition("key").sortWithinPartitions("key", "same", "doc", "pos")
+    rows = rows.repartition("key").sortWithinPartitions("key", "same", "doc", "copy", "pos")
 
-    def spans(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        by = _order(doc, pos)
-        doc, pos = doc[by], pos[by]
+    def spans(doc: np.ndarray, copy: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        by = _order(doc, copy, pos)
+        doc, copy, pos = doc[by], copy[by], pos[by]
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)
+        new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (pos[1:] > pos[:-1] + 1)
         edge = np.r_[np.flatnonzero(new), len(doc)]
-        return pa.record_batch([pa.array(doc[edge[:-1]]), pa.array(pos[edge[:-1]]),
-                                pa.array((pos[edge[1:] - 1] - pos[edge[:-1]] + 1).astype(np.int32))], names=["doc", "pos", "len"])
+        return pa.record_batch([*(pa.array(x[edge[:-1]]) for x in (doc, copy, pos)),
+                                pa.array((pos[edge[1:] - 1] - pos[edge[:-1]] + 1).astype(np.int32))], names=["doc", "copy", "pos", "len"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: list[list[tuple[int, int, int, bytes]]] = []
+        blocks: list[list[tuple[int, int, int, int, bytes]]] = []
         chars, key_now, before = 0, None, None
-        first_now = np.zeros(2, np.int64)
+        first_now = np.zeros(3, np.int64)
         for batch in it:
-            key, same, doc, pos, size = _columns(batch, 5)
-            text = batch.column(5)
+            key, same, doc, copy, pos, size = _columns(batch, 6)
+            text = batch.column(6)
             single = np.asarray(text.is_null())
             if single.any():
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
                 new[0] = (key[0], same[0]) != before
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-                at = np.stack([doc, pos])
+                at = np.stack([doc, copy, pos])
                 first = np.where(lead >= 0, at[:, lead], first_now[:, None])
                 first_now = first[:, -1].copy()
                 again = single & (at != first).any(axis=0)
                 if again.any():
-                    yield spans(doc[again], pos[again])
+                    yield spans(*at[:, again])
             before = (key[-1], same[-1])
             for i in np.flatnonzero(~single).tolist():
                 if key[i] != key_now:
@@ -356,12 +362,12 @@ def sort_segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     blocks.append([])
                     key_now = key[i]
                 raw = text[i].as_py()
-                blocks[-1].append((int(doc[i]), int(pos[i]), int(size[i]), raw))
+                blocks[-1].append((int(doc[i]), int(copy[i]), int(pos[i]), int(size[i]), raw))
                 chars += len(raw)
         if blocks:
             yield spans(*repeats_in(blocks, length))
 
-    return rows.mapInArrow(task(run), "doc long, pos long, len int")
+    return rows.mapInArrow(task(run), "doc long, copy long, pos long, len int")
 
 
 def merge_spans(pos: np.ndarray, size: np.ndarray, n_bytes: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -379,14 +385,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, also: list[str] | None
     """(doc, row struct<text, ...>, spans array<struct<pos, len>>) of every row: the
     starts of its repeated strings, null if there are none.  doc is NO_ID where
     doc_id is null; the struct holds the other columns asked for."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), _copy(F.col("text").cast("string")),
                        F.struct(F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in also or [])).alias("row"))
     found = cut(settle(pieces(docs.select("doc", F.col("row.text").alias("text")), length)))
     rest = found.filter(F.col("kind") != REPEAT)
-    spans = found.filter(F.col("kind") == REPEAT).select("doc", "pos", "len").union(
+    spans = found.filter(F.col("kind") == REPEAT).select("doc", "copy", "pos", "len").union(
         sort_segments(segments(rest, docs, length), length))
-    listed = spans.groupBy("doc").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
-    return docs.join(listed, "doc", "left").select("doc", "row", "spans")
+    listed = spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
+    return docs.join(listed, ["doc", "copy"], "left").select("doc", "row", "spans")
 
 
 def _removed(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:

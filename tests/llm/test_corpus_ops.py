@@ -123,6 +123,41 @@ def test_without_repeats(spark, docs, corpus):
         assert r["text"] == "".join(whole) and r["n_chars"] == len(r["text"]) and r["doc"] == "clash"
 
 
+def test_suffix_dedup_of_rows_without_an_id_of_their_own(spark):
+    """Null ids, and ids with several texts: every text is a document of its own."""
+    rng = random.Random(15)
+    shared, border = [" ".join(words(rng, n)) for n in (50, 70)]
+    rows = [(None, " ".join(words(rng, 300))), (None, shared), (None, "short"), (None, ""), (None, None), (7, shared + " ".join(words(rng, 20))), (7, shared), (7, shared),
+            (7, " ".join(words(rng, 5)) + shared), (7, None), (8, "é" + " ".join(words(rng, 30))), (8, " ".join(words(rng, 200))), (None, shared)]
+    # one text repeats what another text of the same id has at the same place
+    rows += [(i, border + " ".join(words(rng, 30))) for i in (None, None, 8, 8, 8)]
+    # a crowded key: more different pieces than are sorted as one text
+    rows += [(rng.choice([None, 9]), " ".join(words(rng, 12)) + border[:rng.randint(150, 240)] + " ".join(words(rng, 12))) for _ in range(100)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(4)
+    hashed = docs.select("n", F.xxhash64("text")).collect()
+    copy = {rows[n][1]: h for n, h in hashed}
+    seen, expected = set(), {}
+    for i, t in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0, copy[r[1]])):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p:p + 100] in seen:
+                gone[p:p + 100] = True
+            seen.add(b[p:p + 100])
+        expected[i, t] = bytes(np.frombuffer(b, np.uint8)[~gone])
+    assert sum(len(t.encode()) > len(k) for (_, t), k in expected.items()) > 100
+
+    def digests(texts):
+        return Counter((i, hashlib.sha256(k).hexdigest()) for i, k in texts)
+
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert Counter((r["doc_id"], r["kept_sha256"]) for r in got) == digests((i, expected.get((i, t), b"")) for i, t in rows)
+    for r in suffix_dedup.without_repeats(docs).collect():
+        i, t = rows[r["n"]]
+        assert (r["doc_id"], r["text"]) == (i, expected[i, t].decode() if t else t)
+
+
 def brute_groups(rows):
     sets = {}
     for d, t in rows:
