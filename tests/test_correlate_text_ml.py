@@ -181,3 +181,21 @@ def test_classification_metrics(spark):
     out = {r["cls"]: r for r in ML.classification_metrics(df).collect()}
     assert out["1"]["tp"] == 2 and out["1"]["fn"] == 1 and out["1"]["precision"] == 1.0
     assert abs(out["1"]["recall"] - 2 / 3) < 1e-12 and abs(out["accuracy"]["precision"] - 0.8) < 1e-12
+
+
+def test_ml_queries_train_the_default_models_once(spark, sf001, monkeypatch):
+    """No query trains a smaller model than the operators' defaults, and one model serves all."""
+    from unittest.mock import MagicMock
+
+    from dnsglass.plans import q_ml
+    ml = MagicMock()
+    for name in ("train_binary", "train_family"):
+        train = getattr(ml, name)
+        train.__name__, train.return_value = name, (MagicMock(), MagicMock())
+    monkeypatch.setattr(q_ml, "ML", ml)
+    monkeypatch.setattr(q_ml, "_trained", {}, raising=False)
+    for query in (q_ml.train_binary, q_ml.score_binary, q_ml.train_family, q_ml.classify_family, q_ml.score_two_stage, q_ml.cross_validate):
+        query(spark, sf001)
+    for train in (ml.train_binary, ml.train_family, ml.cross_validate):
+        assert train.call_count == 1
+        assert len(train.call_args.args) == 1 and not train.call_args.kwargs
