@@ -37,8 +37,6 @@ from .tables import texts
 
 LABELLED = 20_000
 SAMPLE = 8_000
-#: Mined stems kept at most, by support.
-STEMS = 2_000
 STEM_SIZES = (4, 5)
 BUCKETS = 1 << 18
 FEATURES = 4_096
@@ -122,7 +120,7 @@ def toxic_stems(docs: DataFrame, labels: DataFrame) -> frozenset[str]:
     base = max(total["toxic"] / total["n"], 1e-6)
     least = max(4, int(np.ceil(np.log(1e-9) / np.log(min(base, 0.9)))))
     found = (rows.filter(F.col("stem").isNotNull() & (F.col("toxic") >= least) & (F.col("toxic") >= 0.97 * F.col("n")))
-             .orderBy(F.desc("toxic"), "stem").limit(STEMS).collect())
+             .select("stem").collect())
     return frozenset(r["stem"] for r in found)
 
 

@@ -328,6 +328,18 @@ def test_quality_cases(spark, docs):
     assert quality.keep_good(docs, odd).schema == docs.schema
 
 
+def test_toxic_stems_are_all_kept(spark):
+    """More stems that pass the tests than any fixed number of the best supported ones."""
+    bad = [f"{a}{b}{c}{d}" for a in "bdfgklmn" for b in "aeiou" for c in "prstvwxz" for d in "hjqwyzuo"]  # four letters, a stem each
+    rare = ["zyxw", "zyxv"]
+    rows = [(i, " ".join(bad + rare * (i < 30))) for i in range(60)] + [(i, "clean words of some text") for i in range(60, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = quality.toxic_stems(docs, labels)
+    expected = set().union(*(quality.stems_of({w}) for w in bad + rare))
+    assert len(expected) > 2000 and got >= expected
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(1)
     bad = rng.random(20000) < 0.2
