@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, minhash, quality, spotsigs, suffix_dedup, token_counts, url_filter
+from . import bpe, decontaminate, html_text, langid, minhash, quality, queries_words, spotsigs, suffix_dedup, token_counts, url_filter
 from .tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,6 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(parquet(spark, sf_dir, "pages"))
+
+
+QUERIES |= queries_words.QUERIES
