@@ -11,7 +11,8 @@ judged on the input.
     anchors together; an anchor is a few numbers, no text.  In an Arrow batch only the
     first document with an anchor goes to the anchor's partition; the others already
     have a document before them, their lead, and are routed at random, so that a
-    passage held by a third of all documents sends one row of a batch to its key.
+    passage held by a third of all documents sends one row of a batch to its key; an
+    anchor that a document repeats is one row with a list of places.
 2.  Leads.  Every anchor that a smaller document holds too gets one such place as its
     lead.  An anchor of the smallest document is told that others share it.
 3.  Extension along the diagonal.  Anchors of a document with the same lead document
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import U64, ByteHash, batches, chunks, mix, runs, spread, string_bytes, table_of, task
+from .arrow import U64, ByteHash, batches, chunks, mix, runs, string_bytes, table_of, task
 from .tables import cut
 from .words import SequenceHash, word_bounds
 
@@ -56,22 +57,41 @@ NO_ID = -(1 << 63)
 #: lead_pos of an anchor: without a lead, or the first one and known to be shared.
 ALONE, SHARED = -1, -2
 _FIRST, _SECOND = table_of(41), table_of(43)
-ANCHORS = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64()), ("lead_pos", pa.int32())])
-LED = pa.schema([("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64()), ("lead_pos", pa.int32())])
+ANCHORS = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.list_(pa.int32())), ("lead", pa.int64()), ("lead_pos", pa.int32())])
+LED = pa.schema([("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.list_(pa.int32())), ("lead", pa.int64()), ("lead_pos", pa.int32())])
 #: `len` starts of repeated windows from pos on, or (0) a window still to be compared.
-WINDOWS = pa.schema([("route", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())])
+WINDOWS = pa.schema([("route", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("pos", pa.list_(pa.int32())), ("len", pa.int32())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int'}" for f in schema)
+    names = {pa.int64(): "long", pa.int32(): "int", pa.list_(pa.int32()): "array<int>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return [np.asarray(batch.column(i)) for i in range(n)]
 
 
-def _table(schema: pa.Schema, *columns: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(c.view(np.int64) if c.dtype == U64 else c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+def _table(schema: pa.Schema, *columns: np.ndarray | pa.Array) -> pa.Table:
+    cols = (c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns)
+    return pa.table([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def _places(first: np.ndarray, pos: np.ndarray) -> pa.Array:
+    """Lists of the places from first[i] up to first[i + 1]."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[first, len(pos)], pa.int32()), pa.array(pos, pa.int32()))
+
+
+def _scattered(doc: np.ndarray, copy: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A route for rows that need not meet others."""
+    return mix(mix(doc.view(U64) + copy.view(U64)) + pos.astype(U64))
+
+
+def _starts(*by: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours start."""
+    new = np.ones(len(by[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in by])
+    return np.flatnonzero(new)
 
 
 def is_cover(cover: Sequence[int], period: int) -> bool:
@@ -106,8 +126,11 @@ def anchors(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover:
             if not parts:
                 continue
             key, doc, copy, pos = (np.concatenate(x) for x in zip(*parts))
-            by = np.lexsort((pos, doc, key))
+            by = np.lexsort((pos, copy, doc, key))
             key, doc, copy, pos = key[by], doc[by], copy[by], pos[by]
+            first = _starts(key, doc, copy)  # an anchor that a document repeats is one row with all its places
+            places = _places(first, pos)
+            key, doc, copy, pos = key[first], doc[first], copy[first], pos[first]
             edge = runs(key)
             first = np.repeat(edge[:-1], np.diff(edge))
             led = doc != doc[first]
@@ -115,7 +138,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover:
             told[first[led]] = True
             route = np.where(led, mix(key + np.arange(len(key), dtype=U64)), key)
             lead_pos = np.where(led, pos[first], np.where(told, SHARED, ALONE))
-            yield from batches(_table(ANCHORS, route, key, doc, copy, pos, np.where(led, doc[first], 0), lead_pos), ANCHORS)
+            yield from batches(_table(ANCHORS, route, key, doc, copy, places, np.where(led, doc[first], 0), lead_pos), ANCHORS)
 
     return docs.mapInArrow(task(run), _ddl(ANCHORS))
 
@@ -123,49 +146,54 @@ def anchors(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover:
 def led_anchors(found: DataFrame) -> DataFrame:
     """The anchors that several documents hold, each with a lead; lead_pos is ALONE for
     those of the smallest document."""
-    rows = found.repartition("route").sortWithinPartitions("key", "doc", "pos")
+    rows = found.repartition("route").sortWithinPartitions("key", "doc")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_now, lead, shared = None, (0, 0), False
-        held: list[list[np.ndarray]] = []  # anchors of the smallest document at hand, not yet known to be shared
+        held: list[pa.RecordBatch] = []  # anchors of the smallest document at hand, not yet known to be shared
 
-        def alone(parts: list[list[np.ndarray]]) -> pa.Table:
-            doc, copy, pos = (np.concatenate(x) for x in zip(*parts))
-            return _table(LED, doc, copy, pos, np.zeros(len(doc), np.int64), np.full(len(doc), ALONE))
+        def led(part: pa.RecordBatch, lead: np.ndarray | None = None, at: np.ndarray | None = None) -> pa.Table:
+            n = len(part)
+            return _table(LED, *(part.column(i) for i in (2, 3, 4)), np.zeros(n, np.int64) if lead is None else lead, np.full(n, ALONE) if at is None else at)
 
         for batch in it:
-            _, key, doc, copy, pos, to, at = _columns(batch, 7)
-            known = at >= 0
-            if known.any():
-                yield from batches(_table(LED, *(x[known] for x in (doc, copy, pos, to, at))), LED)
-                key, doc, copy, pos, at = (x[~known] for x in (key, doc, copy, pos, at))
-            if not len(key):
+            at = np.asarray(batch.column(6))
+            known = np.flatnonzero(at >= 0)
+            if len(known):
+                part = batch.take(pa.array(known))
+                yield from batches(led(part, np.asarray(part.column(5)), at[known]), LED)
+                batch = batch.take(pa.array(np.flatnonzero(at < 0)))
+            if not len(batch):
                 continue
+            _, key, doc = _columns(batch, 3)
+            told = np.asarray(batch.column(6)) == SHARED
             edge = runs(key)
             size = np.diff(edge)
-            lead_doc, lead_at = doc[edge[:-1]].copy(), pos[edge[:-1]].copy()
+            lists = batch.column(4)
+            lead_doc, lead_at = doc[edge[:-1]].copy(), np.asarray(lists.flatten())[(np.asarray(lists.offsets) - np.asarray(lists.offsets)[0])[edge[:-1]]].copy()
             goes_on = key[0] == key_now
             if goes_on:
                 lead_doc[0], lead_at[0] = lead
             first = doc == np.repeat(lead_doc, size)
-            several = np.logical_or.reduceat(~first | (at == SHARED), edge[:-1])
+            several = np.logical_or.reduceat(~first | told, edge[:-1])
             if goes_on:
                 several[0] |= shared
             if held:
                 if goes_on and several[0]:
-                    yield from batches(alone(held), LED)
+                    for part in held:
+                        yield from batches(led(part), LED)
                 if not goes_on or several[0]:
                     held = []
             later = np.flatnonzero(~first)
             if len(later):
                 group = np.searchsorted(edge, later, "right") - 1
-                yield from batches(_table(LED, doc[later], copy[later], pos[later], lead_doc[group], lead_at[group]), LED)
-            own = first & np.repeat(several, size)
-            if own.any():
-                yield from batches(alone([[doc[own], copy[own], pos[own]]]), LED)
+                yield from batches(led(batch.take(pa.array(later)), lead_doc[group], lead_at[group]), LED)
+            own = np.flatnonzero(first & np.repeat(several, size))
+            if len(own):
+                yield from batches(led(batch.take(pa.array(own))), LED)
             key_now, lead, shared = key[-1], (lead_doc[-1], lead_at[-1]), bool(several[-1])
             if not shared:
-                held.append([x[edge[-2]:] for x in (doc, copy, pos)])
+                held.append(batch.slice(edge[-2]))
 
     return rows.mapInArrow(task(run), _ddl(LED))
 
@@ -190,10 +218,13 @@ def _marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(first entry, number of entries) of each list of structs, and the fields' entries."""
-    at = np.asarray(col.offsets).astype(np.int64)
-    size = np.where(np.asarray(col.is_valid()), np.diff(at), 0)
-    return at[:-1], size, [np.asarray(x).astype(np.int64) for x in col.values.flatten()]
+    """Of a column of lists of structs (places, ...): the first place and the number of
+    places of each row, all places, and the other fields at each place."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(col), 0))
+    places, *others = col.flatten().flatten()
+    count = np.asarray(pc.list_value_length(places))
+    edge = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(size)]]
+    return edge[:-1], np.diff(edge), [np.asarray(places.flatten()).astype(np.int64)] + [np.repeat(np.asarray(x).astype(np.int64), count) for x in others]
 
 
 def windows(led: DataFrame, docs: DataFrame, length: int = LENGTH, period: int = PERIOD) -> DataFrame:
@@ -237,19 +268,20 @@ def windows(led: DataFrame, docs: DataFrame, length: int = LENGTH, period: int =
                     asked.append((one, two, a + row[take], take - base[row[take]]))
             if spans:
                 i, p, n = (np.concatenate(x) for x in zip(*spans))
-                r = mix(np.arange(len(i), dtype=U64) + U64(len(batch)) * U64(0x9E3779B97F4A7C15))
-                yield from batches(_table(WINDOWS, r, r, r, ids[i], copies[i], p, n), WINDOWS)
+                r = _scattered(ids[i], copies[i], p)
+                yield from batches(_table(WINDOWS, r, r, r, ids[i], copies[i], _places(np.arange(len(p)), p), n), WINDOWS)
             if asked:
                 one, two, i, p = (np.concatenate(x) for x in zip(*asked))
-                doc = ids[i]
-                by = np.lexsort((doc, two, one))
-                one, two, i, p, doc = one[by], two[by], i[by], p[by], doc[by]
-                new = np.ones(len(one), bool)
-                new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-                edge = np.r_[np.flatnonzero(new), len(one)]
+                doc, copy = ids[i], copies[i]
+                by = np.lexsort((p, copy, doc, two, one))
+                one, two, p, doc, copy = one[by], two[by], p[by], doc[by], copy[by]
+                first = _starts(one, two, doc, copy)  # a window that a document repeats is one row
+                places = _places(first, p)
+                one, two, p, doc, copy = one[first], two[first], p[first], doc[first], copy[first]
+                edge = np.r_[_starts(one, two), len(one)]
                 again = doc != np.repeat(doc[edge[:-1]], np.diff(edge))  # the batch has it in a smaller document
-                route = np.where(again, mix(one + np.arange(len(one), dtype=U64)), one)
-                yield from batches(_table(WINDOWS, route, one, two, doc, copies[i], p, again.astype(np.int64)), WINDOWS)
+                route = np.where(again, _scattered(doc, copy, p), one)
+                yield from batches(_table(WINDOWS, route, one, two, doc, copy, places, again.astype(np.int64)), WINDOWS)
 
     return rows.mapInArrow(task(run), _ddl(WINDOWS))
 
@@ -261,7 +293,8 @@ def repeated_starts(found: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first_now = None, 0
         for batch in it:
-            _, one, two, doc, copy, pos, size = _columns(batch, 7)
+            _, one, two, doc = _columns(batch, 4)
+            size = np.asarray(batch.column(6))
             out = size > 0
             open_ = np.flatnonzero(~out)
             if len(open_):
@@ -274,9 +307,10 @@ def repeated_starts(found: DataFrame) -> DataFrame:
                 out[open_[d != first]] = True
                 now, first_now = (o[-1], t[-1]), first[-1]
             if out.any():
-                yield pa.record_batch([pa.array(doc[out]), pa.array(copy[out]), pa.array(pos[out]), pa.array(np.maximum(size[out], 1))], names=["doc", "copy", "pos", "len"])
+                part = batch.filter(pa.array(out))
+                yield pa.record_batch([*(part.column(i) for i in (3, 4, 5)), pa.array(np.maximum(size[out], 1))], names=["doc", "copy", "pos", "len"])
 
-    return rows.mapInArrow(task(run), "doc long, copy long, pos int, len int")
+    return rows.mapInArrow(task(run), "doc long, copy long, pos array<int>, len int")
 
 
 def without_passages(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: Sequence[int] = COVER) -> DataFrame:
