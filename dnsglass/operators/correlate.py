@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domain import shannon_entropy
-from ..schema import severity_scale
+from .chain import with_severity
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 DEFAULT_CHUNK_SEC = 3600   # neighbour lists
@@ -140,10 +140,7 @@ def correlated_events(df: DataFrame, anchors: DataFrame, window_sec: int = 300,
 
 def triage(df: DataFrame, window_sec: int = 300) -> DataFrame:
     """Severity scale C from score or correlated count; confidence .95/.85/.7/.5."""
-    c = correlate(df, window_sec)
-    sev = severity_scale("C", F.coalesce(F.col("score"), F.lit(0.0)), correlated=F.col("correlated_count"))
-    conf = (F.when(sev == "CRITICAL", 0.95).when(sev == "HIGH", 0.85).when(sev == "MEDIUM", 0.7).otherwise(0.5))
-    return c.withColumn("triage_severity", sev).withColumn("triage_confidence", conf)
+    return with_severity(correlate(df, window_sec))
 
 
 # --- WIN-3 / WIN-4 --------------------------------------------------------------------------

@@ -123,39 +123,118 @@ def test_triage_stream_interval_join(spark, tmpdir_path):
     assert a1 and a1[0]["correlated_count"] == 6 and a1[0]["triage_severity"] == "CRITICAL"
 
 
-@pytest.mark.skip(reason="open: applyInPandasWithState with a processing-time timeout does not finish under "
-                         "trigger(availableNow) in local mode; the operator is not verified yet")
+def _run(df, sink, checkpoint):
+    q = df.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def test_score_cache_stream_ttl(spark, tmpdir_path):
-    schema = "domain string, ts timestamp"
+    """Scored once, kept over a restart, scored anew when the time to live is over."""
+    import time
+    schema = "domain string, ts timestamp, n int"
     t = dt.datetime(2024, 1, 1)
-    _stream_dir(spark, f"{tmpdir_path}/sc", [("a.com", t), ("a.com", t), ("b.com", t)], schema)
     calls = spark.sparkContext.accumulator(0)
 
     def scorer(s):
         calls.add(len(s))
         return s.str.len() / 10.0
-    src = spark.readStream.schema(schema).parquet(f"{tmpdir_path}/sc")
-    sc1, sc2 = f"{tmpdir_path}/sc_out1", f"{tmpdir_path}/sc_out2"
 
-    def sink(path):
-        return lambda b, e: b.write.mode("append").parquet(path)
-    q = (ST.score_cache_stream(src, scorer, 300).writeStream.outputMode("append").foreachBatch(sink(sc1))
-         .option("checkpointLocation", f"{tmpdir_path}/sc_ck").trigger(availableNow=True).start())
-    q.awaitTermination()
-    _stream_dir(spark, f"{tmpdir_path}/sc", [("a.com", t)], schema)
-    q = (ST.score_cache_stream(spark.readStream.schema(schema).parquet(f"{tmpdir_path}/sc"), scorer, 300)
-         .writeStream.outputMode("append").foreachBatch(sink(sc2))
-         .option("checkpointLocation", f"{tmpdir_path}/sc_ck").trigger(availableNow=True).start())
-    q.awaitTermination()
-    first = spark.read.parquet(sc1).collect()
-    second = spark.read.parquet(sc2).collect()
-    assert len(first) == 3 and all(r["cached"] is False for r in first)
-    assert len(second) == 1 and second[0]["cached"] is True and second[0]["score"] == 0.5
+    def go(rows, ttl, name):
+        _stream_dir(spark, f"{tmpdir_path}/sc", rows, schema)
+        src = spark.readStream.schema(schema).parquet(f"{tmpdir_path}/sc")
+        with ST.stateful_settings(spark):
+            _run(ST.score_cache_stream(src, scorer, ttl), lambda b, e: b.write.mode("append").parquet(f"{tmpdir_path}/{name}"), f"{tmpdir_path}/sc_ck")
+        return sorted(tuple(r) for r in spark.read.parquet(f"{tmpdir_path}/{name}").drop("ts").collect())
+    assert go([("a.com", t, 1), ("a.com", t, 2), ("bb.com", t, 3)], 60, "o1") == [("a.com", 1, .5, False), ("a.com", 2, .5, False), ("bb.com", 3, .6, False)]
     assert calls.value == 2
+    assert go([("a.com", t, 4), ("c.com", t, 5)], 60, "o2") == [("a.com", 4, .5, True), ("c.com", 5, .5, False)]
+    assert calls.value == 3
+    assert [r[3] for r in go([("a.com", t, 6)], 60, "o3")] == [True]
+    ck = f"{tmpdir_path}/sc_ck2"
+
+    def short(rows, name):
+        _stream_dir(spark, f"{tmpdir_path}/sd", rows, schema)
+        src = spark.readStream.schema(schema).parquet(f"{tmpdir_path}/sd")
+        with ST.stateful_settings(spark):
+            _run(ST.score_cache_stream(src, scorer, 1), lambda b, e: b.write.mode("append").parquet(f"{tmpdir_path}/{name}"), ck)
+        return [r["cached"] for r in spark.read.parquet(f"{tmpdir_path}/{name}").collect()]
+    assert short([("a.com", t, 1)], "s1") == [False]
+    time.sleep(1.5)
+    assert short([("a.com", t, 2)], "s2") == [False]
+
+
+def test_late_rows_go_to_quarantine(spark, tmpdir_path):
+    """The watermark of earlier batches decides, also after a restart."""
+    schema = "event_id string, ts timestamp"
+    t = dt.datetime(2024, 1, 1, 12)
+    src, main, late, ck = (f"{tmpdir_path}/{x}" for x in ("late_in", "main", "late", "late_ck"))
+
+    def go(rows):
+        _stream_dir(spark, src, rows, schema)
+        ST.late_data_policy(spark.readStream.schema(schema).parquet(src), main, late, ck, "10 minutes").awaitTermination()
+        return [sorted(r["event_id"] for r in spark.read.schema(schema).parquet(p).collect()) for p in (main, late)]
+    assert go([("a", t), ("old", t - dt.timedelta(hours=5))]) == [["a", "old"], []]       # no watermark yet
+    assert go([("b", t + dt.timedelta(hours=1)), ("c", t - dt.timedelta(minutes=9)), ("d", t - dt.timedelta(minutes=11)), ("n", None)]) == [["a", "b", "c", "n", "old"], ["d"]]
+    assert go([("e", t + dt.timedelta(minutes=49)), ("f", t + dt.timedelta(minutes=51))]) == [["a", "b", "c", "f", "n", "old"], ["d", "e"]]
+
+
+def test_triage_chain_streams_like_the_batch(spark, tmpdir_path):
+    """All four outputs of the stream equal the batch chain on the same events."""
+    from dnsglass.operators import chain as CH
+    from dnsglass.operators import correlate as CO
+    from dnsglass.sources.versions import next_version
+    t = dt.datetime(2024, 1, 1, 12)
+    schema = "event_id string, src_ip string, ts timestamp, score double, domain string, family string"
+    ev = [(f"e{i}", f"10.0.0.{i % 3}", t + dt.timedelta(seconds=70 * i), (i % 10) / 10, f"x{i % 5}9k.com", "f" if i % 2 else None) for i in range(40)]
+    al = [e for e in ev if e[3] >= 0.4]
+    intel = spark.createDataFrame([("domain", "x09k.com", "feed1", "c2"), ("ip", "10.0.0.1", "feed2", "scan"), ("ip", "10.0.0.1", "feed3", "c2")],
+                                  "kind string, entry string, source string, tag string")
+    next_version(spark, f"{tmpdir_path}/intel", lambda old: intel.limit(0), "empty")
+    next_version(spark, f"{tmpdir_path}/intel", lambda old: intel, "feeds")
+    far = t + dt.timedelta(days=1)
+
+    def go(alerts, events):
+        _stream_dir(spark, f"{tmpdir_path}/tal", alerts, schema)
+        _stream_dir(spark, f"{tmpdir_path}/tev", events, schema)
+        a, e = (spark.readStream.schema(schema).parquet(f"{tmpdir_path}/{x}") for x in ("tal", "tev"))
+        _run(ST.triage_stream(a, e, 300, "1 minute"), ST.triage_sink(f"{tmpdir_path}/chain", f"{tmpdir_path}/intel"), f"{tmpdir_path}/chain_ck")
+    go(al, ev)
+    go([("z", "9.9.9.9", far, 0.1, "z", None)], [("z", "9.9.9.9", far, 0.1, "z", None)])   # moves the watermark
+    all_events = spark.createDataFrame(ev, schema)
+    batch = CO.triage(all_events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).filter("score >= 0.4").withColumn("ts", F.col("ts").cast("timestamp"))
+    for name, want in CH.alert_chain(batch, intel).items():
+        got = spark.read.parquet(f"{tmpdir_path}/chain/{name}").drop("epoch").select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+        assert want.count() >= len(al)
+
+
+def test_versions_grow_over_lost_checkpoints(spark, tmpdir_path):
+    """A query that starts over at epoch 0 publishes a newer version, a retried batch none."""
+    schema = "domain string, true_label string, family string, created_at timestamp_ntz"
+    fb, lists, src = (f"{tmpdir_path}/{x}" for x in ("vfb", "vlists", "vsrc"))
+
+    def feedback(domain):
+        spark.createDataFrame([(domain, "benign", "f", dt.datetime(2024, 1, 30))] * 6, schema).write.mode("append").parquet(fb)
+
+    def go(ck):
+        _stream_dir(spark, src, [("x", dt.datetime(2024, 1, 1))], "domain string, ts timestamp")
+        _run(spark.readStream.schema("domain string, ts timestamp").parquet(src), ST.feedback_refresh_batch(lists, fb, f"{tmpdir_path}/vaudit", "2024-01-31 00:00:00"), f"{tmpdir_path}/{ck}")
+        return sorted(r["entry"] for r in ST.current_lists(spark, lists).collect())
+    assert ST.current_lists(spark, lists) is None
+    feedback("one.com")
+    assert go("ck1") == ["one.com"]
+    feedback("two.com")
+    assert go("ck2") == ["one.com", "two.com"]      # epoch 0 again
+    feedback("three.com")
+    assert go("ck2") == ["one.com", "three.com", "two.com"]
+    audit = spark.read.parquet(f"{tmpdir_path}/vaudit")
+    assert sorted((r["version"], r["n"]) for r in audit.groupBy("version").agg(F.count("*").alias("n")).collect()) == [(1, 1), (2, 1), (3, 1)]
 
 
 def test_drift_and_feedback_batches(spark, tmpdir_path):
     import random
+
+    from dnsglass.sources.versions import current_version
     rnd = random.Random(2)
     base = spark.createDataFrame([(rnd.uniform(0, .3), 10.0) for _ in range(200)], "score double, domain_len double")
     batch = spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), rnd.uniform(.7, 1), 50.0, str(i))
@@ -172,7 +251,8 @@ def test_drift_and_feedback_batches(spark, tmpdir_path):
     rows = batch.orderBy("ts").collect()
     for epoch in range(5):
         body(spark.createDataFrame(rows[60 * epoch:60 * epoch + 60], batch.schema), epoch)
-        assert spark.read.parquet(f"{win}/epoch={epoch}").count() == min(250, 60 * epoch + 60)
+        body(spark.createDataFrame(rows[60 * epoch:60 * epoch + 60], batch.schema), epoch)   # retried
+        assert current_version(spark, win).count() == min(250, 60 * epoch + 60)
         assert spark.read.parquet(ops2).count() == (0 if epoch == 0 else 2)
     fb = f"{tmpdir_path}/fb"
     spark.createDataFrame([("safe.com", "benign", "f", dt.datetime(2024, 1, 30))] * 6,
