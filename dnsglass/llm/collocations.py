@@ -1,18 +1,19 @@
 """Phrase collocations by set-oriented relational mining (SETM, operator 13).
 
 Occurrence relations.  R_1 holds the words of every piece, in order of piece and
-position; R_k holds the phrases of k words that start at a position.  A relation is
-persisted as a table of blocks, one language each: a block is about `BLOCK` words of
-whole pieces, its positions run on with a gap between pieces, and it holds one number
-a position, which names one of the block's own phrases, or -1.
+position; R_k holds the frequent phrases of k words that start at a position.  A
+relation is persisted as a table of blocks, one language each: a block is about `BLOCK`
+words of whole pieces, its positions run on with a gap between pieces, and it holds one
+number a position, which names one of the block's own phrases, or -1.
 
 A level.  The extension merges R_k with itself at the adjacent position: where frequent
 phrases of k words start at a position and at the next one, a phrase of k + 1 words
 starts, named by the pair.  A block counts its pairs (the pre-aggregation); one shuffle
-of (pair, block, count) by pair adds up the blocks, a window total, and pairs of at
+of (pair, count, block) by pair adds up the blocks, a window total, and pairs of at
 least `least` occurrences get an id.  The frequent ones go back to the blocks that
-asked (the semi-join), which drop all other occurrences before the next extension.
-A phrase in every document is one row of a block, and no group is held in memory.
+hold them (the semi-join), which merge again and drop all other occurrences before the
+next extension.  A phrase in every document is one row of a block, and no group is held
+in memory.
 
 Ids are exact: a word by its spelling and language, a phrase by the ids of its first
 and last k words; nothing is decided by hashes.
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import U64, ByteHash, chunks, string_bytes, table_of, task
+from .arrow import ByteHash, batches, chunks, string_bytes, table_of, task
 from .tables import cut
 from .words import word_bounds
 
@@ -46,7 +47,7 @@ SCALE = 2_000_000
 #: Hundredths of a phrase's occurrences that lie in a longer one from which on it is dropped.
 PART = 80
 #: Words of a block, give or take one text.
-BLOCK = 1 << 20
+BLOCK = 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -55,9 +56,20 @@ _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _BLANK = _BREAK.copy()
 _BLANK[[32, 9]] = True
 _SECOND = table_of(61)
-#: A block's number is the task's, then its place in the task; with the place of an
-#: entry in the block it names the entry in one long.
-_TASKS, _PLACES = 1 << 20, 1 << 11
+#: A block's number is the task's, then its place in the task.
+_PLACES = 1 << 20
+
+
+def _packed(items: np.ndarray) -> bytes:
+    """int32 numbers, -1 and up, compressed by planes of their bytes."""
+    planes = np.ascontiguousarray((items + np.int32(1)).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(items).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32) - np.int32(1)
 
 
 class _Block:
@@ -77,7 +89,11 @@ class _Block:
     def row(self) -> tuple[bytes, list[str], list[int]]:
         items = np.concatenate(self.items)
         count = np.bincount(items[items >= 0], minlength=len(self.names))
-        return items.tobytes(), [w.decode() for w in self.names], count.tolist()
+        by = np.argsort(-count, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(by) + 1, np.int32)
+        rank[by], rank[-1] = np.arange(len(by)), -1
+        names = list(self.names)
+        return _packed(rank[items]), [names[i].decode() for i in by.tolist()], count[by].tolist()
 
 
 def _distinct_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -94,14 +110,12 @@ def _distinct_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
 
 
 def word_relation(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """R_1: (block, lang, items, words, counts), items being the int32 numbers of the words
-    in order, -1 between pieces."""
+    """R_1 with all words: (block, lang, items, words, counts), items being the packed
+    numbers of the words in order, -1 between pieces."""
     schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("items", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = TaskContext.get().partitionId(), 0
-        if number >= _TASKS:
-            raise ValueError(f"more than {_TASKS} tasks read the documents; use larger partitions")
         at_hand: dict[str, _Block] = {}
 
         def closed(lang: str) -> pa.RecordBatch:
@@ -143,47 +157,87 @@ def word_relation(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def frequent(asked: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The rows (block, place, n and `by`) of the groups with at least `least` occurrences,
-    with the group's total f and id; id is the entry of one of its rows."""
-    entry = F.shiftleft("block", 32) + F.col("place")
+    """The rows of the groups with at least `least` occurrences (the sum of n), with the
+    group's total f and an id that no other group has; `leads` is true in one row of each."""
+    rows = asked.repartition(*by).withColumn("row", F.monotonically_increasing_id())
     group = Window.partitionBy(*by)
-    return asked.select(*by, "n", entry.alias("entry")).select(
-        *by, "entry", F.sum("n").over(group).alias("f"), F.min("entry").over(group).alias("id")).filter(F.col("f") >= least)
+    return (rows.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("row").over(group))
+            .filter(F.col("f") >= least).withColumn("leads", F.col("id") == F.col("row")).drop("row", "n"))
 
 
-def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
-    """R_(k+1) from R_k (block, lang, items) and the frequent entries of its blocks:
-    (block, lang, items, heads, tails, counts), a pair of ids and a count for each of the
-    block's phrases of k + 1 words."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("items", pa.binary())] + [(c, pa.list_(pa.int64())) for c in ("heads", "tails", "counts")])
-    answers = kept.select(F.shiftright("entry", 32).alias("block"), F.col("entry").bitwiseAND((1 << 32) - 1).alias("place"), "id")
-    listed = answers.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+def _pairs(items: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The merge of a block with itself at the adjacent position: (positions, which pair each
+    is, the pairs as head * len(ids) + tail, their counts)."""
+    at = np.flatnonzero((items[:-1] >= 0) & (items[1:] >= 0))
+    pair, which, count = np.unique(items[at] * np.int64(len(ids)) + items[at + 1], return_inverse=True, return_counts=True)
+    return at, which, pair, count
+
+
+def frequent_words(relation: DataFrame, kept: DataFrame) -> DataFrame:
+    """R_1 (block, lang, items, ids) of the frequent words: ids holds the int64 ids that the
+    items name."""
+    listed = kept.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i in range(len(batch)):
-                items = np.frombuffer(batch.column(2)[i].as_py(), np.int32)
+                items = _unpacked(batch.column(2)[i].as_py())
                 place, ids = (np.asarray(x) for x in batch.column(3)[i].values.flatten())
-                rank = np.full(max(int(items.max(initial=-1)), int(place.max())) + 2, -1, np.int64)  # the last one is for -1
-                rank[place] = np.arange(len(place))
-                now = rank[items]
-                at = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
-                pair, which, count = np.unique(now[at] * len(ids) + now[at + 1], return_inverse=True, return_counts=True)
-                out = np.full(len(items), -1, np.int32)
-                out[at] = which
-                lists = [ids[pair // len(ids)], ids[pair % len(ids)], count]
-                yield pa.record_batch([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([out.tobytes()], pa.binary()),
-                                       *(pa.ListArray.from_arrays(pa.array([0, len(pair)], pa.int32()), pa.array(x, pa.int64())) for x in lists)], schema=schema)
+                by = np.argsort(place)
+                rank = np.full(max(int(items.max(initial=-1)), int(place.max())) + 2, -1, np.int32)  # the last one is for -1
+                rank[place[by]] = np.arange(len(by))
+                yield _row(batch, i, rank[items], ids[by])
 
     rows = relation.select("block", "lang", "items").join(listed, "block").select("block", "lang", "items", "known")
-    return rows.mapInArrow(task(run), "block long, lang string, items binary, heads array<long>, tails array<long>, counts array<long>")
+    return rows.mapInArrow(task(run), RELATION)
+
+
+RELATION = "block long, lang string, items binary, ids binary"
+
 
+def _row(batch: pa.RecordBatch, i: int, items: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([_packed(items)], pa.binary()), pa.array([ids.tobytes()], pa.binary())],
+                           names=["block", "lang", "items", "ids"])
+
+
+def phrase_counts(relation: DataFrame) -> DataFrame:
+    """(head, tail, n, block): the phrases of k + 1 words in each block of R_k, as pairs of
+    ids, with their counts."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(len(batch)):
+                ids = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+                _, _, pair, count = _pairs(_unpacked(batch.column(1)[i].as_py()), ids)
+                head, tail = ids[pair // len(ids)], ids[pair % len(ids)]
+                by = np.lexsort((tail, head))
+                yield from batches(pa.table([pa.array(head[by]), pa.array(tail[by]), pa.array(count[by].astype(np.int64)), pa.array(np.full(len(by), batch.column(0)[i].as_py()))], schema=COUNTS), COUNTS)
+
+    return relation.select("block", "items", "ids").mapInArrow(task(run), "head long, tail long, n long, block long")
+
+
+COUNTS = pa.schema([(c, pa.int64()) for c in ("head", "tail", "n", "block")])
+
+
+def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
+    """R_(k+1) from R_k and the frequent phrases (block, head, tail, id) of its blocks."""
+    listed = kept.groupBy("block").agg(F.collect_list(F.struct("head", "tail", "id")).alias("known"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(len(batch)):
+                items, own = _unpacked(batch.column(2)[i].as_py()), np.frombuffer(batch.column(3)[i].as_py(), np.int64)
+                head, tail, ids = (np.asarray(x) for x in batch.column(4)[i].values.flatten())
+                place = np.argsort(own)  # own[place] ascends
+                known = place[np.searchsorted(own, head, sorter=place)] * np.int64(len(own)) + place[np.searchsorted(own, tail, sorter=place)]
+                at, which, pair, _ = _pairs(items, own)
+                rank = np.full(len(pair), -1, np.int32)
+                rank[np.searchsorted(pair, known)] = np.arange(len(known))
+                out = np.full(len(items), -1, np.int32)
+                out[at] = rank[which]
+                yield _row(batch, i, out, ids)
 
-def _asked(relation: DataFrame, names: list[str], of: list[str]) -> DataFrame:
-    """The entries of the blocks: block, lang, place, n and the columns `of` by `names`."""
-    zipped = F.arrays_zip(*(F.col(c).alias(n) for c, n in zip(of + ["counts"], names + ["n"])))
-    return relation.select("block", "lang", F.posexplode(zipped).alias("place", "e")).select(
-        "block", "lang", "place", *(F.col(f"e.{n}").alias(n) for n in names + ["n"]))
+    rows = relation.join(listed, "block").select("block", "lang", "items", "ids", "known")
+    return rows.mapInArrow(task(run), RELATION)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK) -> tuple[list[DataFrame], DataFrame]:
@@ -192,19 +246,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     inner: ids of its phrases of 2 .. k - 1 words as struct<k, id>), and (lang, n), the
     number of all words."""
     relation = cut(word_relation(docs, block))
-    words = _asked(relation, ["word"], ["words"])
+    zipped = F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))
+    words = relation.select("block", "lang", F.posexplode(zipped).alias("place", "e")).select("lang", "e.word", "e.n", "block", "place")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     kept = cut(frequent(words, ["lang", "word"], least))
     inner = "array<struct<k: int, id: bigint>>"
-    level = kept.filter("entry = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("final"), "f",
-                                             F.array("f").alias("heads"), F.array("f").alias("tails"), F.expr(f"cast(array() as {inner})").alias("inner"))
+    level = kept.filter("leads").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("final"), "f",
+                                        F.array("f").alias("heads"), F.array("f").alias("tails"), F.expr(f"cast(array() as {inner})").alias("inner"))
     levels = [level]
     for k in range(2, longest + 1):
-        relation = cut(extended(relation, kept))
-        kept = cut(frequent(_asked(relation, ["head", "tail"], ["heads", "tails"]), ["head", "tail"], least))
+        relation = cut(frequent_words(relation, kept) if k == 2 else extended(relation, kept))
+        kept = cut(frequent(phrase_counts(relation), ["head", "tail"], least))
         own = F.array(*(F.struct(F.lit(k - 1).alias("k"), F.col(c).alias("id")) for c in ("head", "tail"))) if k > 2 else F.expr(f"cast(array() as {inner})")
         a, b = (level.select(F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("lang", "phrase", "final", "heads", "tails", "inner"))) for n in ("head", "tail"))
-        level = cut(kept.filter("entry = id").join(a, "head").join(b, "tail").select(
+        level = cut(kept.filter("leads").join(a, "head").join(b, "tail").select(
             "id", F.col("head_lang").alias("lang"), F.concat_ws(" ", "head_phrase", "tail_final").alias("phrase"), F.col("tail_final").alias("final"), "f",
             F.concat("head_heads", F.array("f")).alias("heads"), F.concat("tail_tails", F.array("f")).alias("tails"),
             F.array_distinct(F.concat(own, "head_inner", "tail_inner")).alias("inner")))
