@@ -447,3 +447,25 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in final.collect()} == {r[0] for r in out.select("doc_id").collect()}
     assert all(r["exact"] for r in final.collect())
+
+
+def test_pipeline_rows_without_ids_and_repeated_ids(spark, tmp_path):
+    """A doc_id with two texts loses only the copy; rows without doc_id are judged like others."""
+    import corpus_pipeline
+    rng = random.Random(12)
+    own = [" ".join(words(rng, 60)) for _ in range(6)]
+    item = " ".join(words(rng, 40, 5000))
+    rows = [(1, own[0]), (2, own[0]), (2, own[1]), (None, own[2]), (None, own[2] + " more"), (None, own[3]), (None, None), (None, None), (5, ""),
+            (7, own[4]), (7, own[4]), (None, own[4]), (None, item + " " + own[5]), (9, own[5] + " " + item), (9, own[5][:200])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert (1, own[0]) in kept and (2, own[0]) not in kept and (2, own[1]) in kept
+    assert sum(t is not None and t.startswith(own[2]) for _, t in kept) == 1 and (None, own[3]) in kept
+    assert kept.count((7, own[4])) == 1 and (None, own[4]) not in kept and kept.count((None, None)) == 1 and (5, "") in kept
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, clean)) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+    empty = docs.limit(0)
+    assert corpus_pipeline.near_dedup(spark, empty, "").collect() == [] == corpus_pipeline.decontaminated(spark, empty, str(tmp_path)).collect()
