@@ -15,6 +15,7 @@ by n per anchor.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,33 +157,57 @@ def rate_limit(df: DataFrame, key: str = "key", limit: int = 600, window_sec: in
 
 def rate_limit_strict(df: DataFrame, key: str = "key", limit: int = 600, window_sec: int = 60,
                       id_col: str = "request_id") -> DataFrame:
-    """In-process limiter: only accepted requests count, so each decision
-    depends on the previous ones of the same key (inherently sequential).
-
-    Rows are hash-partitioned by key and sorted by (key, ts, id) inside each
-    partition; `mapInPandas` then scans the Arrow batches in that order and
-    carries, per key, only the accepted timestamps of the last window (at most
-    `limit`).  A hot key is streamed through one task, never held whole in
-    memory.  Output (key, id, ts, allowed)."""
-    from collections import deque
-
+    """In-process limiter: only accepted requests count, so each decision depends on the
+    previous ones of the same key.  Output (key, id, ts, allowed); ties of ts go by id, a
+    null key is a key.
+
+    A key's time line is cut where the limiter's state is known.  A request whose window
+    (t - w, t] holds at most `limit` requests at all is accepted whatever was decided
+    before.  In slots of one window length, a slot with other requests depends on its own
+    requests and those of the slot before; if that one has none of them either, all of its
+    requests are accepted, and so the state is known.  So neighbouring slots with open
+    requests, with the slot before them, make an island that is solved by itself, and all
+    requests outside the islands are accepted at once.  A key with a third of all
+    requests takes as many tasks as it has islands; only a key that is over its limit
+    without a pause is one island.  An island is streamed through a task in order, with at
+    most `limit` times in memory, and rejected requests are skipped by binary search."""
     w_us = window_sec * 1_000_000
     d = df.select(key, id_col, "ts", ts_micros("ts").alias("_t"))
-    d = d.repartition(key).sortWithinPartitions(key, "_t", id_col)
+    d = range_aggregate(d, key, "_t", w_us - 1, 0, {"_n": ("count", None)}).withColumn("_slot", F.floor(F.col("_t") / w_us))
+    busy = d.where(F.col("_n") > limit).select(F.col(key).alias("_key"), F.col("_slot").alias("_at")).distinct()
+    by_time = Window.partitionBy("_key").orderBy("_at")  # a row per slot, not per request
+    first = F.coalesce(F.col("_at") - F.lag("_at").over(by_time) > 1, F.lit(True))
+    islands = busy.withColumn("_first", first).withColumn("_island", F.max(F.when(F.col("_first"), F.col("_at"))).over(by_time))
+    slots = islands.select("_key", "_island", F.explode(F.when(F.col("_first"), F.array(F.col("_at") - 1, F.col("_at"))).otherwise(F.array("_at"))).alias("_at"))
+    d = d.join(slots, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at")), "left")
+    d = d.select(key, id_col, "ts", "_t", "_island").withColumn(
+        "_route", F.when(F.col("_island").isNotNull(), F.xxhash64(key, "_island")).otherwise(F.xxhash64(key, id_col, "_t")))
+    d = d.repartition("_route").sortWithinPartitions(key, "_island", "_t", id_col)
 
     def scan(it):
-        cur_key, acc = object(), deque()
+        now, accepted = None, []  # of the island at hand: the accepted times of the last window
         for pdf in it:
-            allowed = []
-            for k, t in zip(pdf[key], pdf["_t"]):
-                if k != cur_key:
-                    cur_key, acc = k, deque()
-                while acc and acc[0] <= t - w_us:
-                    acc.popleft()
-                ok = len(acc) < limit
-                if ok:
-                    acc.append(t)
-                allowed.append(ok)
+            times, island = pdf["_t"].to_numpy(), pdf["_island"].to_numpy(dtype=float, na_value=np.nan)
+            names = pdf[key].where(pdf[key].notna(), None).tolist()
+            allowed = np.isnan(island)
+            rows = np.flatnonzero(~allowed)
+            edges = [i for i in range(len(rows)) if i == 0 or (names[rows[i]], island[rows[i]]) != (names[rows[i - 1]], island[rows[i - 1]])] + [len(rows)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                part = rows[a:b]
+                if (names[part[0]], island[part[0]]) != now:
+                    now, accepted = (names[part[0]], island[part[0]]), []
+                t, i = times[part], 0
+                while i < len(t):
+                    if len(accepted) >= limit:
+                        free = accepted[-limit] + w_us  # when the oldest that counts leaves the window
+                        if t[i] < free:
+                            i += int(np.searchsorted(t[i:], free))
+                            continue
+                    accepted.append(t[i])
+                    allowed[part[i]] = True
+                    i += 1
+                    if len(accepted) > 2 * limit + 1000:
+                        del accepted[:-limit]
             yield pdf.assign(allowed=allowed)[[key, id_col, "ts", "allowed"]]
 
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {id_col} {df.schema[id_col].dataType.simpleString()}, " \

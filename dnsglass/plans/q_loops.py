@@ -242,7 +242,13 @@ def rate_limit(spark, sf):
     return out.select("request_id", F.col("window_count").cast("long"), "allowed")
 
 
-@register("rate_limit_strict")
+@register("rate_limit_strict", """
+WITH RECURSIVE o AS (SELECT key, request_id, ts, row_number() OVER (PARTITION BY key ORDER BY ts, request_id) AS n FROM requests_v),
+r AS (SELECT key, request_id, ts, n, true AS allowed, [ts] AS acc FROM o WHERE n = 1
+  UNION ALL
+  SELECT key, request_id, ts, n, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END
+  FROM (SELECT o.*, list_filter(r.acc, lambda x: x > o.ts - INTERVAL 6 HOUR) AS live FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1) s)
+SELECT key, request_id, ts, allowed FROM r""")
 def rate_limit_strict(spark, sf):
     return C.rate_limit_strict(fx.requests_v(spark, sf), "key", limit=2, window_sec=6 * 3600)
 

@@ -128,6 +128,92 @@ def test_hash_embed_literal_and_properties(spark):
     assert np.array_equal(emb[4], emb[5])                       # empty like missing
 
 
+def _strict(rows, limit, w):
+    """The limiter, one request after the other."""
+    from collections import defaultdict
+    acc, out = defaultdict(list), {}
+    for k, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        live = [x for x in acc[k] if x > t - dt.timedelta(seconds=w)]
+        out[i] = len(live) < limit
+        acc[k] = live + [t] if out[i] else live
+    return out
+
+
+def test_strict_limiter_equals_the_sequential_one(spark):
+    rnd = random.Random(17)
+    t0, rows = dt.datetime(2024, 1, 1), []
+    for k in ("hot", "calm", None, "burst"):
+        t = 0.0
+        for _ in range(700):
+            t += rnd.choice([0, 0.5, 3, 20]) if k != "calm" else 40
+            if k == "burst" and rnd.random() < 0.02:
+                t += 300
+            rows.append((k, len(rows), t0 + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "key string, request_id int, ts timestamp_ntz").repartition(5)
+    for limit, w in ((1, 30), (3, 60), (12, 60), (700, 60)):
+        got = {r["request_id"]: r["allowed"] for r in C.rate_limit_strict(df, "key", limit, w).collect()}
+        assert got == _strict(rows, limit, w), (limit, w)
+
+
+def test_strict_limiter_spreads_a_hot_key(spark):
+    """One key, over its limit at times: its requests are decided in many partitions."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("k", i, t0 + dt.timedelta(seconds=(i // 20) * 100 + i % 20)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key string, request_id int, ts timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = C.rate_limit_strict(df, "key", 10, 30).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("allowed").cast("int")).alias("a")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(out) >= 6 and max(r["n"] for r in out) < 1500 and sum(r["a"] for r in out) == 2000
+
+
+def test_text_and_vector_search_at_many_queries(spark):
+    """Stored indexes against brute force: ties, repeated rows, zero vectors, many queries, pruned shards."""
+    from dnsglass.operators import textindex as TI
+    from dnsglass.operators import vecindex as VI
+    rnd = np.random.default_rng(8)
+    vecs = np.vstack([rnd.normal(size=(300, 8)) + 6 * rnd.normal(size=(1, 8)) for _ in range(5)] + [np.zeros((3, 8))])
+    vecs[10] = vecs[11]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "doc_id int, embedding array<double>").repartition(6)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs) if i % 3 == 0 or i > 1498], "query_id int, embedding array<double>")
+    unit = np.divide(vecs, np.linalg.norm(vecs, axis=1, keepdims=True), out=np.zeros_like(vecs), where=vecs.any(axis=1, keepdims=True))
+    got = {}
+    for r in SE.knn_cosine(queries, corpus, 4).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["doc_id"]
+    for q in {r["query_id"] for r in queries.collect()}:
+        s = np.round((1 + unit @ unit[q]) / 2, 9)
+        assert [got[q][i] for i in range(1, 5)] == sorted(range(len(vecs)), key=lambda i: (-s[i], i))[:4], q
+    words = [f"w{i}" for i in range(60)]
+    p = random.Random(4)
+    texts = [" ".join(p.choices(words, weights=[1 / (1 + i) for i in range(60)], k=p.randint(0, 40))) for _ in range(500)] + ["w59 w58 w57"] * 3 + [None]
+    index_path = SE._scratch(corpus, "test")
+    old = TI.SHARD_ROWS
+    TI.SHARD_ROWS = 64
+    try:
+        index = TI.write_text_index(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, content string").repartition(3), index_path, "doc_id", buckets=3)
+    finally:
+        TI.SHARD_ROWS = old
+    qs = [(i, " ".join(p.choices(words, k=p.randint(1, 5)))) for i in range(60)] + [(100, "w59 w58 w57"), (101, "nothing known")]
+    hits = {}
+    for r in TI.bm25_search(spark.createDataFrame(qs, "query_id int, text string"), index, 5, id_col="doc_id", query_block=7).collect():
+        hits.setdefault(r["query_id"], {})[r["rank"]] = (r["doc_id"], round(r["score"], 6))
+    toks = [(t or "").split() for t in texts]
+    avg = sum(map(len, toks)) / len(toks)
+    df_of = {w: sum(w in t for t in toks) for w in words}
+    for q, text in qs:
+        scores = []
+        for i, t in enumerate(toks):
+            s = 0.0
+            for w in text.split():
+                tf = t.count(w)
+                if tf:
+                    s += math.log(1 + (len(toks) - df_of[w] + .5) / (df_of[w] + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len(t) / avg))
+            if s > 0:
+                scores.append((-round(s, 9), i))
+        assert [(i, round(-s, 6)) for s, i in sorted(scores)[:5]] == [hits[q][k] for k in sorted(hits.get(q, {}))], q
+
+
 def test_knn_matches_exact_cosines(spark):
     rnd = np.random.default_rng(3)
     vecs, qs = rnd.normal(size=(40, 768)), rnd.normal(size=(3, 768))
