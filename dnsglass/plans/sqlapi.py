@@ -1,9 +1,11 @@
 """Read-only ad-hoc SQL over registered views (SQL-1).
 
-Spark's own parser judges a statement: it must be one statement, a query, and each
-relation that it names must be an allowed view or one of its own WITH names, so a path
-(parquet.`/...`) or another table is refused wherever it stands.  Spark SQL then runs
-it, so predicates and projections reach the Parquet scans like any DataFrame query.
+Spark's own parser judges a statement: it must be one statement and a query.  Its plan is
+walked node by node: each relation must be an allowed view, or a WITH name in whose scope
+it stands, so a path (parquet.`/...`) or another table is refused wherever it is.
+Functions that call the JVM, scripts, other table functions and names made up at run time
+are refused too.  Spark SQL then runs the statement, so predicates and projections reach
+the Parquet scans like any DataFrame query.
 """
 
 from __future__ import annotations
@@ -27,15 +29,60 @@ class SQLRejected(ValueError):
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 _WORD = re.compile(r"/\*.*?\*/|--[^\n]*|(\w+)", re.S)
-
-
-def relations(plan) -> set[str]:
-    """Names of all relations in a parsed plan, those of subqueries and WITH included."""
-    return set(re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan.toString()))
-
-
-def with_names(plan) -> set[str]:
-    return {n.strip() for names in re.findall(r"CTE \[([^\]]*)\]", plan.toString()) for n in names.split(",")}
+#: Functions that reach the JVM or files beside the tables.
+UNSAFE_FUNCTIONS = {"java_method", "reflect", "try_reflect"}
+#: Table functions that make rows from their arguments alone.
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
+
+
+class _Reader:
+    """What a parsed plan names: `tables` outside of its WITH scopes, and `refused`."""
+
+    def __init__(self, spark: SparkSession):
+        self.gateway = spark.sparkContext._gateway
+        self.tables: set[str] = set()
+        self.refused: set[str] = set()
+
+    def _is(self, x, name: str) -> bool:
+        return is_instance_of(self.gateway, x, name)
+
+    def _items(self, x) -> list:
+        """The members of a Scala collection, option or product."""
+        if self._is(x, "scala.Option"):
+            return [x.get()] if x.isDefined() else []
+        it = x.iterator() if self._is(x, "scala.collection.Iterable") else x.productIterator()
+        out = []
+        while it.hasNext():
+            out.append(it.next())
+        return out
+
+    def walk(self, x, scope: frozenset[str] = frozenset()) -> None:
+        if not hasattr(x, "getClass"):
+            return  # a plain value
+        if self._is(x, _LOGICAL + "UnresolvedWith"):
+            for entry in self._items(x.cteRelations()):
+                name, query, *_ = self._items(entry)
+                self.walk(query, scope | {name.lower()} if x.allowRecursion() else scope)
+                scope = scope | {name.lower()}
+            self.walk(x.child(), scope)
+            return
+        kind = x.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            parts = self._items(x.multipartIdentifier())
+            if len(parts) > 1 or parts[0].lower() not in scope:
+                self.tables.add(".".join(parts))
+            return
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator", "UnresolvedTableValuedFunction"):
+            parts = self._items(x.name()) if kind == "UnresolvedTableValuedFunction" else \
+                [x.name().funcName()] if kind == "UnresolvedGenerator" else self._items(x.nameParts())
+            if len(parts) > 1 or parts[0].lower() in UNSAFE_FUNCTIONS or (
+                    kind == "UnresolvedTableValuedFunction" and parts[0].lower() not in TABLE_FUNCTIONS):
+                self.refused.add(".".join(parts))
+        elif "ScriptTransformation" in kind or kind.endswith("UnresolvedIdentifier"):
+            self.refused.add("TRANSFORM" if "Script" in kind else "IDENTIFIER")
+        if any(self._is(x, t) for t in ("scala.collection.Iterable", "scala.Option", "scala.Product")):
+            for y in self._items(x):
+                self.walk(y, scope)
 
 
 def validate_sql(sql: str, allowed=DEFAULT_ALLOWED, spark: SparkSession | None = None) -> str | None:
@@ -52,10 +99,13 @@ def validate_sql(sql: str, allowed=DEFAULT_ALLOWED, spark: SparkSession | None =
     gateway = spark.sparkContext._gateway
     if any(is_instance_of(gateway, plan, _LOGICAL + kind) for kind in ("Command", "ParsedStatement")) or not words.startswith(("SELECT", "WITH")):
         return "not a query"
-    named = relations(plan) - with_names(plan)
-    if not named:
+    reader = _Reader(spark)
+    reader.walk(plan)
+    if reader.refused:
+        return "may not be used: " + ", ".join(sorted(reader.refused))
+    if not reader.tables:
         return "no allowed table is read"
-    if strange := sorted(n for n in named if n.lower() not in {a.lower() for a in allowed}):
+    if strange := sorted(n for n in reader.tables if n.lower() not in {a.lower() for a in allowed}):
         return "not among the allowed tables: " + ", ".join(strange)
     return None
 

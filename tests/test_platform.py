@@ -29,6 +29,39 @@ def test_sql_guard(spark):
                                               "GRANT", "REVOKE", "EXEC", "EXECUTE", "INTO OUTFILE", "LOAD DATA"}
 
 
+@pytest.mark.parametrize("bad", [
+    "SELECT 'CTE [secret]' c, s.* FROM dga_events d, secret s",
+    "SELECT * FROM (WITH secret AS (SELECT 1 x) SELECT * FROM secret) a, dga_events, secret",
+    "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret, dga_events",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1 x) SELECT * FROM a, dga_events",
+    "SELECT (SELECT max(x) FROM secret) FROM dga_events",
+    "SELECT * FROM dga_events WHERE EXISTS (SELECT 1 FROM secret WHERE secret.x = dga_events.score)",
+    "SELECT * FROM dga_events UNION ALL SELECT * FROM secret",
+    "SELECT * FROM dga_events, LATERAL (SELECT * FROM secret)",
+    "SELECT * FROM dga_events, parquet.`/etc`",
+    "SELECT * FROM default.dga_events",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM dga_events",
+    "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM dga_events",
+    "SELECT TRANSFORM(score) USING 'cat' FROM dga_events",
+    "SELECT * FROM IDENTIFIER('sec' || 'ret'), dga_events",
+    "SELECT * FROM dga_events, some_reader('/x')",
+])
+def test_sql_guard_reads_scopes(spark, bad):
+    assert isinstance(sqlapi.validate_sql(bad), str)
+
+
+@pytest.mark.parametrize("good", [
+    "WITH secret AS (SELECT 1 x) SELECT * FROM secret, dga_events",
+    "WITH a AS (SELECT * FROM dga_events), b AS (SELECT * FROM a) SELECT * FROM b WHERE score > (SELECT avg(score) FROM a)",
+    "SELECT * FROM (WITH a AS (SELECT * FROM feedback) SELECT * FROM a) x JOIN dga_events USING (event_id)",
+    "SELECT domain, explode(split(domain, 'o')) AS part FROM dga_events",
+    "SELECT * FROM DGA_EVENTS LATERAL VIEW explode(array(1, 2)) t AS n",
+    "SELECT id, count(*) OVER (PARTITION BY severity) FROM dga_events, range(3)",
+])
+def test_sql_guard_lets_queries_pass(spark, good):
+    assert sqlapi.validate_sql(good) is None
+
+
 def test_ad_hoc_sql_runs(spark, sf001):
     sqlapi.register_event_views(spark, sf001)
     df = sqlapi.ad_hoc_sql(spark, "SELECT severity, count(*) AS n FROM dga_events GROUP BY severity")
