@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.common import conj
 from ..schema import DNS_MESSAGE_SCHEMA
+from .store import is_event_store, read_event_store
 
 LABELLED_SCHEMA = T.StructType([T.StructField("Domain", T.StringType()), T.StructField("Target", T.IntegerType()),
                                 T.StructField("Botnet_Family", T.StringType())])
@@ -97,16 +99,19 @@ def read_records(spark: SparkSession, path: str, fmt: str = "jsonl", schema: T.S
 
 
 def read_events(spark: SparkSession, base: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """SRC-7: the date-partitioned event store; the date bounds become
-    `event_date` predicates (partition pruning), the time bounds row filters."""
-    df = spark.read.parquet(base)
+    """SRC-7: the events of the store at `base` (or of a plain date-partitioned table); the
+    date bounds become `event_date` predicates (partition pruning), the time bounds row
+    filters."""
+    bounds = []
     if start is not None:
         s = F.lit(start).cast("timestamp_ntz")
-        df = df.where((F.col("event_date") >= F.to_date(s)) & (F.col("ts") >= s))
+        bounds += [F.col("event_date") >= F.to_date(s), F.col("ts") >= s]
     if end is not None:
         e = F.lit(end).cast("timestamp_ntz")
-        df = df.where((F.col("event_date") <= F.to_date(e)) & (F.col("ts") <= e))
-    return df
+        bounds += [F.col("event_date") <= F.to_date(e), F.col("ts") <= e]
+    if is_event_store(spark, base):
+        return read_event_store(spark, base, conj(bounds))
+    return spark.read.parquet(base).where(conj(bounds))
 
 
 def event_source(df: DataFrame, predicate=None, fields: list[str] | None = None) -> DataFrame:

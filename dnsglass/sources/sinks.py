@@ -1,21 +1,19 @@
 """Sinks (SNK-1 .. SNK-13): event store, alert topic, OLAP table, fan-out,
 report export, knowledge index, feedback append and batch counters.
 
-Writers are idempotent per batch: the event store is rewritten partition by
-partition (dynamic overwrite) after de-duplicating by event id, so a retried
-micro-batch or a lost executor never leaves duplicates behind.
+The event store takes a batch as a delta of a new version, named by the batch's token, so
+that a retried micro-batch or a lost executor never leaves duplicates behind.
 """
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators.common import cut_lineage
 from ..operators.rules import sink_condition
-from ..session import path_exists
+from .store import append_events
 
 log = logging.getLogger(__name__)
 
@@ -59,34 +57,12 @@ def with_index(df: DataFrame, date_pattern: str = "daily") -> DataFrame:
 
 
 def write_event_store(df: DataFrame, path: str, condition: str | None = "always", date_pattern: str = "daily",
-                      files: int = 8) -> None:
-    """SNK-1: upsert by event_id into the index partitions that the batch touches.
-
-    A new row wins over a stored one with its id; of two new ones the later (ts)
-    wins, then the larger by its columns.  Only touched partitions are rewritten
-    (dynamic overwrite), each by up to `files` tasks, from a copy in the shared
-    folder, so the overwrite never reads what it replaces.  Whether a store exists is
-    asked of the file system; a store that cannot be read, or whose columns have
-    other types, is an error and stays as it is."""
-    spark = df.sparkSession
-    index = _INDEX[date_pattern]
-    new = with_index(_cond(df, condition), date_pattern).withColumn("_prio", F.lit(1))
-    merged = new
-    if path_exists(spark, path):
-        old = spark.read.parquet(path)
-        kinds = dict(old.dtypes)
-        wrong = [f"{c}: {kinds[c]} stored, {t} new" for c, t in new.dtypes if c in kinds and kinds[c] != t and c != index]
-        if wrong:
-            raise ValueError("column types differ from the store's: " + "; ".join(wrong))
-        old = old.withColumn(index, F.col(index).cast(dict(new.dtypes)[index]))
-        old = old.join(new.select(index).distinct(), index, "left_semi").withColumn("_prio", F.lit(0))
-        merged = new.unionByName(old, allowMissingColumns=True)
-    rest = [c for c in merged.columns if c not in ("event_id", "_prio")]
-    order = F.struct("_prio", "ts", F.xxhash64(*[c for c in rest if not dict(merged.dtypes)[c].startswith("map")]))
-    best = merged.groupBy("event_id").agg(F.max_by(F.struct(*rest), order).alias("r"))
-    out = cut_lineage(best.select("event_id", "r.*"))
-    (out.repartition(index, F.pmod(F.xxhash64("event_id"), F.lit(files))).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(index).parquet(path))
+                      files: int = 8, token: str | None = None) -> int:
+    """SNK-1: upsert by event_id into the versioned store (see `store`) at `path`; the number of
+    the new version.  A new row wins over a stored one with its id; of two new ones the
+    later (ts) wins, then the larger by its columns.  The batch is added as a delta, no
+    stored file is touched, and with the same `token` a retried batch changes nothing."""
+    return append_events(with_index(_cond(df, condition), date_pattern), path, _INDEX[date_pattern], files, token)
 
 
 def alert_messages(df: DataFrame, key: str = "domain", condition: str | None = "is_dga") -> DataFrame:
@@ -121,31 +97,31 @@ def write_olap_table(df: DataFrame, path: str, condition: str | None = "is_dga")
 
 
 def fan_out(df: DataFrame, targets: list[tuple[str, str | None, object]], on_error: str = "continue") -> DataFrame:
-    """SNK-5 / SNK-6: one spec, several sinks, each with its own condition.
-    `targets` = [(name, condition, writer(df))].  The input is persisted once;
-    failures are recorded per sink (or abort).  Returns (sink, ok, error, rows)."""
+    """SNK-5 / SNK-6: one input, several sinks, each with its own condition.
+    `targets` = [(name, condition, writer(df))].  The input is persisted once; the rows that a
+    sink takes are counted while they are written (`observe`), by no job of its own.
+    A sink that fails is recorded and the others go on, or with on_error="abort" the
+    error is raised.  Returns (sink, ok, error, rows), the first entry of each name."""
     spark = df.sparkSession
     df = df.persist()
     report = []
     try:
         for name, condition, writer in targets:
-            part = _cond(df, condition)
+            seen = Observation()
+            part = _cond(df, condition).observe(seen, F.count(F.lit(1)).alias("rows"))
             try:
-                rows = part.count()
-                writer(part)
-                report.append((name, True, None, rows))
+                written = writer(part)  # False: the sink has this batch already, nothing was read
+                report.append((name, True, None, 0 if written is False else seen.get["rows"]))
             except Exception as e:  # noqa: BLE001
                 report.append((name, False, str(e), 0))
                 if on_error == "abort":
                     raise
     finally:
         df.unpersist()
-    seen, out = set(), []
+    first: dict[str, tuple] = {}
     for r in report:  # distinct sink names (Q11)
-        if r[0] not in seen:
-            seen.add(r[0])
-            out.append(r)
-    return spark.createDataFrame(out, "sink string, ok boolean, error string, rows long")
+        first.setdefault(r[0], r)
+    return spark.createDataFrame(list(first.values()), "sink string, ok boolean, error string, rows long")
 
 
 def export_report(df: DataFrame, path: str, fmt: str = "csv") -> None:

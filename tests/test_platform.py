@@ -111,18 +111,147 @@ def test_spec_compiles_and_isolates_errors(spark):
         pipeline_spec({"nodes": [{"id": "t", "type": "threshold", "config": {"nope": 1}}]})
 
 
+SPECS = {
+    "dga-realtime-v1": """
+pipeline: {name: dga-realtime-v1, mode: stream, version: "1.0.0"}
+nodes:
+  - {id: ingest, type: kafka_consumer, config: {topic: dns-query-logs, group_id: g, auto_offset_reset: latest}}
+  - {id: parse, type: dns_parser, config: {fields: [query_name, query_type, src_ip, timestamp]}}
+  - {id: feature, type: feature_extractor, config: {extractors: [lexical, entropy]}}
+  - {id: infer, type: scoring_service, config: {endpoint: "http://s:8001", protocol: http, timeout_ms: 3000}}
+  - {id: whitelist, type: whitelist, config: {source: static, static: [google.com]}}
+  - {id: threshold, type: threshold, config: {default: 0.7, tenants: {finance: 0.5}}}
+  - id: sink
+    type: multi_sink
+    config:
+      targets:
+        - {type: kafka, topic: dga-alerts, condition: "score >= threshold"}
+        - {type: es, index: "dga-events-{date}", condition: always}
+        - {type: starrocks, table: dga_events, condition: always}
+checkpoint: {backend: redis, key_prefix: "ckpt:x", commit_interval: 5s}
+""",
+    "dga-batch-v1": """
+pipeline: {name: dga-batch-v1, mode: batch, version: "1.0.0"}
+nodes:
+  - {id: ingest, type: file_reader, config: {path: PATH}}
+  - {id: parse, type: dns_parser, config: {fields: [query_name, query_type, src_ip, timestamp]}}
+  - {id: feature, type: feature_extractor, config: {extractors: [lexical, entropy]}}
+  - {id: infer, type: scoring_service, config: {endpoint: "http://s:8001", protocol: http, timeout_ms: 1000}}
+  - {id: threshold, type: threshold, config: {default: 0.7}}
+  - {id: sink, type: multi_sink, config: {targets: [{type: es, index: "dga-events-{date}", condition: always}, {type: starrocks, table: dga_events, condition: always}]}}
+""",
+    "c2-realtime-v1": """
+pipeline: {name: c2-realtime-v1, mode: stream, version: "1.0.0"}
+nodes:
+  - {id: ingest, type: kafka_consumer, config: {topic: dns-query-logs}}
+  - {id: parse, type: dns_parser, config: {fields: [query_name, query_type, src_ip, timestamp]}}
+  - {id: feature, type: feature_extractor, config: {extractors: [entropy, lexical, ngram], window_size: 120s}}
+  - {id: infer, type: scoring_service, config: {endpoint: "s:50051", protocol: grpc, timeout_ms: 100}}
+  - {id: postfilter, type: rule_chain, config: {rules: [{whitelist: {source: redis}}, {threshold: {default: 0.6}}]}}
+  - {id: sink, type: multi_sink, config: {targets: [{type: kafka, topic: c2-alerts, condition: "score >= threshold"}, {type: elasticsearch, index: "c2-events-{date}", condition: always}]}}
+""",
+    "routed": """
+pipeline: {name: routed, mode: batch}
+nodes:
+  - {id: parse, type: dns_parser}
+  - {id: infer, type: scoring_service}
+  - {id: archive_kafka, type: kafka_sink, config: {topic: low}}
+conditional_edges:
+  - {from: infer, condition: score_threshold, threshold: 0.7, branches: {high: alert_es, low: archive_kafka}}
+""",
+}
+
+
+def test_specs_compile_whole_and_write(spark, tmpdir_path):
+    from dnsglass.sources.store import read_event_store
+    os.makedirs(f"{tmpdir_path}/logs")
+    lines = [json.dumps({"query_name": f"h{i}.com", "query_type": "A", "src_ip": f"1.2.3.{i}", "timestamp": "2024-03-01T10:00:00Z"}) for i in range(10)] + ["google.com A 9.9.9.9", "  "]
+    with open(f"{tmpdir_path}/logs/a.log", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+    def scorer(df):  # h0 .. h9 -> 0.0 .. 0.9, others 0.95
+        n = F.try_to_number(F.regexp_extract("domain", "^h([0-9])", 1), F.lit("9")).cast("double")
+        return df.withColumn("score", F.coalesce(n / 10, F.lit(0.95)))
+    lists = spark.createDataFrame([("whitelist:auto", "google.com"), ("whitelist", "google.com")], "list_name string, entry string")
+    for name, text in SPECS.items():
+        with pytest.raises(ValueError, match="scor"):
+            pipeline_spec(text)
+        p = pipeline_spec(text.replace("PATH", f"{tmpdir_path}/logs"), {"scorer": scorer, "lists": lists})
+        assert (p.name, p.skipped) == (name, []) and p.mode == ("stream" if "realtime" in name else "batch")
+        out = f"{tmpdir_path}/out-{name}"
+        source = spark.createDataFrame([(x.strip(),) for x in lines if x.strip()], "raw string")
+        if name == "dga-batch-v1":
+            report = p.run(spark, out)
+        else:
+            report = p.write(source, out, "b0")
+            assert p.write(source, out, "b0").count() == len(p.sinks)      # the same batch again
+        rows = {r["sink"]: (r["ok"], r["rows"], r["error"]) for r in report.collect()}
+        if name == "dga-realtime-v1":   # google.com is let through with score 0; h7, h8, h9 are alerts
+            assert rows == {"sink_kafka": (True, 3, None), "sink_es": (True, 11, None), "sink_starrocks": (True, 11, None)}
+            assert {json.loads(r["value"])["domain"] for r in spark.read.json(f"{out}/kafka/dga-alerts").collect()} == {"h7.com", "h8.com", "h9.com"}
+            ev = {r["domain"]: r for r in read_event_store(spark, f"{out}/es/dga-events").collect()}
+            assert len(ev) == 11 and ev["google.com"]["score"] == 0.0 and ev["h8.com"]["is_dga"] and str(ev["h8.com"]["event_date"]) == "2024-03-01"
+            assert len(ev["h8.com"]["features"]) >= 26 and ev["h8.com"]["tenant_id"] == "default" and ev["h8.com"]["severity"] == "MEDIUM"
+            assert spark.read.parquet(f"{out}/starrocks/dga_events").count() == 11
+        elif name == "dga-batch-v1":
+            assert rows == {"sink_es": (True, 11, None), "sink_starrocks": (True, 11, None)}
+            assert read_event_store(spark, f"{out}/es/dga-events").where("is_dga").count() == 4
+        elif name == "c2-realtime-v1":
+            assert rows == {"sink_kafka": (True, 4, None), "sink_elasticsearch": (True, 11, None)}
+        else:
+            assert rows == {"archive_kafka": (True, 7, None), "alert_es": (True, 4, None)}
+    stream = pipeline_spec(SPECS["dga-realtime-v1"], {"scorer": scorer})
+    from dnsglass.sources.readers import read_dns_stream
+    for _ in range(2):  # the second run finds nothing new
+        stream.start(spark, f"{tmpdir_path}/st", f"{tmpdir_path}/st_ck", source=read_dns_stream(spark, "text", f"{tmpdir_path}/logs")).awaitTermination()
+    assert read_event_store(spark, f"{tmpdir_path}/st/es/dga-events").count() == 11
+
+
+def test_spec_errors(spark):
+    with pytest.raises(ValueError, match="circle"):
+        pipeline_spec({"nodes": [{"id": "a", "type": "dns_parser"}, {"id": "b", "type": "severity_tag"}],
+                       "conditional_edges": [{"from": "b", "branches": {"high": "a"}}]})
+    p = pipeline_spec({"nodes": [{"id": "a", "type": "severity_tag", "config": {"score_field": "nope"}}, {"id": "b", "type": "dns_parser"}]})
+    (row,) = p.transform(spark.createDataFrame([("x.com A",)], "raw string")).collect()
+    assert row["domain"] == "x.com" and [e["node"] for e in row["errors"]] == ["a"]   # a step that cannot be applied
+
+
 def test_event_store_upsert_is_idempotent(spark, tmpdir_path):
+    from dnsglass.sources import store as ES
+    from dnsglass.sources.readers import read_events
     from dnsglass.sources.sinks import write_event_store
-    rows = [("1", "2024-01-01 01:00:00", "a.com", 0.1), ("2", "2024-01-02 01:00:00", "b.com", 0.2)]
-    df = spark.createDataFrame(rows, "event_id string, ts string, domain string, score double").withColumn(
+    rows = [("1", "2024-01-01 01:00:00", "a.com", 0.1, {"x": 1.0}), ("2", "2024-01-02 01:00:00", "b.com", 0.2, None), ("2", "2024-01-02 01:00:00", "b.com", 0.2, {"y": 2.0})]
+    df = spark.createDataFrame(rows, "event_id string, ts string, domain string, score double, features map<string,double>").withColumn(
         "ts", F.col("ts").cast("timestamp_ntz"))
     path = os.path.join(tmpdir_path, "store")
-    write_event_store(df, path)
-    write_event_store(df.where("event_id = '1'").withColumn("score", F.lit(0.9)), path)
+
+    def now(**kw):
+        return {r["event_id"]: (r["score"], str(r["event_date"])) for r in ES.read_event_store(spark, path, **kw).collect()}
+    assert write_event_store(df, path, token="b1") == 1
+    assert write_event_store(df.withColumn("score", F.lit(0.5)), path, token="b1") == 1     # retried: nothing changes
+    moved = df.where("event_id = '1'").withColumn("score", F.lit(0.9)).withColumn("ts", F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
+    assert write_event_store(moved, path) == 2
     with pytest.raises(ValueError):  # a bad batch is refused and what is stored stays
         write_event_store(df.withColumn("score", F.lit("high")), path)
-    got = {r["event_id"]: r["score"] for r in spark.read.parquet(path).collect()}
-    assert got == {"1": 0.9, "2": 0.2}
+    with pytest.raises(ValueError):
+        write_event_store(df, path, date_pattern="monthly")
+    want = {"1": (0.9, "2024-01-03"), "2": (0.2, "2024-01-02")}
+    assert now() == want and now(version=1) == {"1": (0.1, "2024-01-01"), "2": (0.2, "2024-01-02")}
+    # the event that moved to another day is not found on its old one
+    assert [r["event_id"] for r in read_events(spark, path, "2024-01-01", "2024-01-02 23:59:59").collect()] == ["2"]
+    plan = read_events(spark, path, "2024-01-02")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan.replace("event_date#", "event_date")
+
+    def fails(batch):
+        raise RuntimeError("lost")
+    spark.udf.register("fails", fails)
+    with pytest.raises(Exception):  # a write that dies half-way leaves the version readable, the next one succeeds
+        write_event_store(df.withColumn("domain", F.expr("fails(domain)")), path)
+    assert now() == want
+    assert ES.compact_event_store(spark, path) == 3 and now() == want and ES.compact_event_store(spark, path) == 3
+    assert ES.vacuum_event_store(spark, path, keep=1) == [1, 2] and now() == want
+    assert write_event_store(df.where("event_id = '2'").withColumn("score", F.lit(0.3)), path) == 4
+    assert now() == {"1": (0.9, "2024-01-03"), "2": (0.3, "2024-01-02")}
 
 
 def test_stream_dedupe_and_restart(spark, tmpdir_path):
