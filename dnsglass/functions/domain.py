@@ -54,7 +54,11 @@ def labels(col) -> Column:
 
 def _split_parts(d: Column) -> tuple[Column, Column, Column]:
     """(subdomain, sld, tld) as three plain expressions (no shared struct)."""
-    parts = F.split(d, r"\.", -1)
+    return split_parts(F.split(d, r"\.", -1))
+
+
+def split_parts(parts: Column) -> tuple[Column, Column, Column]:
+    """(subdomain, sld, tld) from the array of a domain's labels."""
     n = F.size(parts)
     tld = F.when(n >= 2, F.element_at(parts, -1)).otherwise(F.lit(""))
     sld = F.when(n >= 2, F.element_at(parts, -2)).otherwise(F.element_at(parts, 1))
@@ -125,9 +129,10 @@ def unique_char_ratio(col) -> Column:
     return _unique_chars(s).cast("double") / F.greatest(F.length(s), F.lit(1))
 
 
-def entropy_feature_list(col) -> list[tuple[str, Column]]:
+def entropy_feature_list(col, parts=None) -> list[tuple[str, Column]]:
+    """The 4 named entropy features; `parts`: (subdomain, sld, tld) where they are columns already."""
     d = _c(col)
-    _, sld, _ = _split_parts(d)
+    _, sld, _ = parts or _split_parts(d)
     return [("entropy_full", shannon_entropy(d)), ("entropy_sld", shannon_entropy(sld)),
             ("char_class_entropy", char_class_entropy(sld)), ("unique_char_ratio", unique_char_ratio(sld))]
 
@@ -163,10 +168,10 @@ def longest_run(col, pattern: str) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).cast("double")
 
 
-def lexical_feature_list(col) -> list[tuple[str, Column]]:
-    """The 22 named lexical features as (name, Column) pairs."""
+def lexical_feature_list(col, parts=None) -> list[tuple[str, Column]]:
+    """The 22 named lexical features as (name, Column) pairs; `parts` as above."""
     d = _c(col)
-    sub, sld, tld = _split_parts(d)
+    sub, sld, tld = parts or _split_parts(d)
     has_sub = sub != ""
     out = [("N", F.when(has_sub, 3.0).otherwise(2.0))]
     out += [(k, longest_run(d, RUN_PATTERNS[k])) for k in ("LCc", "LCv", "LCn")]
@@ -184,22 +189,18 @@ def pairs_to_map(pairs: list[tuple[str, Column]]) -> Column:
     return F.create_map(*[x for k, c in pairs for x in (F.lit(k), c.cast("double"))])
 
 
-def struct_to_map(st: Column, keys: list[str]) -> Column:
-    return F.create_map(*[x for k in keys for x in (F.lit(k), st[k].cast("double"))])
-
-
 EXTRACTORS = {
     "lexical": lexical_feature_list,
     "entropy": entropy_feature_list,
 }
 
 
-def feature_map(col, extractors=("lexical", "entropy")) -> Column:
+def feature_map(col, extractors=("lexical", "entropy"), parts=None) -> Column:
     """SCA-8: selected extractor groups merged into one map; empty domain -> {}.
     Built from flat (name, Column) pairs so every feature expression appears
     once in the plan."""
     d = _c(col)
-    pairs = [p for e in extractors for p in EXTRACTORS[e](d)]
+    pairs = [p for e in extractors for p in EXTRACTORS[e](d, parts)]
     empty = F.create_map().cast("map<string,double>")
     return F.when(F.coalesce(F.length(d), F.lit(0)) == 0, empty).otherwise(pairs_to_map(pairs))
 
@@ -235,12 +236,3 @@ def cache_key(col) -> Column:
 
 def model_version_tag(binary, family) -> Column:
     return F.concat_ws("+", _c(binary), _c(family))
-
-
-def ip_to_long(col) -> Column:
-    """Dotted IPv4 string -> long (null when malformed)."""
-    p = F.split(_c(col), r"\.")
-    ok = (F.size(p) == 4) & _c(col).rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    v = (F.element_at(p, 1).cast("long") * 16777216 + F.element_at(p, 2).cast("long") * 65536
-         + F.element_at(p, 3).cast("long") * 256 + F.element_at(p, 4).cast("long"))
-    return F.when(ok, v)

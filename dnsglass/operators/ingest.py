@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.domain import cache_key, feature_map, is_valid_domain, normalize_domain
+from ..functions.domain import cache_key, feature_map, is_valid_domain, normalize_domain, split_parts
 from ..schema import SEVERITIES
 from .common import top_k
 
@@ -80,9 +80,11 @@ def validate_event_contract(df: DataFrame, raw_col: str = "value") -> tuple[Data
 
 
 def extract_features(df: DataFrame, extractors=("lexical", "entropy"), col: str = "domain") -> DataFrame:
-    """SCA-8: selected extractor groups merged into one `features` map
-    (CPU-heavy per row: spread over the cluster when the input is narrow)."""
-    return df.withColumn("features", feature_map(F.col(col), tuple(extractors)))
+    """SCA-8: selected extractor groups merged into one `features` map.  The labels of a
+    domain are split once, in a projection of their own, not once for each feature."""
+    labels = dict(zip(("_sub", "_sld", "_tld"), split_parts(F.col("_labels"))))
+    out = df.withColumn("_labels", F.split(F.col(col), r"\.")).withColumns(labels)
+    return out.withColumn("features", feature_map(F.col(col), tuple(extractors), tuple(F.col(c) for c in labels))).drop("_labels", *labels)
 
 
 def default_missing(features: str, key: str, default: float = 0.0) -> Column:

@@ -118,13 +118,18 @@ def shannon_entropy_base(spark, sf):
 # --- SCA-8 -----------------------------------------------------------------------------------
 
 @register("extract_features", f"""
-SELECT event_id, len(string_split(domain, '')) AS n_chars_check, round({_entropy_sql('domain')}, 6) AS entropy_full
-FROM dns_events""")
+WITH f AS (SELECT domain, {_LEX_SQL}, round({_entropy_sql('domain')}, 6) AS entropy_full, round({_entropy_sql('sld')}, 6) AS entropy_sld,
+       round({_class_entropy_sql('sld')}, 6) AS char_class_entropy,
+       round(CASE WHEN length(sld) = 0 THEN 0 ELSE len(list_distinct(string_split(sld, ''))) END
+             / greatest(length(sld), 1), 6) AS unique_char_ratio
+  FROM {_SPLIT.replace('labelled_v', '(SELECT DISTINCT domain FROM dns_events)')})
+SELECT event_id, f.* FROM dns_events JOIN f USING (domain)""")
 def extract_features(spark, sf):
+    """All 26 features of every event, read back from the map."""
     from ..operators.ingest import extract_features as op
     out = op(_ev(spark, sf).select("event_id", "domain"), ("lexical", "entropy"))
-    return out.select("event_id", F.length("domain").cast("bigint").alias("n_chars_check"),
-                      r6(F.element_at("features", F.lit("entropy_full"))).alias("entropy_full"))
+    names = [k for k, _ in D.lexical_feature_list("domain") + D.entropy_feature_list("domain")]
+    return out.select("event_id", "domain", *[r6(F.element_at("features", F.lit(n))).alias(n) for n in names])
 
 
 # --- FLT-2 -----------------------------------------------------------------------------------
