@@ -88,52 +88,39 @@ def alert_listing(df: DataFrame) -> DataFrame:
 def alerts_by_domain(df: DataFrame, size: int = 200, top_ips: int = 10) -> DataFrame:
     """Alerts grouped by domain.
 
-    Plan (one scan of the events, two shuffles):
-    1. partial + final aggregate on (domain, src_ip, family): a domain holding
-       a third of all events is reduced map-side to one row per (ip, family);
-    2. those rows are hash-partitioned by domain once; per-IP and per-family
-       counts are windows partitioned by (domain, ip) / (domain, family), which
-       the domain partitioning already satisfies (no further exchange);
-    3. the per-domain aggregate runs on the same partitioning: totals, rank
-       maximum, score maximum, first / last seen, unacknowledged count, exact
-       distinct IPs, the 10 busiest IPs (count desc, ip asc) and the most
-       frequent family (count desc, name asc);
-    4. top `size` domains by count (TakeOrderedAndProject), final order
-       (count, severity rank) desc, domain asc.
+    Plan, without a partition by domain of anything but aggregates:
+    1. totals by domain (count, rank maximum, score maximum, first / last seen,
+       unacknowledged count) are mergeable sums, combined map-side; the top `size`
+       domains by count are all that stays (TakeOrderedAndProject);
+    2. the events of these domains (a broadcast semi-join of at most `size` names) are
+       counted by (domain, src_ip) and by (domain, family) in one pass of grouping sets, so
+       a hot domain is spread over the tasks by its addresses;
+    3. the `top_ips` busiest addresses (count desc, ip asc) and the most frequent family
+       (count desc, name asc) of each domain are limited map-side before a shuffle, the
+       number of addresses is a sum of ones;
+    4. final order (count, severity rank) desc, domain asc.
     """
-    base = df.where(F.col("domain").isNotNull()).select(
-        "domain", "src_ip", "family", severity_rank("severity").alias("sev_rank"),
-        "score", "ts", "acknowledged")
-    l1 = base.groupBy("domain", "src_ip", "family").agg(
-        F.count(F.lit(1)).alias("n"), F.max("sev_rank").alias("sev_rank"),
-        F.max("score").alias("max_score"), F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        F.count_if(F.col("acknowledged") == F.lit(False)).alias("unack"))
     from pyspark.sql import Window
-    d = l1.repartition("domain")
-    w_ip = Window.partitionBy("domain", "src_ip")
-    w_fam = Window.partitionBy("domain", "family")
-    d = (d.withColumn("ip_n", F.sum("n").over(w_ip))
-         .withColumn("ip_first", F.row_number().over(w_ip.orderBy(F.col("family").asc_nulls_first())) == 1)
-         .withColumn("fam_n", F.sum("n").over(w_fam)))
-    ip_ok = F.col("src_ip").isNotNull() & F.col("ip_first")
-    ip_rank = F.dense_rank().over(Window.partitionBy("domain").orderBy(
-        F.when(ip_ok, F.lit(0)).otherwise(F.lit(1)), F.desc("ip_n"), F.asc("src_ip")))
-    d = d.withColumn("ip_rank", F.when(ip_ok, ip_rank))
-    agg = d.groupBy("domain").agg(
-        F.sum("n").alias("alert_count"), F.max("sev_rank").alias("sev_rank"),
-        F.max("max_score").alias("max_score"), F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"), F.sum("unack").alias("unack"),
-        F.count_if(ip_ok).alias("unique_src_ip_count"),
-        F.array_sort(F.collect_list(F.when(F.col("ip_rank") <= top_ips, F.struct("ip_rank", "src_ip"))))
-        .alias("_ips"),
-        F.min(F.when(F.col("family").isNotNull(), F.struct((-F.col("fam_n")).alias("neg"), "family")))
-        .getField("family").alias("family"))
-    top_dom = top_k(agg, [F.desc("alert_count"), F.asc("domain")], size)
-    return top_dom.select(
+    named = df.where(F.col("domain").isNotNull())
+    totals = named.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("alert_count"), F.max(severity_rank("severity")).alias("sev_rank"), F.max("score").alias("max_score"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count_if(F.col("acknowledged") == F.lit(False)).alias("unack"))
+    top = top_k(totals, [F.desc("alert_count"), F.asc("domain")], size)
+    mine = named.select("domain", "src_ip", "family").join(F.broadcast(top.select("domain")), "domain", "left_semi")
+    counts = mine.groupingSets([("domain", "src_ip"), ("domain", "family")], "domain", "src_ip", "family").agg(
+        F.count(F.lit(1)).alias("n"), (F.grouping("src_ip") == 0).alias("is_ip"))
+    counts = counts.select("domain", "is_ip", F.when(F.col("is_ip"), F.col("src_ip")).otherwise(F.col("family")).alias("value"), "n").where("value is not null")
+    order = Window.partitionBy("domain", "is_ip").orderBy(F.desc("n"), F.asc("value"))
+    first = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.lit(top_ips))
+    best = first.groupBy("domain").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_ip"), F.struct("r", "value")))).alias("ips"),
+        F.max(F.when(~F.col("is_ip") & (F.col("r") == 1), F.col("value"))).alias("family"))
+    ips = counts.where("is_ip").groupBy("domain").agg(F.count(F.lit(1)).alias("ip_count"))
+    out = top.join(F.broadcast(best), "domain", "left").join(F.broadcast(ips), "domain", "left")  # at most `size` rows each
+    return out.select(
         "domain", F.col("alert_count").cast("long").alias("alert_count"),
-        F.transform("_ips", lambda x: x["src_ip"]).alias("unique_src_ips"),
-        F.col("unique_src_ip_count").cast("long").alias("unique_src_ip_count"),
+        F.coalesce(F.transform("ips", lambda x: x["value"]), F.array().cast("array<string>")).alias("unique_src_ips"),
+        F.coalesce("ip_count", F.lit(0)).cast("long").alias("unique_src_ip_count"),
         F.coalesce(rank_to_severity(F.col("sev_rank")), F.lit("LOW")).alias("max_severity"),
         "max_score", "family", "first_seen", "last_seen",
         (F.col("unack") == 0).alias("all_acknowledged"),

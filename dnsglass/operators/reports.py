@@ -7,7 +7,7 @@ pass (conditional counts) and picked with a one-row join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import as_of_lit
@@ -195,29 +195,27 @@ def pipeline_stats(events: DataFrame, pipelines: DataFrame) -> DataFrame:
     st = pipelines.groupBy("status").agg(F.count(F.lit(1)).cast("double").alias("value"))
     status = st.select(F.lit("status").alias("section"), F.col("status").alias("name"), "value")
     total = pipelines.agg(F.count(F.lit(1)).alias("total"))
-    dga = events.where(F.col("is_dga") == F.lit(True))
-    byp = top_k(dga.where(F.col("pipeline_id").isNotNull()).groupBy("pipeline_id")
-                .agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc("pipeline_id")], 10)
+    # the three top lists are counted in one pass over the events
+    keys = ("pipeline_id", "family", "severity")
+    counts = events.where(F.col("is_dga") == F.lit(True)).groupingSets([(k,) for k in keys], *keys).agg(
+        F.count(F.lit(1)).alias("n"), *[(F.grouping(k) == 0).alias(f"_{k}") for k in keys])
+    section = F.when(F.col("_pipeline_id"), "pipeline").when(F.col("_family"), "family").otherwise("severity")
+    counts = counts.select(section.alias("section"), F.coalesce(*keys).alias("name"), "n").where("name is not null")
+    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), F.asc("name"))))
+    listed = ranked.where(F.col("_r") <= F.when(F.col("section") == "severity", 5).otherwise(10)).where("_r <= 10")
+    byp = listed.where("section = 'pipeline'").select(F.col("name").alias("pipeline_id"), "n")
     named = name_pipelines(byp, pipelines)
     by_pipe = named.select(F.lit("pipeline").alias("section"),
                            F.concat_ws("|", "pipeline_id", "name").alias("name"),
                            F.col("n").cast("double").alias("value"))
-    byf = top_k(dga.where(F.col("family").isNotNull()).groupBy("family")
-                .agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc("family")], 10)
-    by_fam = byf.select(F.lit("family").alias("section"), F.col("family").alias("name"),
-                        F.col("n").cast("double").alias("value"))
-    bys = top_k(dga.where(F.col("severity").isNotNull()).groupBy("severity")
-                .agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc("severity")], 5)
-    by_sev = bys.select(F.lit("severity").alias("section"), F.col("severity").alias("name"),
-                        F.col("n").cast("double").alias("value"))
+    others = listed.where("section <> 'pipeline'").select("section", "name", F.col("n").cast("double").alias("value"))
     with_alerts = byp.agg(F.count(F.lit(1)).alias("k"))
     rate = _one_row_join(with_alerts, total).select(
         F.lit("summary").alias("section"), F.lit("alert_rate").alias("name"),
         F.round(F.col("k") / F.greatest(F.col("total"), F.lit(1)) * 100, 1).alias("value"))
     tot = total.select(F.lit("summary").alias("section"), F.lit("total").alias("name"),
                        F.col("total").cast("double").alias("value"))
-    return status.unionByName(by_pipe).unionByName(by_fam).unionByName(by_sev) \
-        .unionByName(rate).unionByName(tot)
+    return status.unionByName(by_pipe).unionByName(others).unionByName(rate).unionByName(tot)
 
 
 # --- AGG-12 ----------------------------------------------------------------------------------
@@ -240,20 +238,12 @@ def alert_summary(df: DataFrame, start=None, n_sev: int = 20, n_fam: int = 50) -
 
 def top_domains_daily(df: DataFrame) -> DataFrame:
     """(stat_date, domain) -> hits, avg/max score, sorted family list, distinct src_ips."""
+    # one scan: the distinct addresses are grouped map-side by (date, domain, src_ip), a
+    # family list holds at most the known families
     d = df.where(F.col("domain").isNotNull())
-    # family list and distinct IPs via pre-aggregated (date, domain, x) rows so a
-    # hot domain is reduced map-side before the per-domain step
-    fam = (d.where(F.col("family").isNotNull())
-           .groupBy(F.to_date("ts").alias("stat_date"), "domain", "family").agg(F.count(F.lit(1)).alias("_n"))
-           .groupBy("stat_date", "domain")
-           .agg(F.array_join(F.array_sort(F.collect_list("family")), ",").alias("families")))
-    ips = (d.where(F.col("src_ip").isNotNull())
-           .groupBy(F.to_date("ts").alias("stat_date"), "domain", "src_ip").agg(F.count(F.lit(1)).alias("_n"))
-           .groupBy("stat_date", "domain").agg(F.count(F.lit(1)).alias("src_ip_count")))
-    main = d.groupBy(F.to_date("ts").alias("stat_date"), "domain").agg(
-        F.count(F.lit(1)).alias("hit_count"), F.avg("score").alias("avg_score"),
-        F.max("score").alias("max_score"))
-    out = main.join(fam, ["stat_date", "domain"], "left").join(ips, ["stat_date", "domain"], "left")
+    out = d.groupBy(F.to_date("ts").alias("stat_date"), "domain").agg(
+        F.count(F.lit(1)).alias("hit_count"), F.avg("score").alias("avg_score"), F.max("score").alias("max_score"),
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count_distinct("src_ip").alias("src_ip_count"))
     return out.select("stat_date", "domain", F.col("hit_count").cast("long").alias("hit_count"),
                       "avg_score", "max_score", F.coalesce("families", F.lit("")).alias("families"),
                       F.coalesce("src_ip_count", F.lit(0)).cast("long").alias("src_ip_count"))
