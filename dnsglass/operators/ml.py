@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,8 @@ from pyspark.sql import types as T
 
 from ..functions.domain import LEXICAL_KEYS, ENTROPY_KEYS, entropy_features, lexical_features
 from ..schema import BENIGN_FAMILY
-from .common import running_totals
+from .common import cut_lineage, running_totals
+from .ngram import MAX_FEATURES, char_ngrams, ngram_vectors
 
 FEATURE_COLS = LEXICAL_KEYS + ENTROPY_KEYS
 
@@ -37,9 +41,10 @@ def domain_feature_columns(df: DataFrame, col: str = "domain") -> DataFrame:
 # --- MLP-1 / MLP-3 / MLP-4 -----------------------------------------------------------------
 
 def hash_split(df: DataFrame, col: str = "domain", train_frac: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the domain: the same rows whenever and wherever the
-    plan runs again, and no domain on both sides."""
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(10_000)) < int(train_frac * 10_000)
+    """(train, test) by a hash of the domain (the first 32 bits of its md5, with the seed):
+    the same rows whenever and wherever the plan runs again, and no domain on both sides."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(col), F.lit(""))))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000 < int(train_frac * 10_000)
     return df.where(share), df.where(~share)
 
 
@@ -87,17 +92,33 @@ def cross_validate(df: DataFrame, label: str = "target", folds: int = 5, max_ite
 
 # --- MLP-2 / MLP-5 / MLP-6 ------------------------------------------------------------------
 
+#: Character n-grams of the family model and the number of hashed features that they get.
+FAMILY_GRAMS = (1, 2, 3)
+FAMILY_BUCKETS = 2048
+
+
+def family_feature_columns(df: DataFrame, col: str = "domain") -> DataFrame:
+    """Lexical and entropy features, and the character n-grams as an array; their length
+    is a part of them, so a bigram and a trigram never share a name."""
+    return domain_feature_columns(df, col).withColumn("_grams", F.concat(*[char_ngrams(col, n) for n in FAMILY_GRAMS]))
+
+
 def train_family(df: DataFrame, family: str = "family", col: str = "domain", max_iter: int = 100,
-                 seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """Label-encode the family of DGA rows, lexical + entropy features,
-    multinomial logistic regression; returns model and scored test split."""
-    data = domain_feature_columns(df.where(F.col(family) != BENIGN_FAMILY), col)
+                 seed: int = 42, grams: int = FAMILY_BUCKETS) -> tuple[PipelineModel, DataFrame]:
+    """Label-encode the family of DGA rows; sparse character n-gram features (hashed into
+    `grams` buckets, IDF, unit length) beside the standardised lexical and entropy ones;
+    multinomial logistic regression.  Returns the model and the scored test split."""
+    data = family_feature_columns(df.where(F.col(family) != BENIGN_FAMILY), col)
     train, test = hash_split(data, col, 0.7, seed)
     pipe = Pipeline(stages=[
         StringIndexer(inputCol=family, outputCol="label", handleInvalid="keep", stringOrderType="frequencyDesc"),
         VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter),
+        StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True),
+        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=grams),
+        IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_unit"),
+        VectorAssembler(inputCols=["scaled_features", "_unit"], outputCol="features"),
+        LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter, regParam=1e-4),
     ])
     model = pipe.fit(train)
     return model, model.transform(test)
@@ -113,7 +134,7 @@ def classify_family(df: DataFrame, model: PipelineModel, top_k: int = 3, min_con
     entries under min_confidence dropped; with only_dga, rows whose binary
     label is 0 get an empty list (column `label_pred` when present)."""
     labels = F.array(*[F.lit(x) for x in family_labels(model)])
-    out = model.transform(domain_feature_columns(df, col))
+    out = model.transform(family_feature_columns(df, col)).drop("_grams", "_tf", "_tfidf", "_unit")
     # the indexer's slot for unseen labels, the vector's last, is no family
     probs = F.slice(vector_to_array("probability"), 1, len(family_labels(model)))
     pairs = F.transform(F.arrays_zip(labels.alias("family"), probs.alias("confidence")),
@@ -175,8 +196,9 @@ def classification_metrics(pred: DataFrame, truth: str = "truth", predicted: str
     return per.unionByName(acc)
 
 
-def confusion_matrix(pred: DataFrame, truth: str = "truth", predicted: str = "pred") -> DataFrame:
-    return pred.groupBy(F.col(truth).alias("truth")).pivot(predicted).agg(F.count(F.lit(1))).na.fill(0)
+def confusion_matrix(pred: DataFrame, truth: str = "truth", predicted: str = "pred", classes=(0, 1)) -> DataFrame:
+    """A row for each true class, a column for each of the given predicted `classes`."""
+    return pred.groupBy(F.col(truth).alias("truth")).pivot(predicted, list(classes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def roc_curve(pred: DataFrame, score: str = "prob", truth: str = "truth") -> DataFrame:
@@ -207,14 +229,74 @@ def binary_auc_spark(pred: DataFrame, score: str = "prob", truth: str = "truth")
 
 # --- MLP-9 ---------------------------------------------------------------------------------------
 
-def pca_ngrams(df: DataFrame, feature_cols: list[str], k: int = 2, group: str = "family") -> DataFrame:
-    """k-dimensional projection of the given numeric columns (e.g. the n-gram
-    statistics), kept with the group label for a scatter by family."""
-    va = VectorAssembler(inputCols=feature_cols, outputCol="_v", handleInvalid="keep")
-    x = va.transform(df.na.fill(0.0, subset=feature_cols))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(x)
-    out = model.transform(x).withColumn("_a", vector_to_array("_pc"))
-    return out.select(group, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)])
+PCA_OVERSAMPLE = 8
+PCA_ROUNDS = 12
+
+
+def pca_ngrams(df: DataFrame, k: int = 2, group: str = "family", col: str = "domain", ns=(1, 2, 3), max_features: int = MAX_FEATURES,
+               rounds: int = PCA_ROUNDS, seed: int = 7) -> DataFrame:
+    """The first k principal components of the tf-idf n-gram vectors, kept with the group
+    label for a scatter by family: group, pc1 .. pck, a row for each row of `df`.
+
+    Randomised block power iteration: with an orthonormal block Q (terms x (k + 8)) each
+    round adds up the rows' x (x'Q) and subtracts the mean's share, which is the covariance
+    times Q, without the covariance (terms x terms) or dense rows.  Tasks add up their
+    rows, Spark adds the tasks' sums by term; the driver holds Q alone, at most
+    `max_features` rows for each n.  The largest entry of a component is positive."""
+    vectors, terms = ngram_vectors(df.select(col, group), df.select(col), col, ns, max_features)
+    vectors = cut_lineage(vectors)
+    width = terms.count()
+    block = min(k + PCA_OVERSAMPLE, max(width, 1))
+
+    def covariance_times(q: np.ndarray) -> np.ndarray:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, plain, n = np.zeros((width, block)), np.zeros(width), 0
+            for batch in it:
+                at, idx, val = _sparse(batch)
+                row = np.repeat(np.arange(len(batch)), np.diff(at))
+                share = np.zeros((len(batch), block))
+                np.add.at(share, row, val[:, None] * q[idx])
+                np.add.at(total, idx, val[:, None] * share[row])
+                np.add.at(plain, idx, val)
+                n += len(batch)
+            if n:
+                rows = np.c_[total, plain, np.full(width, n)]
+                yield pa.record_batch([pa.array(np.arange(width)), *(pa.array(c) for c in rows.T)], names=["i", *[f"s{j}" for j in range(block + 2)]])
+
+        sums = vectors.select("indices", "values").mapInArrow(run, "i long, " + ", ".join(f"s{j} double" for j in range(block + 2)))
+        got = np.array([list(r) for r in sums.groupBy("i").agg(*[F.sum(f"s{j}") for j in range(block + 2)]).orderBy("i").collect()])
+        if not len(got):
+            return np.zeros_like(q)
+        n = max(got[0, -1], 1)
+        mean = got[:, -2] / n
+        covariance_times.mean = mean
+        return got[:, 1:1 + block] / n - np.outer(mean, mean @ q)
+
+    covariance_times.mean = np.zeros(width)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, block)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(covariance_times(q))[0]
+    small = q.T @ covariance_times(q)  # the covariance within the block
+    values, rotation = np.linalg.eigh((small + small.T) / 2)
+    v = (q @ rotation[:, np.argsort(-values)])[:, :k]
+    v *= np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1)
+    offset = covariance_times.mean @ v
+
+    def project(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at, idx, val = _sparse(batch)
+            out = np.zeros((len(batch), v.shape[1]))
+            np.add.at(out, np.repeat(np.arange(len(batch)), np.diff(at)), val[:, None] * v[idx])
+            yield pa.record_batch([batch.column(2), *(pa.array(c) for c in (out - offset).T)], names=[group, *[f"pc{i + 1}" for i in range(v.shape[1])]])
+
+    kind = df.schema[group].dataType.simpleString()
+    return vectors.select("indices", "values", group).mapInArrow(project, f"{group} {kind}, " + ", ".join(f"pc{i + 1} double" for i in range(v.shape[1])))
+
+
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row ends, indices, values) of the sparse rows of a batch (indices, values, ...)."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(0)), 0))
+    return np.r_[0, np.cumsum(size)], np.asarray(batch.column(0).flatten()).astype(np.int64), np.asarray(batch.column(1).flatten())
 
 
 # --- UDF-3 ------------------------------------------------------------------------------------------

@@ -148,7 +148,10 @@ _trained: dict = {}
 def _once(spark, sf, train):
     """The model that `train` makes of the labelled table with its own defaults, and the
     scored test split: trained once, used by all queries on that table."""
-    key = (spark.sparkContext.applicationId, sf, train.__name__)
+    # a changed table is another table: its files' times and sizes are part of the key
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/part.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf, train.__name__, status.getModificationTime(), status.getLen())
     if key not in _trained:
         _trained[key] = train(_lab(spark, sf))
     return _trained[key]
@@ -200,14 +203,29 @@ def score_two_stage(spark, sf):
 
 @register("pca_ngrams")
 def pca_ngrams(spark, sf):
-    from ..operators import ngram as NG
-    lab = _lab(spark, sf)
-    feats = NG.ngram_features(lab.select("domain", "family"), lab.select("domain"), "domain", "training")
-    cols = [c for c in feats.columns if c not in ("domain", "family")]
-    return ML.pca_ngrams(feats, cols, 2, "family")
+    return ML.pca_ngrams(_lab(spark, sf).select("domain", "family"), 2, "family")
 
 
-@register("score_udf")
+def _test_split_sql(where):
+    return f"""
+SELECT domain, target, family FROM labelled_v
+WHERE {where} AND CAST('0x' || substr(md5('42:' || coalesce(domain, '')), 1, 8) AS UBIGINT) % 10000 >= 7000"""
+
+
+@register("binary_test_split", _test_split_sql("true"))
+def binary_test_split(spark, sf):
+    """The rows that `train_binary` scores, with their labels."""
+    return ML.hash_split(_lab(spark, sf))[1]
+
+
+@register("family_test_split", _test_split_sql("family <> 'alexa'"))
+def family_test_split(spark, sf):
+    """The rows that `train_family` scores, with their labels."""
+    from ..schema import BENIGN_FAMILY
+    return ML.hash_split(_lab(spark, sf).where(F.col("family") != BENIGN_FAMILY))[1]
+
+
+@register("score_udf", "SELECT event_id, domain, length(domain) / 253.0 AS udf_score FROM dns_events")
 def score_udf(spark, sf):
     def load():
         def model(s):

@@ -285,3 +285,54 @@ def test_ml_queries_train_the_default_models_once(spark, sf001, monkeypatch):
     for train in (ml.train_binary, ml.train_family, ml.cross_validate):
         assert train.call_count == 1
         assert len(train.call_args.args) == 1 and not train.call_args.kwargs
+
+
+def _family_rows(n=240):
+    """Families that differ in their letters alone: same lengths, classes and entropy."""
+    rnd = random.Random(23)
+    alphabets = {"fam-a": "bcdfgh", "fam-b": "jklmnp", "fam-c": "qrstvw"}
+    rows = []
+    for i in range(n):
+        name, letters = list(alphabets.items())[i % 3]
+        rows.append(("".join(rnd.choice(letters) for _ in range(10)) + f"{i % 10}.com", 1, name))
+    return rows + [(f"site{i}.org", 0, "alexa") for i in range(20)]
+
+
+def test_family_model_reads_character_ngrams(spark, capsys):
+    df = spark.createDataFrame(_family_rows(), "domain string, target int, family string")
+
+    def accuracy(scored, model):
+        names = ML.family_labels(model)
+        rows = scored.select("family", "prediction").collect()
+        return sum(int(r["prediction"]) < len(names) and names[int(r["prediction"])] == r["family"] for r in rows) / len(rows)
+    model, scored = ML.train_family(df, max_iter=30)
+    with_grams = accuracy(scored, model)
+    bare, plain = ML.train_family(df.withColumn("same", F.lit("x")), max_iter=30, grams=1)   # one bucket: no n-gram information
+    without = accuracy(plain, bare)
+    with capsys.disabled():
+        print(f"\nfamily model, held-out accuracy: {with_grams:.3f} with character n-grams, {without:.3f} without")
+    assert with_grams > 0.95 and with_grams > without + 0.2
+    top = ML.classify_family(spark.createDataFrame([("bcdfghbcdf1.com",)], "domain string"), model, only_dga=False).first()["top_families"]
+    assert top[0]["family"] == "fam-a"
+
+
+def test_pca_spans_the_subspace_of_a_dense_svd(spark):
+    from dnsglass.operators import ngram as NG
+    rows = _family_rows(90)
+    df = spark.createDataFrame(rows, "domain string, target int, family string").repartition(4)
+    vectors, terms = NG.ngram_vectors(df.select("domain", "family"), df.select("domain"))
+    width = terms.count()
+    x, names = np.zeros((len(rows), width)), []
+    for i, r in enumerate(vectors.orderBy("domain").collect()):
+        x[i, r["indices"]] = r["values"]
+        names.append(r["domain"])
+    assert np.allclose(np.linalg.norm(x, axis=1), np.sqrt(3))
+    centred = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    want = centred @ vt[:2].T
+    got = ML.pca_ngrams(df.select("domain", "family").withColumn("family", F.col("domain")), 2, "family", rounds=40).orderBy("family").collect()
+    assert [r["family"] for r in got] == names
+    have = np.array([[r["pc1"], r["pc2"]] for r in got])
+    for j in range(2):
+        sign = np.sign(have[:, j] @ want[:, j])
+        assert np.abs(sign * have[:, j] - want[:, j]).max() < 0.02 * np.abs(want[:, j]).max()
