@@ -34,4 +34,4 @@ def r6(c):
 
 
 # Import the modules that register queries (order = registration order).
-from . import q_alerts, q_reports, q_rules, q_loops, q_stats, q_text, q_ml, q_io  # noqa: E402,F401
+from . import q_alerts, q_reports, q_rules, q_loops, q_stats, q_text, q_ml, q_io, q_store  # noqa: E402,F401

@@ -4,7 +4,7 @@ config-driven pipeline and a Structured Streaming run."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from ..sources import readers as RD
 from ..sources import sinks as SK
 from ..streaming import stream as ST
 from .catalog import r6, register
+from .q_rules import _entropy_sql
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -104,13 +105,16 @@ def olap_projection(spark, sf):
     return SK.olap_projection(_ev(spark, sf).where("is_dga"))
 
 
-@register("alert_messages", """
-SELECT domain AS key, json_extract_string(v, '$.event_id') AS event_id, CAST(json_extract_string(v, '$.score') AS DOUBLE) AS score
-FROM (SELECT domain, json_object('event_id', event_id, 'score', score)::VARCHAR AS v FROM dns_events WHERE is_dga)""")
+_CONTRACT_PART = [c for c in SK.CONTRACT_COLS if c not in ("features", "rules_applied")]  # what stored events have
+
+
+@register("alert_messages", f"SELECT domain AS key, {', '.join(_CONTRACT_PART)} FROM dns_events WHERE is_dga")
 def alert_messages(spark, sf):
-    m = SK.alert_messages(_ev(spark, sf), "domain", "is_dga")
-    return m.select("key", F.get_json_object("value", "$.event_id").alias("event_id"),
-                    F.get_json_object("value", "$.score").cast("double").alias("score"))
+    """The messages' JSON, parsed back: all fields of the payload."""
+    ev = _ev(spark, sf)
+    m = SK.alert_messages(ev, "domain", "is_dga")
+    fields = ", ".join(f"{c} {ev.schema[c].dataType.simpleString()}" for c in _CONTRACT_PART)
+    return m.select("key", F.from_json("value", fields, SK.JSON_TIMES).alias("v")).select("key", "v.*")
 
 
 @register("batch_run_stats", """
@@ -254,7 +258,10 @@ def windowed_counts_session(spark, sf):
     return ST.windowed_counts(_ev(spark, sf), "session", gap="30 minutes")
 
 
-@register("node_error_topn")
+@register("node_error_topn", r"""
+SELECT pipeline_id, 'hex_label' AS node, 'ValueError' AS error_type, CAST(count(*) AS BIGINT) AS count
+FROM dns_events WHERE NOT regexp_matches(lower(string_split(domain, '.')[1]), '^(0x)?[0-9a-f]+(_[0-9a-f]+)*$')
+GROUP BY pipeline_id ORDER BY count DESC, pipeline_id LIMIT 10""")
 def node_error_topn(spark, sf):
     from .spec import row_step
     ev = _ev(spark, sf).select("event_id", "domain", "pipeline_id")
@@ -276,26 +283,31 @@ nodes:
 """
 
 
-@register("pipeline_spec")
+@register("pipeline_spec", f"""
+SELECT event_id, domain, query_type, CASE WHEN score >= 0.7 THEN 'alert' ELSE 'archive' END AS branch, round({_entropy_sql('domain')}, 6) AS entropy_full
+FROM dns_events""")
 def pipeline_spec(spark, sf):
     from .spec import pipeline_spec as compile_spec
     p = compile_spec(_SPEC)
     raw = _raw_messages(spark, sf).join(_ev(spark, sf).select("event_id", "score"), "event_id")
     out = p.transform(raw)
     return out.select("event_id", "domain", "query_type", "branch",
-                      F.element_at("features", F.lit("entropy_full")).alias("entropy_full"))
+                      r6(F.element_at("features", F.lit("entropy_full"))).alias("entropy_full"))
 
 
-@register("stream_pipeline")
+@register("stream_pipeline", """
+SELECT event_id, ts, score, CASE WHEN score >= 0.95 THEN 'CRITICAL' WHEN score >= 0.85 THEN 'HIGH' WHEN score >= t THEN 'MEDIUM' ELSE 'LOW' END AS severity, score >= t AS is_dga
+FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, ts, floor(value / (value + 10) * 10000 + 0.5) / 10000 AS score,
+             CASE user_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 ELSE 0.7 END AS t,
+             row_number() OVER (PARTITION BY event_id ORDER BY ts) AS n FROM events) WHERE n = 1""")
 def stream_pipeline(spark, sf):
     """Structured Streaming run over the events file (availableNow): event
     time, 24 h de-duplication, threshold and severity, written per micro-batch
-    into the shared checkpoint folder, then read back."""
+    below the shared checkpoint folder, a new one for each call, then read back."""
     from ..operators.rules import apply_threshold
     from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark)
-    tag = os.path.basename(sf.rstrip("/"))
-    out_dir, ck = f"{base}/stream_pipeline/{tag}/out", f"{base}/stream_pipeline/{tag}/ck"
+    base = f"{ensure_checkpoint_dir(spark)}/stream_pipeline-{uuid.uuid4().hex}"
+    out_dir, ck = f"{base}/out", f"{base}/ck"
     schema = fx.table(spark, sf, "events").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     src = src.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -309,8 +321,9 @@ def stream_pipeline(spark, sf):
         return apply_threshold(d, 0.7, {"finance": 0.5, "dev": 0.9})
 
     def sink(batch, epoch):
-        batch.select("event_id", "ts", "score", "severity", "is_dga").write.mode("append").parquet(out_dir)
+        rows = batch.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "score", "severity", "is_dga")
+        rows.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     q = ST.run_stream(src, chain, sink, ck)
     q.awaitTermination()
-    return spark.read.parquet(out_dir).dropDuplicates(["event_id"])
+    return spark.read.parquet(out_dir).drop("epoch")

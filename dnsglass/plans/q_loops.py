@@ -83,11 +83,17 @@ def family_fp_rate(spark, sf):
     return out.drop("detail")
 
 
-_PSI_SQL = """
+_PSI_LONG = """
 WITH long AS (SELECT 'score' AS feature, score AS value, 'e' AS side FROM drift_baseline
   UNION ALL SELECT 'domain_len', domain_len, 'e' FROM drift_baseline
   UNION ALL SELECT 'score', score, 'a' FROM drift_current
   UNION ALL SELECT 'domain_len', domain_len, 'a' FROM drift_current),
+"""
+#: Five features, each further off its baseline; some have a name that the operations table uses.
+_SHIFTED = {"g0": 1.0, "f1": 1.5, "g2": 2.0, "f3": 2.5, "g4": 3.0}
+_SHIFTED_LONG = "WITH long AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, score AS value, 'e' AS side FROM drift_baseline UNION ALL SELECT '{n}', score * {x}, 'a' FROM drift_current" for n, x in _SHIFTED.items()) + "),"
+_PSI_STEPS = """
 ext AS (SELECT feature, min(value) AS lo, max(value) AS hi, count(*) FILTER (WHERE side = 'e') AS n_e,
                count(*) FILTER (WHERE side = 'a') AS n_a FROM long GROUP BY feature
         HAVING count(*) FILTER (WHERE side = 'a') >= 100 AND count(*) FILTER (WHERE side = 'e') > 0),
@@ -101,6 +107,9 @@ psi AS (SELECT feature, sum(CASE WHEN hi = lo THEN 0.0 ELSE (a - e) * ln(a / e)
                CAST(first(n_a) AS BIGINT) AS window_size FROM t GROUP BY feature)"""
 
 
+_PSI_SQL = _PSI_LONG + _PSI_STEPS
+
+
 @register("psi", _PSI_SQL + " SELECT feature, round(psi, 6) AS psi, window_size FROM psi")
 def psi(spark, sf):
     b = fx.drift_samples(spark, sf, "baseline")
@@ -109,17 +118,19 @@ def psi(spark, sf):
                                                         F.col("window_size").cast("long").alias("window_size"))
 
 
-@register("drift_alerts", _PSI_SQL + f""",
+@register("drift_alerts", _SHIFTED_LONG + _PSI_STEPS + f""",
 c AS (SELECT json_extract_string(detail, '$.feature') AS k FROM operations_v
       WHERE operation = 'drift_alert' AND status = 'pending' AND created_at > {AS_OF} - INTERVAL 6 HOURS)
-SELECT feature, CASE WHEN psi >= 0.25 THEN 'ALERT' WHEN psi >= 0.1 THEN 'WARN' ELSE 'none' END AS grade,
-       round(psi, 6) AS psi
-FROM psi""")
+SELECT feature, round(psi, 6) AS psi, 'default' AS pipeline_id, 'drift_alert' AS operation, 'drift-monitor' AS operator, 'pending' AS status, window_size
+FROM psi WHERE psi >= 0.25 AND feature NOT IN (SELECT k FROM c WHERE k IS NOT NULL)""")
 def drift_alerts(spark, sf):
-    b = fx.drift_samples(spark, sf, "baseline")
-    c = fx.drift_samples(spark, sf, "current")
-    scores = DR.psi(b, c, ["score", "domain_len"])
-    return scores.select("feature", DR.drift_grade("psi").alias("grade"), r6(F.col("psi")).alias("psi"))
+    """The alerts that the operator raises, less those in cooldown."""
+    b = fx.drift_samples(spark, sf, "baseline").select("*", *[F.col("score").alias(n) for n in _SHIFTED])
+    c = fx.drift_samples(spark, sf, "current").select("*", *[(F.col("score") * x).alias(n) for n, x in _SHIFTED.items()])
+    scores = DR.psi(b, c, list(_SHIFTED))
+    out = DR.drift_alerts(scores, fx.operations_v(spark, sf), CLOCK)
+    return out.select("feature", r6(F.col("psi")).alias("psi"), "pipeline_id", "operation", "operator", "status",
+                      F.get_json_object("detail", "$.window_size").cast("long").alias("window_size"))
 
 
 @register("psi_ranking", """

@@ -65,11 +65,15 @@ def write_event_store(df: DataFrame, path: str, condition: str | None = "always"
     return append_events(with_index(_cond(df, condition), date_pattern), path, _INDEX[date_pattern], files, token)
 
 
+#: Times in messages keep their microseconds.
+JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"}
+
+
 def alert_messages(df: DataFrame, key: str = "domain", condition: str | None = "is_dga") -> DataFrame:
     """SNK-2 payload: (key, value = JSON of the event contract)."""
     d = _cond(df, condition)
     cols = [c for c in CONTRACT_COLS if c in d.columns]
-    return d.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*cols)).alias("value"))
+    return d.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*cols), JSON_TIMES).alias("value"))
 
 
 def write_alert_topic(df: DataFrame, target: str, key: str = "domain", condition: str | None = "is_dga",
