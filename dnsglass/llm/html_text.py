@@ -8,7 +8,13 @@ block inside the content is neutral: it adds nothing and takes nothing away, so
 text on both sides of it stays in one region however long it is.  A block is inside
 if the nearest telling element around it names content, or, where no name tells, if
 its parent has running text (paragraphs, lists, loose text) before and after it and
-no element that names content.  Outside, its words and tags count against a region.
+no element that names content, or if it lies between two content elements of one kind
+that stand side by side (two articles with an advert between them).  Outside, its words
+and tags count against a region.
+
+An element whose class words name it both ways (class="legal content") is boilerplate,
+unless over half of the page's words lie in it and no other element names content.  A quotation
+inside the content is content, whatever its class.
 
 The weights come from labelled pages: at most LABELLED pages (those with the least hash
 of page_id) that mark their main content up themselves (article, main).  For every
@@ -20,16 +26,20 @@ no label has shown is judged by them.
 
 Cases: null or empty html, or no region above zero -> empty text.  Without labelled
 pages the priors stand alone.  Comments, scripts, styles, the head and forms have no
-words.  A tag cut off by the end of the page is no text.  Rows are independent;
-extra columns are ignored.
+words.  A tag cut off by the end of the page is no text.  What an element makes of its
+words is worked out once, from the element around it, so that deep nesting costs no more
+than wide pages do; only an end tag of a paragraph, cell or inline element that was opened
+outside blocks still open is paid for by their number.  Rows are independent; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import pyarrow as pa
@@ -37,8 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED = 2_000
-#: Features of the labelled pages that are kept, by number of words.
-FEATURES = 20_000
+#: A name with fewer words on the labelled pages cannot reach the odds that tell.
+LEAST_WORDS = 2
 PRIOR = 25.0
 TAG_COST = 0.4
 
@@ -48,9 +58,10 @@ BOILERPLATE = frozenset("""nav header footer aside form dialog menu navbar navig
 ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored cookie cookies consent gdpr notice notification
 alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more-stories
 comment comments reply replies respond disqus pagination pager toolbar masthead copyright legal disclaimer search skip-link complementary contentinfo""".split())
-SKIPPED = frozenset("head script style noscript template svg math iframe object select button textarea canvas audio video".split())
+SKIPPED = frozenset("head script style noscript template svg annotation annotation-xml iframe object select button textarea canvas audio video".split())
 # Elements without a break around them (fixed values).
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr
+math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mspace mpadded semantics""".split())
 # Elements that say nothing about their content by themselves (fixed values).
 GENERIC = frozenset("html body div section span center table tbody thead tr td th ul ol li dl dt dd p pre blockquote figure figcaption fieldset address details summary hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,8 +71,8 @@ FLOW = frozenset("section ul ol dl pre blockquote figure figcaption details".spl
 # Elements that are closed by a sibling or the parent, and inline ones: they do not enclose for long.
 LOOSE = INLINE | VOID | frozenset("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h6 html body".split())
 
-#: An open element: name, marks and its number on the page (from 1 on).
-Open = tuple[str, tuple[str, ...], int]
+# Elements that quote or set text off inside the content.
+QUOTED = frozenset("blockquote q pre".split())
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
 |<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^<>"']|"[^"<]*"|'[^'<]*')*)(?:>|\Z)
@@ -98,49 +109,87 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
                 yield "close", name, ()
 
 
-def walk(page: str) -> Iterator[tuple[str, str, list[Open]]]:
-    """("text" | "open" | "close", text or name, enclosing elements from outside in).  An end tag
-    closes the nearest open element of its name; those left open inside it go with it."""
-    stack: list[Open] = []
+def whole_words(marks: tuple[str, ...]) -> Iterator[str]:
+    """The marks without the parts of compound ones."""
+    i = 0
+    while i < len(marks):
+        yield marks[i]
+        i += len(parts_of(marks[i]))
+
+
+def walk[S](page: str, root: S, enter: Callable[[str, tuple[str, ...], int, S], S]) -> Iterator[tuple[str, str, S]]:
+    """("text" | "open" | "close", text or name, state of the innermost open element).  `enter`
+    gives an element's state by its name, marks, number on the page (from 1 on) and the state
+    around it.  An end tag closes the nearest open element of its name; those left open inside
+    it go with it, but stay open if it is an element that does not enclose for long."""
+    stack: list[tuple[str, tuple[str, ...], int, S]] = [("", (), 0, root)]
+    count: Counter = Counter()
     number = 0
     for kind, value, marks in tokens(page):
-        yield kind, value, stack
-        if kind == "text":
-            continue
+        yield kind, value, stack[-1][3]
         if kind == "open":
             if value not in VOID and (value not in LOOSE or marks):
                 number += 1
-                stack.append((value, marks, number))
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == value:
-                    if value in LOOSE and i < len(stack) - 1:
-                        del stack[i]
-                    else:
-                        del stack[i:]
-                    break
-
-
-def _skipped(stack: list[Open]) -> bool:
-    return any(name in SKIPPED for name, _, _ in stack)
+                stack.append((value, marks, number, enter(value, marks, number, stack[-1][3])))
+                count[value] += 1
+        elif kind == "close" and count[value]:
+            i = len(stack) - 1
+            while stack[i][0] != value:
+                i -= 1
+            inside = stack[i + 1:]
+            del stack[i:]
+            count[value] -= 1
+            for name, marks, n, _ in inside:
+                if value in LOOSE:
+                    stack.append((name, marks, n, enter(name, marks, n, stack[-1][3])))
+                else:
+                    count[name] -= 1
 
 
 def labelled_counts(page: str) -> tuple[Counter, Counter]:
     """(words, tags) inside and outside the marked content: counts of (feature, inside)."""
     words: Counter = Counter()
     tags: Counter = Counter()
-    for kind, value, stack in walk(page):
-        if _skipped(stack):
+
+    def enter(name: str, marks: tuple[str, ...], _: int, around: tuple[bool, bool, frozenset]) -> tuple[bool, bool, frozenset]:
+        skipped, inside, features = around
+        new = {name, *marks} - GENERIC - features
+        return skipped or name in SKIPPED, inside or name in ("article", "main"), features | new if new else features
+
+    for kind, value, (skipped, inside, features) in walk(page, (False, False, frozenset()), enter):
+        if skipped:
             continue
-        inside = any(name in ("article", "main") for name, _, _ in stack)
         if kind != "text":
             tags[value, inside] += 1
         elif n := len(value.split()):
-            for f in {f for name, marks, _ in stack for f in (name, *marks)} - GENERIC:
+            for f in features:
                 words[f, inside] += n
     return words, tags
 
 
+class Place:
+    """What an open element makes of the words in it."""
+    __slots__ = ("name", "number", "around", "held", "article", "skipped", "odds", "score", "by", "outer", "rest", "unsure", "kind")
+
+    def __init__(self, name: str, number: int, around: Place | None):
+        self.name, self.number, self.around = name, number, around
+        self.article = self.skipped = False  # inside an article, inside something without words
+        self.odds = 0.5  # of the innermost element that tells something
+        self.score = 0.5  # of a word
+        self.by: Place | None = None  # the innermost element that names content
+        self.outer = False  # is there boilerplate around the words
+        self.rest: int | None = None  # the element around the outermost boilerplate, None if that cannot be inside content
+        self.unsure = 0  # the outermost element that is named both ways
+        self.kind: object = None  # of an element that names content: those of one kind belong together
+        self.held = self  # the nearest element that encloses for long, itself included
+
+    @property
+    def decides(self) -> int | None:
+        """Of words that score below zero the element whose running text decides if they are
+        inside the content: -1 if a name says that they are, None if they cannot be."""
+        return None if self.score > 0 else -1 if self.by else self.rest
+
+
 class Weights:
     def __init__(self, words: dict[tuple[str, bool], float], tags: dict[tuple[str, bool], float]):
         self.odds: dict[str, float] = {}
@@ -156,86 +205,145 @@ class Weights:
             inside, outside = tags.get((f, True), 0), tags.get((f, False), 0)
             self.tag[f] = -TAG_COST * (outside + 1) / (inside + outside + 2)
 
-    def tells(self, stack: list[Open], i: int) -> float:
-        """What an element of the stack says about its words: their log-odds, 0 for nothing."""
-        name, marks, _ = stack[i]
-        if name == "header" and any(n in ("article", "main") for n, _, _ in stack[:i]):
+    def tells(self, name: str, marks: tuple[str, ...], around: Place, trusted: bool) -> float:
+        """What an element says about its words: their log-odds, 0 for nothing."""
+        if name == "header" and around.article:
             return 0.0  # an article's own heading
         told = [self.odds[f] for f in (name, *marks) if abs(self.odds.get(f, 0)) >= 1]
-        return 0.0 if not told else min(told) if min(told) < 0 else max(told)
-
-    def place(self, stack: list[Open]) -> tuple[float, list[int], int | None]:
-        """The score of a word, by the innermost telling element; the numbers of the elements
-        around the one that names it content; and of a word that scores below zero the
-        element whose running text decides if it is inside the content: -1 if a name says
-        that it is, None if it cannot be."""
-        told = [self.tells(stack, i) for i in range(len(stack))]
-        score = -3.0 if _skipped(stack) else next((v for v in reversed(told) if v), 0.5)
-        if score > 0:
-            by = next((i for i in range(len(stack) - 1, -1, -1) if told[i] > 0 and stack[i][0] not in ("html", "body")), None)
-            return score, [] if by is None else [0, *(n for _, _, n in stack[:by])], None
-        block = len(stack)  # the outermost boilerplate element that no content lies around
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i][0]
-            if name in SKIPPED or told[i] < 0:
-                block = i
-            elif told[i] > 0 and name not in ("html", "body"):
-                return score, [], -1
-        if stack[block][0] in CELLS or stack[block][0] in ("html", "body", "head"):
-            return score, [], None
-        return score, [], next((n for name, _, n in reversed(stack[:block]) if name not in LOOSE), 0)
-
-
-def extract(page: str | None, weights: Weights) -> str:
+        if not told or name in QUOTED and around.by and not around.outer and min(told) < 0:
+            return 0.0
+        return min(told) if min(told) < 0 and not trusted else max(told)
+
+    def enter(self, name: str, marks: tuple[str, ...], number: int, around: Place, trusted: int = 0) -> Place:
+        """The place inside an element; `trusted` is the number of one that is content though
+        it is named both ways."""
+        told = self.tells(name, marks, around, number == trusted)
+        here = Place(name, number, around)
+        here.held = around.held if name in LOOSE else here
+        here.article = around.article or name in ("article", "main")
+        here.skipped = around.skipped or name in SKIPPED
+        here.odds = told or around.odds
+        here.score = -3.0 if here.skipped else here.odds
+        here.by, here.outer, here.rest, here.unsure = around.by, around.outer, around.rest, around.unsure
+        if told > 0 and name not in ("html", "body"):
+            here.by = here
+            here.kind = name if name in ("article", "main") else (name, marks)
+        if not around.outer and (told < 0 or name in SKIPPED):
+            here.outer = True
+            here.rest = None if name in CELLS or name in ("html", "body", "head") else around.held.number
+        if told < 0 and not around.unsure and self.odds.get(name, 0) > -1 and not CONTENT.isdisjoint(whole_words(marks)):
+            here.unsure = number
+        return here
+
+
+class Spans:
+    """First and last piece of something on the page, by element."""
+
+    def __init__(self) -> None:
+        self.first: dict = {}
+        self.last: dict = {}
+
+    def add(self, key: object, first: int, last: int) -> None:
+        self.first[key] = min(self.first.get(key, first), first)
+        self.last[key] = max(self.last.get(key, last), last)
+
+    def hand_on(self, key: object, other: object) -> None:
+        if key in self.first:
+            self.add(other, self.first[key], self.last[key])
+
+
+def between(spans: Spans) -> Callable[[int, int], bool]:
+    """Is a piece between the first and last content element of one kind in an element."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for key, a in sorted(spans.first.items(), key=lambda x: x[1]):
+        joined = found.setdefault(key[0], [])
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(joined[-1][1], spans.last[key]))
+        else:
+            joined.append((a, spans.last[key]))
+
+    def inside(element: int, i: int) -> bool:
+        joined = found.get(element, [])
+        at = bisect_right(joined, (i,)) - 1
+        return at >= 0 and joined[at][0] < i < joined[at][1]
+
+    return inside
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region with the largest sum, (0, 0) if none is above zero; of equal ones
+    that which ends first, then the shortest."""
+    total, start, best, region = 0.0, 0, 0.0, (0, 0)
+    for i, s in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += s
+        if total > best:
+            best, region = total, (start, i + 1)
+    return region
+
+
+def extract(page: str | None, weights: Weights, trusted: int = 0) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    pieces: list[str] = []  # words of the best region so far are told from pieces[best[0]:best[1]]
+    pieces: list[str] = []
     scores: list[float] = []
     blocks: list[tuple[int, int]] = []  # what may be boilerplate inside the content: (piece, element that decides)
-    first: dict[int, int] = {}  # the first and the last piece of an element's running text
-    last: dict[int, int] = {}
+    flowing, prose, side_by_side = Spans(), Spans(), Spans()  # running text; that of paragraphs; content elements of a kind
+    places: dict[int, Place] = {}  # elements around running text
     named: set[int] = set()  # elements with an element inside that names content
-    known: dict[tuple[int, int], tuple[float, list[int], int | None]] = {}
+    unsure: Counter = Counter()  # words of elements that are named both ways
+    heard = 0
     paragraph = False
-    for kind, value, stack in walk(page):
-        key = (stack[-1][2], len(stack)) if stack else (0, 0)
-        if key not in known:
-            known[key] = weights.place(stack)
-        score, around, decides = known[key]
-        if decides is not None:
-            blocks.append((len(pieces), decides))
+    root = Place("", 0, None)
+    for kind, value, place in walk(page, root, lambda *x: weights.enter(*x, trusted)):
+        score, at = place.score, len(pieces)
+        if (decides := place.decides) is not None:
+            blocks.append((at, decides))
         if kind != "text":
             if value not in INLINE and value != "br":
                 paragraph = kind == "open" and value == "p"
-            pieces.append("" if value in INLINE and value != "wbr" else " ")
+            pieces.append("" if value in INLINE else " ")
             scores.append(weights.tag.get(value, -TAG_COST / 2))
             continue
         n = len(value.split())
+        if n and not place.skipped:
+            heard += n
+            if place.unsure:
+                unsure[place.unsure] += n
         if n and score > 0:
-            named.update(around)
-            flows = True
-            for name, _, number in reversed(stack):
-                if (flows or paragraph) and name not in LOOSE:
-                    first.setdefault(number, len(pieces))
-                    last[number] = len(pieces)
-                flows = flows and (name in FLOW or name in LOOSE)
-            if flows or paragraph:
-                first.setdefault(0, len(pieces))
-                last[0] = len(pieces)
+            if place.by:
+                outside = place.by.around
+                if not outside.outer:
+                    side_by_side.add((outside.held.number, place.by.kind), at, at)
+                while outside and outside.number not in named:
+                    named.add(outside.number)
+                    outside = outside.around
+            held = place.held
+            (prose if paragraph else flowing).add(held.number, at, at)
+            while held.number and held.number not in places:
+                places[held.number] = held
+                held = held.around.held
         pieces.append(value if score > 0 else " ")
         scores.append(score * n)
+    if unsure and not named and not trusted:
+        most, n = max(unsure.items(), key=lambda x: (x[1], -x[0]))
+        if 2 * n > heard:
+            return extract(page, weights, most)
+    for number in sorted(places, reverse=True):
+        up = places[number].around.held.number
+        prose.hand_on(number, up)
+        if places[number].name in FLOW:
+            flowing.hand_on(number, up)
+    for number, a in flowing.first.items():
+        prose.add(number, a, flowing.last[number])
+    inside = between(side_by_side)
     for i, element in blocks:
-        if element < 0 or element not in named and first.get(element, i) < i < last.get(element, i):
+        if element < 0 or element not in named and prose.first.get(element, i) < i < prose.last.get(element, i) or inside(element, i):
             scores[i] = 0.0
-    total, start, best, region = 0.0, 0, 0.0, (0, 0)
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, start = 0.0, i
-        total += s
-        if total > best:
-            best, region = total, (start, i + 1)
-    return " ".join(entities.unescape("".join(pieces[region[0]:region[1]])).split())
+    a, b = best_region(scores)
+    return " ".join(entities.unescape("".join(pieces[a:b])).split())
 
 
 def fit(pages: DataFrame) -> Weights:
@@ -258,10 +366,16 @@ def fit(pages: DataFrame) -> Weights:
         yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
                               names=["kind", "feature", "inside", "n"])
 
-    found = (rows.mapInArrow(run, "kind string, feature string, inside boolean, n long")
-             .groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "feature").limit(FEATURES).collect())
-    return Weights({(r["feature"], r["inside"]): r["n"] for r in found if r["kind"] == "word"},
-                   {(r["feature"], r["inside"]): r["n"] for r in found if r["kind"] == "tag"})
+    inside = F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside")
+    outside = F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outside")
+    # rows of the labelled sample's names: at most LABELLED pages give them
+    found = (rows.mapInArrow(run, "kind string, feature string, inside boolean, n long").groupBy("kind", "feature").agg(inside, outside)
+             .filter((F.col("kind") == "tag") | (F.col("inside") + F.col("outside") >= LEAST_WORDS)).collect())
+
+    def counts(kind: str) -> dict[tuple[str, bool], float]:
+        return {(r["feature"], x): r[c] for r in found if r["kind"] == kind for c, x in (("inside", True), ("outside", False))}
+
+    return Weights(counts("word"), counts("tag"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
