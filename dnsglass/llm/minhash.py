@@ -12,11 +12,19 @@ probability (1 - (1 - s**WIDTH)**SIDE)**2: 0.9995 at 0.75, 0.99993 at 0.8, for o
 pair by itself.
 
 Verification.  The classes of all buckets that begin with one class (the lead) form a
-group.  Inside the tasks the full sets of a group's members are compared with each
-other, so no candidate pair is left out, and what leaves a task is one edge per
+group.  Inside the tasks full sets are compared, and what leaves a task is one edge per
 member, to the least member that it is connected with by verified links: no pairs of
-a group are made.  A group of over `BLOCK` members is cut into blocks, and each pair
-of blocks is a part of its own.  The edges of all groups give the components.
+a group are made.
+1.  A group is cut into parts of about `PART` members, and the lead goes to each of them:
+    every text travels once per group, however large the group is.  The links found give
+    components over all groups.
+2.  Members of one group that are still in different components may have links between
+    parts.  The members outside the group's largest component are compared with each
+    other and with that component, in pairs of blocks of about `BLOCK` members.  So a
+    group whose members all hang together costs nothing here, and one with r members
+    left over sends a text of the largest component r / BLOCK times.
+A link between any two members of a group is found by 1, or joins what is one component
+already, or is found by 2.
 
 Cases: null or empty text or white space only -> empty set, linked with nothing,
 its own component.  Rows without doc_id keep a null component unless their text
@@ -31,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import U64, chunks, mix, string_bytes, task, ByteHash
@@ -42,7 +50,7 @@ SHINGLE = 5
 #: Least likeness in hundredths.
 PERCENT = 75
 SIDE, WIDTH = 10, 2
-BLOCK = 512
+PART, BLOCK = 128, 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -172,17 +180,12 @@ def connected(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         label = new
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect the members of each lead's group, the documents of its
-    pairs (doc, lead) and itself, as far as links of full sets do."""
-    grouped = (pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(pairs, "lead")
-               .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("doc", "lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    leads = grouped.select("lead", "i", "j").distinct().select(F.col("lead").alias("doc"), "lead", "i", "j")
-    # sort-merge at every size: the number of pairs has no bound that would allow a broadcast
-    rows = (grouped.union(leads).hint("merge").join(texts(docs).filter("text is not null and doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc")
-            .select("lead", "i", "j", "doc", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "doc"))
+def _compared(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v), by label, that connect the documents of each part (lead, i, j) as far as
+    links of full sets do; `rows` are (doc, label, lead, i, j)."""
+    # sort-merge at every size: the number of rows has no bound that would allow a broadcast
+    rows = (rows.hint("merge").join(texts(docs).filter("text is not null and doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc")
+            .select("lead", "i", "j", "doc", "label", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "doc"))
 
     def edges(held: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
         if len(held) < 2:
@@ -194,25 +197,66 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, block: i
         now, held = None, []
         for batch in it:
             parts = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            ids = batch.column(3).to_pylist()
+            labels = batch.column(4).to_pylist()
             found: list[tuple[int, int]] = []
-            for a, sets in text_sets(batch, 4):
+            for a, sets in text_sets(batch, 5):
                 for k, s in enumerate(sets, a):
                     if parts[k] != now:
                         found += edges(held)
                         now, held = parts[k], []
-                    held.append((ids[k], s))
+                    held.append((labels[k], s))
             yield _edges(found)
         yield _edges(edges(held))
 
     return rows.mapInArrow(task(run), "u long, v long").filter("u <> v").distinct()
 
 
+def _slot(n) -> Column:
+    return F.pmod(F.xxhash64("doc"), n)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, block: int = PART) -> DataFrame:
+    """Edges (u, v) that connect the members of each part of a lead's group with each other and
+    with the lead; the members are the documents of its pairs (doc, lead)."""
+    parts = (pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("parts")).join(pairs, "lead")
+             .select("doc", F.col("doc").alias("label"), "lead", _slot(F.col("parts")).alias("i"), F.lit(0).alias("j")))
+    leads = parts.select("lead", "i").distinct().select(F.col("lead").alias("doc"), F.col("lead").alias("label"), "lead", "i", F.lit(0).alias("j"))
+    return _compared(parts.union(leads), docs, percent)
+
+
+def left_apart(pairs: DataFrame, found: DataFrame, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(doc, label, lead, i, j): the members of groups of several parts by the pairs of blocks
+    in which they are to be compared, given the components (node, component) of the parts;
+    label is the component.  Groups that are one component have no rows."""
+    several = pairs.groupBy("lead").agg(F.count("*").alias("size")).filter(F.col("size") > part)
+    members = (pairs.join(several.select("lead"), "lead").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+               .select("doc", "lead", F.coalesce("component", "doc").alias("label")))
+    shares = members.groupBy("lead", "label").agg(F.count("*").alias("n"))
+    groups = (shares.groupBy("lead").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
+              .select("lead", F.col("most.label").alias("largest"), F.ceil((F.col("size") - F.col("most.n")) / block).alias("others"),
+                      F.ceil(F.col("most.n") / block).alias("own")))
+    others = F.col("label") != F.col("largest")
+    at = members.join(groups, "lead").withColumn("at", F.when(others, _slot(F.col("others"))).otherwise(F.col("others") + _slot(F.col("own"))))
+    last = F.when(others, F.col("others") + F.col("own")).otherwise(F.col("others")) - 1
+    return (at.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .select("doc", "label", "lead", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j")))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(node, component): the components that the verified links of the leads' groups form, for
+    every document with a link."""
+    found = cut(components(verified(pairs, docs, percent, part)))
+    joined = components(_compared(left_apart(pairs, found, part, block), docs, percent))
+    least = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    alone = joined.join(found, "node", "left_anti").select("node", "component")  # without a link in their own part
+    return found.join(least, "component", "left").select("node", F.coalesce("least", "component").alias("component")).union(alone)
+
+
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, width: int = WIDTH, part: int = PART, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`."""
     all_sets = cut(sketches(docs, side, width))
     classes = cut(all_sets.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(
@@ -220,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, side: int = SIDE, w
     keys = _keys(classes, side)
     shared = keys.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select("key", "lead")
     pairs = cut(keys.join(shared, "key").filter("doc > lead").select("doc", "lead").distinct())
-    found = components(verified(pairs, docs, percent))
+    found = linked(pairs, docs, percent, part, block)
     label = classes.select("set_id", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
         "set_id", F.coalesce("component", "doc").alias("component"))
     out = all_sets.select("doc_id", "n", "set_id").join(label, "set_id", "left")
