@@ -51,6 +51,8 @@ SHINGLE = 5
 PERCENT = 75
 SIDE, WIDTH = 10, 2
 PART, BLOCK = 128, 512
+#: Tasks over which the members of one lead are dealt.
+SALTS = 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -215,11 +217,24 @@ def _slot(n) -> Column:
     return F.pmod(F.xxhash64("doc"), n)
 
 
+def _of_lead(members: DataFrame, leads: DataFrame, how: str = "inner") -> DataFrame:
+    """`members` with the columns of `leads`, one row per lead; a hot lead's members are dealt
+    over `SALTS` tasks."""
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    return (members.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS)).cast("long"))
+            .join(leads.withColumn("salt", F.explode(salts)), ["lead", "salt"], how).drop("salt"))
+
+
+def _several(pairs: DataFrame, part: int) -> DataFrame:
+    """(lead, parts): the leads of groups of more than one part."""
+    return pairs.groupBy("lead").agg(F.ceil(F.count("*") / part).alias("parts")).filter("parts > 1")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, block: int = PART) -> DataFrame:
     """Edges (u, v) that connect the members of each part of a lead's group with each other and
     with the lead; the members are the documents of its pairs (doc, lead)."""
-    parts = (pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("parts")).join(pairs, "lead")
-             .select("doc", F.col("doc").alias("label"), "lead", _slot(F.col("parts")).alias("i"), F.lit(0).alias("j")))
+    parts = _of_lead(pairs, _several(pairs, block), "left").select(
+        "doc", F.col("doc").alias("label"), "lead", _slot(F.coalesce("parts", F.lit(1))).alias("i"), F.lit(0).alias("j"))
     leads = parts.select("lead", "i").distinct().select(F.col("lead").alias("doc"), F.col("lead").alias("label"), "lead", "i", F.lit(0).alias("j"))
     return _compared(parts.union(leads), docs, percent)
 
@@ -228,15 +243,14 @@ def left_apart(pairs: DataFrame, found: DataFrame, part: int = PART, block: int
     """(doc, label, lead, i, j): the members of groups of several parts by the pairs of blocks
     in which they are to be compared, given the components (node, component) of the parts;
     label is the component.  Groups that are one component have no rows."""
-    several = pairs.groupBy("lead").agg(F.count("*").alias("size")).filter(F.col("size") > part)
-    members = (pairs.join(several.select("lead"), "lead").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    members = (_of_lead(pairs, _several(pairs, part)).join(found.withColumnRenamed("node", "doc"), "doc", "left")
                .select("doc", "lead", F.coalesce("component", "doc").alias("label")))
     shares = members.groupBy("lead", "label").agg(F.count("*").alias("n"))
     groups = (shares.groupBy("lead").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
               .select("lead", F.col("most.label").alias("largest"), F.ceil((F.col("size") - F.col("most.n")) / block).alias("others"),
                       F.ceil(F.col("most.n") / block).alias("own")))
     others = F.col("label") != F.col("largest")
-    at = members.join(groups, "lead").withColumn("at", F.when(others, _slot(F.col("others"))).otherwise(F.col("others") + _slot(F.col("own"))))
+    at = _of_lead(members, groups).withColumn("at", F.when(others, _slot(F.col("others"))).otherwise(F.col("others") + _slot(F.col("own"))))
     last = F.when(others, F.col("others") + F.col("own")).otherwise(F.col("others")) - 1
     return (at.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), last)))
             .select("doc", "label", "lead", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j")))
