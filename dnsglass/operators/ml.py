@@ -268,10 +268,11 @@ def pca_ngrams(df: DataFrame, k: int = 2, group: str = "family", col: str = "dom
             for batch in it:
                 at, idx, val = _sparse(batch)
                 row = np.repeat(np.arange(len(batch)), np.diff(at))
-                share = np.zeros((len(batch), block))
-                np.add.at(share, row, val[:, None] * q[idx])
-                np.add.at(total, idx, val[:, None] * share[row])
-                np.add.at(plain, idx, val)
+                for a, b in _stretches(at):  # of rows: what is made dense stays small
+                    r, i, v = row[at[a]:at[b]] - a, idx[at[a]:at[b]], val[at[a]:at[b]]
+                    share = _sums(r, v, q[i], b - a)
+                    total += _sums(i, v, share[r], width)
+                    plain += np.bincount(i, v, width)
                 n += len(batch)
             if n:
                 rows = np.c_[total, plain, np.full(width, n)]
@@ -299,14 +300,22 @@ def pca_ngrams(df: DataFrame, k: int = 2, group: str = "family", col: str = "dom
     def project(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             at, idx, val = _sparse(batch)
-            out = np.zeros((len(batch), v.shape[1]))
-            np.add.at(out, np.repeat(np.arange(len(batch)), np.diff(at)), val[:, None] * v[idx])
+            out = _sums(np.repeat(np.arange(len(batch)), np.diff(at)), val, v[idx], len(batch))
             yield pa.record_batch([batch.column(2), *(pa.array(c) for c in (out - offset).T)], names=[group, *[f"pc{i + 1}" for i in range(v.shape[1])]])
 
     kind = df.schema[group].dataType.simpleString()
     return vectors.select("indices", "values", group).mapInArrow(project, f"{group} {kind}, " + ", ".join(f"pc{i + 1} double" for i in range(v.shape[1])))
 
 
+def _stretches(at: np.ndarray, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    return ((a, min(a + rows, len(at) - 1)) for a in range(0, len(at) - 1, rows))
+
+
+def _sums(at: np.ndarray, weight: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Weighted rows added up by the place `at`, a column at a time."""
+    return np.column_stack([np.bincount(at, weight * c, size) for c in np.ascontiguousarray(rows.T)]) if rows.shape[1] else np.zeros((size, 0))
+
+
 def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row ends, indices, values) of the sparse rows of a batch (indices, values, ...)."""
     size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(0)), 0))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from dnsglass.functions import domain as D
@@ -54,3 +55,12 @@ def test_all_folds_read_the_rows_once(spark):
     df, made = _counted(spark)
     assert ML.cross_validate(df, folds=3, max_iter=2, max_depth=2).count() == 2
     assert made.value == 200
+
+
+def test_sums_of_sparse_rows():
+    rng = np.random.default_rng(1)
+    at, weight, rows = rng.integers(0, 5, 40), rng.random(40), rng.random((40, 3))
+    want = np.zeros((7, 3))
+    np.add.at(want, at, weight[:, None] * rows)
+    assert ML._sums(at, weight, rows, 7) == pytest.approx(want)
+    assert list(ML._stretches(np.arange(6), 2)) == [(0, 2), (2, 4), (4, 5)]
