@@ -4,7 +4,11 @@ Two-tier lookup.  A minimal perfect hash over the vocabulary (hash and displace)
 resolves a whole pre-token that is itself a token: one probe, then a comparison
 of the stored bytes.  A miss is merged with a heap of candidate pairs over a
 doubly linked list of its bytes, so a pre-token of n bytes costs O(n log n)
-however long it is.  Each distinct pre-token of an Arrow batch is resolved once.
+however long it is.  Misses of at most SHORT bytes, as most words are, are merged
+many at once: the words with the same number of parts are the rows of a matrix, and
+each step joins the lowest, leftmost pair of every row.  About a megabyte of texts is
+encoded at a time; each distinct pre-token in it is looked up once.  Resolved
+pre-tokens stay in a table of bounded size, those not met for long go first.
 
 Cases: null or empty text -> no ids, digests of the empty string.  Ties in the
 heap (equal ranks) merge the leftmost pair first.  Rows are independent, so
@@ -15,10 +19,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,17 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .arrow import task
+from .arrow import chunks, string_bytes, task
 from .tables import texts
 
-#: Distinct pre-tokens kept before the table of resolved ones is emptied.
+#: Distinct pre-tokens kept before the older half of the resolved ones is dropped.
 MEMO_SIZE = 200_000
+#: Bytes up to which missed pre-tokens are merged side by side.
+SHORT = 48
+#: Pre-tokens in one matrix at most.
+BLOCK = 20_000
+#: Rank of a pair that is no token.
+NO_RANK = np.iinfo(np.int32).max
 
 
 class PerfectHash:
@@ -87,7 +97,15 @@ class ByteBPE:
         self.slots: list[tuple[bytes, int]] = [(b"", -1)] * len(keys)
         for key, s in zip(keys, self.hash.slot_of):
             self.slots[s] = (key, ranks[key])
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: Ids of resolved pre-tokens as int32 bytes: those met of late, and the half before them.
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        pairs = sorted((ranks[k[:i]] << 32 | ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks)
+        self.pair_keys = np.array([k for k, _ in pairs] + [-1], np.int64)  # the last stands for any key beyond
+        self.pair_ranks = np.array([r for _, r in pairs] + [NO_RANK], np.int32)
+        #: A byte that is no token could only be merged by its bytes, by the heap.
+        self.short = SHORT if all(bytes([i]) in ranks for i in range(256)) else 0
+        self.byte_ranks = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
 
     def whole(self, piece: bytes) -> int:
         """The rank of a piece that is a token, else -1."""
@@ -120,26 +138,85 @@ class ByteBPE:
             i = after[i]
         return tuple(out)
 
-    def resolve(self, pre_token: str) -> tuple[int, ...]:
-        piece = pre_token.encode()
-        rank = self.whole(piece)
-        return (rank,) if rank >= 0 else self.merge(piece)
-
-    def encode_parts(self, text: str) -> list[tuple[int, ...]]:
-        """One tuple of ids for each pre-token."""
-        parts, memo = self.find(text), self.memo
-        try:
-            return [memo[p] for p in parts]
-        except KeyError:
-            if len(memo) > MEMO_SIZE:
-                memo.clear()
-            for p in set(parts):
-                if p not in memo:
-                    memo[p] = self.resolve(p)
-            return [memo[p] for p in parts]
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each token a followed by b as one token, else NO_RANK."""
+        key = a << 32 | b
+        at = np.searchsorted(self.pair_keys[:-1], key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """`merge` of each piece as int32 bytes.  Rows of `ids` are pieces of as many parts
+        as the step says, `pair` has the rank of each part joined with the next; a row
+        without a pair is done, the others go on with one part less."""
+        out = [b""] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        row, ids, pair = np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros((0, 0), np.int32)
+        for n in range(int(size.max(initial=0)), 0, -1):
+            new = np.flatnonzero(size == n)
+            if len(new):
+                raw = np.frombuffer(b"".join([pieces[i] for i in new.tolist()]), np.uint8).reshape(len(new), n)
+                own = self.byte_ranks[raw]
+                ids = np.concatenate([ids.reshape(len(row), n), own])
+                pair = np.concatenate([pair.reshape(len(row), n - 1), self.joined(own[:, :-1], own[:, 1:])])
+                row = np.r_[row, new]
+            if not len(row):
+                continue
+            low = pair.min(1, initial=NO_RANK)
+            done = low == NO_RANK
+            ended = ids[done].astype(np.int32).tobytes()
+            for i, r in enumerate(row[done].tolist()):
+                out[r] = ended[4 * n * i:4 * n * (i + 1)]
+            row, ids, pair = row[~done], ids[~done], pair[~done]
+            if not len(row):
+                continue
+            at, k = np.arange(len(row)), pair.argmin(1)
+            ids[at, k] = low[~done]
+            keep = np.ones(ids.shape, bool)
+            keep[at, k + 1] = False
+            ids = ids[keep].reshape(len(row), n - 1)
+            pair = pair[keep[:, 1:]].reshape(len(row), n - 2)  # without the pair that was joined
+            i = np.flatnonzero(k < n - 2)
+            pair[i, k[i]] = self.joined(ids[i, k[i]], ids[i, k[i] + 1])
+            i = np.flatnonzero(k > 0)
+            pair[i, k[i] - 1] = self.joined(ids[i, k[i] - 1], ids[i, k[i]])
+        return out
+
+    def resolve(self, pre_tokens: list[str]) -> dict[str, bytes]:
+        """The ids of each pre-token as int32 bytes."""
+        out: dict[str, bytes] = {}
+        missed: dict[str, bytes] = {}
+        for p in pre_tokens:
+            piece = p.encode()
+            if (rank := self.whole(piece)) >= 0:
+                out[p] = rank.to_bytes(4, sys.byteorder)
+            elif len(piece) <= self.short:
+                missed[p] = piece
+            else:
+                out[p] = np.array(self.merge(piece), np.int32).tobytes()
+        names, pieces = list(missed), list(missed.values())
+        for a in range(0, len(names), BLOCK):  # one text may have any number of words
+            out.update(zip(names[a:a + BLOCK], self.merge_many(pieces[a:a + BLOCK])))
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, int32."""
+        parts = [self.find(t) if t else [] for t in texts]
+        if len(self.memo) > MEMO_SIZE // 2:
+            self.memo, self.older = {}, self.memo
+        new = set().union(*parts).difference(self.memo)
+        known = new.intersection(self.older)
+        self.memo.update((p, self.older[p]) for p in known)
+        self.memo.update(self.resolve(list(new - known)))
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, p)), np.int32) for p in parts]
+
+    def encode_column(self, col: pa.Array) -> Iterator[tuple[str | None, np.ndarray]]:
+        """(text, ids) of each row, about a megabyte of texts at a time."""
+        for a, b in chunks(string_bytes(col)[1]):
+            part = col.slice(a, b - a).to_pylist()
+            yield from zip(part, self.encode_many(part))
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.encode_parts(text))) if text else []
+        return self.encode_many([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -173,7 +250,7 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFr
         for batch in it:
             for a in range(0, len(batch), 200):
                 part = batch.slice(a, 200)
-                ids = [np.array(bpe.encode(t.as_py()), np.int32) for t in part.column(1)]
+                ids = [x for _, x in bpe.encode_column(part.column(1))]
                 yield pa.record_batch([part.column(0), pa.array(ids, schema.field(1).type),
                                        pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())], schema=schema)
 
@@ -190,9 +267,8 @@ def encode_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -
         names = {r: str(r) for r in bpe.token}.__getitem__
         for batch in it:
             out: list[tuple[int, str, str, bool]] = []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                ids = bpe.encode(text)
+            for t, x in bpe.encode_column(batch.column(1)):
+                text, ids = t or "", x.tolist()
                 back = bpe.decode(ids)
                 out.append((len(ids), hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest(),
                             hashlib.sha256(back).hexdigest(), back == text.encode()))

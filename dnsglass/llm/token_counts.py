@@ -65,9 +65,9 @@ def token_counts(docs: DataFrame, sections: Column | None = None, vocabulary: tu
             ids = batch.column(0).to_pylist()
             out: list[tuple[np.ndarray, ...]] = []
             held = 0
-            for i, t in enumerate(batch.column(1)):
-                text = t.as_py() or ""
-                lengths = size[np.array(bpe.encode(text), np.int64)]
+            for i, (t, own_ids) in enumerate(bpe.encode_column(batch.column(1))):
+                text = t or ""
+                lengths = size[own_ids]
                 first, end = spans(text, lengths) if text else (np.zeros(0, np.int64),) * 2
                 if by_line:
                     hi = np.cumsum([len(x) + 1 for x in text.split("\n")])

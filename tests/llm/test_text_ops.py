@@ -35,6 +35,61 @@ def test_bpe_as_tiktoken(encoder):
         assert encoder.decode(ids) == text.encode()
 
 
+def test_bpe_side_by_side_as_by_heap(encoder):
+    rng = random.Random(3)
+    words = [w for w in " the quick isn't naïve Ünï 中文 😀 anonerorreor schschstö".split(" ")] + ["ab", "aa", "\n", "é"]
+    pieces = [b"x", b"ab"] + ["".join(rng.choices(words, k=rng.randint(1, 12))).encode()[:bpe.SHORT] or b"y" for _ in range(3000)]
+    assert encoder.merge_many(pieces) == [np.array(encoder.merge(p), np.int32).tobytes() for p in pieces]
+    assert encoder.merge_many([]) == []
+    for seed in range(20):  # ranks in any order: a joined pair may make a lower one
+        rng = random.Random(seed)
+        longer = {bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(60)}
+        keys = [bytes([i]) for i in range(256)] + sorted(longer)
+        rng.shuffle(keys)
+        own = bpe.ByteBPE({k: r for r, k in enumerate(keys)}, r"\S+")
+        pieces = [bytes(rng.choices(b"abc", k=rng.randint(1, 30))) for _ in range(300)]
+        assert own.merge_many(pieces) == [np.array(own.merge(p), np.int32).tobytes() for p in pieces]
+
+
+def test_bpe_byte_without_rank():
+    ranks = {b"a": 0, b"b": 1, b"\xc3\xa9": 2, b"a\xc3\xa9": 3, b"ab": 4}
+    own = bpe.ByteBPE(ranks, r"\S+")
+    assert own.encode("abé aé abab é") == [4, 2, 3, 4, 4, 2]
+
+
+def test_bpe_short_misses_take_no_heap(encoder, monkeypatch):
+    own = bpe.ByteBPE(encoder.ranks, bpe.public_vocabulary()[1])
+    heaped = []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda piece: heaped.append(piece) or merge(piece))
+    text = " ".join(f"anonerorre{w}schschst" for w in ["ab", "é", "zq", "qq"]) + " " + "zxq" * 40
+    assert own.encode(text) == encoder.encode(text)
+    assert heaped == [b" " + b"zxq" * 40]
+
+
+def test_bpe_frequent_words_stay(encoder, monkeypatch):
+    own = bpe.ByteBPE(encoder.ranks, bpe.public_vocabulary()[1])
+    monkeypatch.setattr(bpe, "MEMO_SIZE", 20)
+    asked = []
+    whole = own.whole
+    monkeypatch.setattr(own, "whole", lambda piece: asked.append(piece) or whole(piece))
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "anonerorreor " + " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(4))
+        assert own.encode(text) == encoder.encode(text)
+        assert len(own.memo) + len(own.older) <= bpe.MEMO_SIZE + 10
+    assert asked.count(b"anonerorreor") == 1
+
+
+def test_bpe_texts_side_by_side(encoder):
+    import pyarrow as pa
+    col = pa.array(["skipped", *ODD_TEXTS, None, "é" * 700_000, "after"], pa.string()).slice(1)
+    got = list(encoder.encode_column(col))
+    assert [t for t, _ in got] == col.to_pylist()
+    assert [x.tolist() for _, x in got] == [encoder.encode(t) for t in col.to_pylist()]
+    assert list(encoder.encode_column(col.slice(0, 0))) == []
+
+
 def test_perfect_hash_is_minimal():
     keys = [b"k%d" % i for i in range(997)]
     h = bpe.PerfectHash(keys)
